@@ -12,6 +12,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vigilar.functions.chars import SPACE
 from vigilar.functions.keywords import CORE_KEYWORDS, keyword_list
 from vigilar.functions.tokens import words
 
@@ -40,14 +41,16 @@ NOISY_E = ("Int", "Punct", "Par")
 
 _NAME = r"[\p{L}_][\p{L}\p{N}_$]*"
 _ITEM = rf"(?:'[^']*'|[0-9]+(?:\.[0-9]+)?|{_NAME}(?:\.{_NAME})*(?:\([^()]*\))?|\*)(?:[ \t\n]+(?:[aA][sS][ \t\n]+{_NAME}|[aA][sS][cC]|[dD][eE][sS][cC]))?"
-LIST_PATTERN = rf"{_ITEM}(?:[ \t\n]*,[ \t\n]*{_ITEM})+"
+# An element of a comma list together with its comma. Lists are joined token by token, as a
+# regex that repeats a group over a long list would overflow the matcher's stack.
+ELEMENT_PATTERN = rf"{_ITEM}[ \t\n]*,"
 # Order matters: the first alternative that matches wins.
 TOKEN_PATTERN = "|".join(
     (
-        LIST_PATTERN,
+        ELEMENT_PATTERN,
         r"--[^\n]*",
         r"#[^\n]*",
-        r"/\*(?:[^*]|\*+[^*/])*\*+/",
+        r"(?s:/\*.*?\*/)",
         r"'[^']*'",
         r'"[^"]*"',
         r"`[^`]*`",
@@ -58,7 +61,7 @@ TOKEN_PATTERN = "|".join(
         r"\|\||&&|[+\-/%&|^~!:@]",
         r"\*",
         r"[(),;.\[\]{}]",
-        r"[^\p{L}\p{N}\s]",
+        rf"[^\p{{L}}\p{{N}}{SPACE}]",
     )
 )
 
@@ -75,10 +78,8 @@ def _role(token: Column, following: Column, keywords: tuple[str, ...]) -> Column
     up = F.upper(token)
     word = token.rlike(rf"^{_NAME}$")
     role = F.when(token.isin("(", ")"), "Par")
-    for name in ("DLL", "DML"):
-        role = role.when(up.isin(*ROLE_WORDS[name]), name)
-    for name in ("DCL", "CTE", "Where", "Order", "Builtin", "Func"):
-        role = role.when(up.isin(*ROLE_WORDS[name]), name)
+    for name, members in ROLE_WORDS.items():
+        role = role.when(up.isin(*members), name)
     role = role.when(word & up.isin(*keywords), "Keyw")
     role = role.when(word & (following == "("), "Func").when(word, "Identifi")
     role = role.when(token.rlike(r"^0[xX][0-9a-fA-F]+$"), "Hexadecimal")
@@ -87,33 +88,59 @@ def _role(token: Column, following: Column, keywords: tuple[str, ...]) -> Column
     role = role.when(token.rlike(r"^(--|#|/\*)") | (token == "'"), "Escap")
     role = role.when(token == "*", "Wildcard").when(token.isin("<=>", "<=", ">=", "<>", "!=", "=", "<", ">"), "Comparison")
     role = role.when(token.rlike(r"^(\|\||&&|[+\-/%&|^~!:@])$"), "Oper").when(token.rlike(r"^[,;.\[\]{}]$"), "Punct")
-    role = role.when(token.contains(",") & (F.length(token) > 1), "Identifierlist")
-    return role.otherwise("Error")
+    # What is left is either one odd character or a compound element such as ``t.col``.
+    return role.otherwise(F.when(F.length(token) > 1, "Identifi").otherwise("Error"))
+
+
+def _is_element(token: Column) -> Column:
+    return token.endswith(",") & (F.length(token) > 1)
+
+
+def _can_end_list(token: Column) -> Column:
+    return token.rlike(rf"^('[^']*'|[0-9]+(\.[0-9]+)?|{_NAME}|\*)$")
 
 
 def tagged_tokens(
     df: DataFrame, text: str = "full_query", keywords: Iterable[str] | DataFrame = CORE_KEYWORDS, out: str = "tagged"
 ) -> DataFrame:
-    """Append ``ARRAY<STRUCT<value, role>>``."""
+    """Append ``ARRAY<STRUCT<value, role>>``.
+
+    The first element of a comma list carries the role ``Identifierlist``; the other
+    elements follow with a NULL role, so a list counts once among the roles.
+    """
     listed = keyword_list(keywords)
     with_tokens = df.withColumn("_tok", sql_tokens(text))
-    tagged = F.transform(
-        "_tok",
-        lambda t, i: F.struct(
-            t.alias("value"), _role(t, F.coalesce(F.get(F.col("_tok"), i + 1), F.lit("")), listed).alias("role")
-        ),
-    )
-    return with_tokens.withColumn(out, tagged).drop("_tok")
+    near = lambda i: F.coalesce(F.get(F.col("_tok"), i), F.lit(""))
+
+    def entry(value: Column, role: Column) -> Column:
+        return F.struct(value.alias("value"), role.cast("string").alias("role"))
+
+    def tag(t: Column, i: Column) -> Column:
+        before, after = near(i - 1), near(i + 1)
+        bare = F.regexp_replace(t, r"[ \t\n]*,$", "")
+        continues = _is_element(after) | _can_end_list(after)
+        follows = (i > 0) & _is_element(before)
+        comma = entry(F.lit(","), F.lit("Punct"))
+        element = (
+            F.when(follows & continues, F.array(entry(bare, F.lit(None))))
+            .when(follows, F.array(entry(bare, F.lit(None)), comma))
+            .when(continues, F.array(entry(bare, F.lit("Identifierlist"))))
+            .otherwise(F.array(entry(bare, _role(bare, F.lit(","), listed)), comma))
+        )
+        last = F.array(entry(t, F.lit(None)))
+        single = F.array(entry(t, _role(t, after, listed)))
+        return F.when(_is_element(t), element).when(follows & _can_end_list(t), last).otherwise(single)
+
+    return with_tokens.withColumn(out, F.flatten(F.transform("_tok", tag))).drop("_tok")
 
 
 def view_texts(df: DataFrame, tagged: str = "tagged") -> DataFrame:
     """Append the views ``T`` (values without numbers), ``C`` (roles) and ``E`` (roles and values)."""
     col = F.col(tagged)
-    t = F.transform(F.filter(col, lambda x: ~x["role"].isin(*NOISY_T)), lambda x: x["value"])
-    c = F.transform(col, lambda x: x["role"])
+    t = F.transform(F.filter(col, lambda x: F.coalesce(~x["role"].isin(*NOISY_T), F.lit(True))), lambda x: x["value"])
+    c = F.transform(F.filter(col, lambda x: x["role"].isNotNull()), lambda x: x["role"])
     e = F.transform(
-        col,
-        lambda x: F.when(x["role"].isin(*NOISY_E), x["role"]).otherwise(F.concat_ws(" ", x["role"], x["value"])),
+        col, lambda x: F.when(x["role"].isin(*NOISY_E), x["role"]).otherwise(F.concat_ws(" ", x["role"], x["value"]))
     )
     return df.select(
         "*",

@@ -128,6 +128,10 @@ def _count_udf(index: dict[str, int], idf: list[float] | None):
     return F.pandas_udf(encode, SPARSE)
 
 
+def _prefixed(items: Column, prefix: str) -> Column:
+    return F.transform(items, lambda w: F.concat(F.lit(prefix), w))
+
+
 class WordCountExtractor(Extractor):
     """Word counts over a learned vocabulary.
 
@@ -255,7 +259,7 @@ class RoleViewExtractor(WordCountExtractor):
         if self.terms is None:
             raise RuntimeError("fit the extractor first")
         viewed = roles.view_texts(roles.tagged_tokens(rows, self.text, self.keywords, "_tagged"), "_tagged")
-        marked = [F.transform(tokens.words(v), lambda w, v=v: F.concat(F.lit(f"{v}:"), w)) for v in self.views]
+        marked = [_prefixed(tokens.words(v), f"{v}:") for v in self.views]
         encode = _count_udf({t: i for i, t in enumerate(self.terms)}, None)
         return viewed.withColumn(out, encode(F.concat(*marked))).select(*rows.columns, out)
 
