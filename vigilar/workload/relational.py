@@ -107,8 +107,8 @@ def file_integrity(spark, sf):
         F.col("length").alias("bytes"),
         F.when(bad, F.sha2(F.lit("x"), 256)).otherwise(F.sha2("content", 256)).alias("sha256"),
     )
-    doc = files.select(F.create_map(F.lit("main"), F.struct(F.create_map(name, entry).alias("files"))).alias("groups"))
-    doc.write.json(path)
+    one = files.agg(F.map_from_entries(F.collect_list(F.struct(name, entry))).alias("files"))
+    one.select(F.create_map(F.lit("main"), F.struct("files")).alias("groups")).write.json(path)
     return SC.verify_files(SC.manifest_entries(spark, path), sf)
 
 
