@@ -109,17 +109,25 @@ def tagged_tokens(
     elements follow with a NULL role, so a list counts once among the roles.
     """
     listed = keyword_list(keywords)
-    with_tokens = df.withColumn("_tok", sql_tokens(text))
-    near = lambda i: F.coalesce(F.get(F.col("_tok"), i), F.lit(""))
+    # Tokens travel with their neighbours, so that the lambda refers to nothing outside it: a
+    # predicate on the result may then be pushed down without re-tokenising per element.
+    tok = F.col("_tok")
+    blank = F.array(F.lit(""))
+    n = F.size(tok)
+    zipped = F.arrays_zip(
+        tok.alias("t"),
+        F.concat(blank, F.slice(tok, 1, F.greatest(n - 1, F.lit(0)))).alias("before"),
+        F.concat(F.slice(tok, 2, F.greatest(n - 1, F.lit(0))), blank).alias("after"),
+    )
 
     def entry(value: Column, role: Column) -> Column:
         return F.struct(value.alias("value"), role.cast("string").alias("role"))
 
-    def tag(t: Column, i: Column) -> Column:
-        before, after = near(i - 1), near(i + 1)
+    def tag(z: Column) -> Column:
+        t, before, after = z["t"], z["before"], z["after"]
         bare = F.regexp_replace(t, r"[ \t\n]*,$", "")
         continues = _is_element(after) | _can_end_list(after)
-        follows = (i > 0) & _is_element(before)
+        follows = _is_element(before)
         comma = entry(F.lit(","), F.lit("Punct"))
         element = (
             F.when(follows & continues, F.array(entry(bare, F.lit(None))))
@@ -131,7 +139,9 @@ def tagged_tokens(
         single = F.array(entry(t, _role(t, after, listed)))
         return F.when(_is_element(t), element).when(follows & _can_end_list(t), last).otherwise(single)
 
-    return with_tokens.withColumn(out, F.flatten(F.transform("_tok", tag))).drop("_tok")
+    with_tokens = df.withColumn("_tok", sql_tokens(text)).withColumn("_zip", F.when(n > 0, zipped))
+    tagged = F.coalesce(F.flatten(F.transform("_zip", tag)), F.array().cast("array<struct<value:string,role:string>>"))
+    return with_tokens.withColumn(out, tagged).drop("_tok", "_zip")
 
 
 def view_texts(df: DataFrame, tagged: str = "tagged") -> DataFrame:
@@ -161,9 +171,9 @@ def view_term_counts(
     viewed = view_texts(tagged_tokens(df.select(row_id, text), text, keywords))
     views = list(views)
     texts = F.array(*[F.struct(F.lit(v).alias("view"), F.col(v).alias("txt")) for v in views])
-    one = viewed.select(row_id, F.explode(texts).alias("v")).select(row_id, "v.view", "v.txt")
-    terms = one.select(row_id, "view", F.explode(words("txt")).alias("term"))
-    return terms.groupBy(row_id, "view", "term").agg(F.count(F.lit(1)).alias("n"))
+    one = viewed.select(row_id, F.explode_outer(texts).alias("v")).select(row_id, "v.view", "v.txt")
+    terms = one.select(row_id, "view", F.explode_outer(words("txt")).alias("term"))
+    return terms.where(F.col("term").isNotNull()).groupBy(row_id, "view", "term").agg(F.count(F.lit(1)).alias("n"))
 
 
 def view_vocabulary(counts: DataFrame, min_df: int = 1) -> DataFrame:

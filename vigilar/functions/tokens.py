@@ -38,8 +38,8 @@ def special_runs(text: str | Column) -> Column:
 
 def learn_special_runs(fit: DataFrame, text: str = "full_query") -> DataFrame:
     """Distinct runs seen in the training texts (column ``run``)."""
-    per_text = fit.select(F.explode(F.array_distinct(special_runs(text))).alias("run"))
-    return per_text.distinct()
+    per_text = fit.select(F.explode_outer(F.array_distinct(special_runs(text))).alias("run"))
+    return per_text.where(F.col("run").isNotNull()).distinct()
 
 
 def _class_counts(tokens: Column, keywords: tuple[str, ...], prefix: str) -> dict[str, Column]:
@@ -82,11 +82,10 @@ def loginov_columns(
 
     seen = valid_runs.limit(INLINE_RUNS + 1).collect()
     if len(seen) <= INLINE_RUNS:
-        known = F.array(*[F.lit(r["run"]) for r in seen]).cast("array<string>")
-        prepared = prepared.withColumn("_new", F.array_except("_runs", known))
-        counts["n_anomalous_schars"] = F.size(F.filter("_runs", lambda r: F.array_contains(F.col("_new"), r)))
+        known = [r["run"] for r in seen]
+        counts["n_anomalous_schars"] = F.size(F.filter("_runs", lambda r: ~r.isin(*known)))
     else:
-        pairs = df.select(row_id, F.explode(special_runs(text)).alias("run"))
+        pairs = df.select(row_id, F.explode_outer(special_runs(text)).alias("run")).where(F.col("run").isNotNull())
         new = pairs.join(valid_runs, "run", "left_anti").groupBy(row_id).agg(F.count(F.lit(1)).alias("_n_new"))
         prepared = prepared.join(new, row_id, "left")
         counts["n_anomalous_schars"] = F.coalesce("_n_new", F.lit(0))
@@ -105,9 +104,11 @@ def words(text: str | Column) -> Column:
 def term_counts(df: DataFrame, text: str | Column = "full_query", row_id: str = "row_id") -> DataFrame:
     """Long bag of words: one row (row_id, term, n) per distinct term of a text.
 
-    Counts are combined before the shuffle, so only distinct (row, term) pairs move.
+    Counts are combined before the shuffle, so only distinct (row, term) pairs move. The
+    outer explode keeps Spark from adding a non-empty filter that would match the regex
+    a second time.
     """
-    exploded = df.select(row_id, F.explode(words(text)).alias("term"))
+    exploded = df.select(row_id, F.explode_outer(words(text)).alias("term")).where(F.col("term").isNotNull())
     return exploded.groupBy(row_id, "term").agg(F.count(F.lit(1)).alias("n"))
 
 

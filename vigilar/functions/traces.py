@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -101,7 +103,7 @@ def trace_tag_counts(df: DataFrame, mode: str = "expert", tree: str = "semantic_
     The expert model counts both tag fields, the others the first one only; ``ruleid``
     counts the kinds of the fixed range and skips kinds that are not integers.
     """
-    nodes = df.select(row_id, F.explode(trace_nodes(tree)).alias("node"))
+    nodes = df.select(row_id, F.explode_outer(trace_nodes(tree)).alias("node")).where(F.col("node").isNotNull())
     if mode == "ruleid":
         kind = F.expr("try_cast(node.kind AS INT)")
         hits = nodes.select(row_id, kind.alias("_k")).where(F.col("_k").between(RULE_MIN, RULE_MAX))
@@ -133,6 +135,16 @@ def keyword_stats(df: DataFrame, keywords: Iterable[str] | DataFrame = CORE_KEYW
     return counted.withColumns(stats).drop("_c")
 
 
+def _count_labels(index: dict[str, int]):
+    """Label list to a vector of counts, Arrow batch by Arrow batch."""
+
+    def count(labels: pd.Series) -> pd.Series:
+        rows = ([index[x] for x in ls if x in index] if ls is not None else [] for ls in labels)
+        return pd.Series([np.bincount(np.asarray(r, dtype=np.int64), minlength=len(index)).astype(float) for r in rows])
+
+    return F.pandas_udf(count, "array<double>")
+
+
 def trace_vector(
     df: DataFrame,
     mode: str = "expert",
@@ -144,15 +156,14 @@ def trace_vector(
     full = keyword_stats(syntactic_fields(df), keywords, tree).withColumn("_nodes", trace_nodes(tree))
     if mode == "ruleid":
         kinds = F.transform("_nodes", lambda n: n["kind"].try_cast("int"))
-        labels = F.filter(kinds, lambda k: k.between(RULE_MIN, RULE_MAX))
-        names = F.sequence(F.lit(RULE_MIN), F.lit(RULE_MAX))
+        labels = F.transform(F.filter(kinds, lambda k: k.between(RULE_MIN, RULE_MAX)), lambda k: k.cast("string"))
+        names = [str(k) for k in range(RULE_MIN, RULE_MAX + 1)]
     else:
         labels = F.transform("_nodes", lambda n: n["tag1"])
         if mode == "expert":
             labels = F.concat(labels, F.transform("_nodes", lambda n: n["tag2"]))
-        names = F.array(*[F.lit(t) for t in tag_names(mode)])
-    full = full.withColumn("_labels", labels).withColumn("_names", names)
-    counts = F.transform("_names", lambda t: F.size(F.filter(F.col("_labels"), lambda x: x == t)).cast("double"))
+        names = tag_names(mode)
+    counts = _count_labels({name: i for i, name in enumerate(names)})(labels)
     vector = F.concat(
         F.array(*[F.col(c) for c in SYNTACTIC_DEFAULTS]), counts, F.array(*[F.col(c) for c in KEYWORD_STATS])
     )

@@ -235,7 +235,8 @@ def pages_and_docs(spark, sf):
 
 @query("token_roles", f"WITH {_PAGES_AND_DOCS}, {ROLE_SQL} SELECT row_id, coalesce(role, 'none') AS role, count(*) AS n FROM out GROUP BY ALL")
 def token_roles(spark, sf):
-    tagged = roles.tagged_tokens(pages_and_docs(spark, sf)).select("row_id", F.explode("tagged").alias("t"))
+    tagged = roles.tagged_tokens(pages_and_docs(spark, sf)).select("row_id", F.explode_outer("tagged").alias("t"))
+    tagged = tagged.where(F.col("t").isNotNull())
     return tagged.groupBy("row_id", F.coalesce("t.role", F.lit("none")).alias("role")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -352,7 +353,7 @@ def states(spark, sf):
     SELECT vec_id AS row_id, j - 1 AS dim, round(avg(v), 6) + 0.0 AS value FROM x GROUP BY vec_id, j""",
 )
 def masked_mean_pool(spark, sf):
-    pooled = states(spark, sf).select("row_id", F.posexplode(pooling.masked_mean_pool("token_states", "mask")).alias("dim", "value"))
+    pooled = states(spark, sf).select("row_id", F.posexplode_outer(pooling.masked_mean_pool("token_states", "mask")).alias("dim", "value"))
     return rounded(pooled.withColumn("dim", F.col("dim").cast("bigint")), "value")
 
 
@@ -364,7 +365,7 @@ def masked_mean_pool(spark, sf):
 )
 def suffix_mean_pool(spark, sf):
     pooled = pooling.suffix_mean_pool("token_states", F.col("row_id") % 8 + 1)
-    out = states(spark, sf).select("row_id", F.posexplode(pooled).alias("dim", "value"))
+    out = states(spark, sf).select("row_id", F.posexplode_outer(pooled).alias("dim", "value"))
     return rounded(out.withColumn("dim", F.col("dim").cast("bigint")), "value")
 
 
@@ -373,7 +374,7 @@ def suffix_mean_pool(spark, sf):
     "SELECT vec_id AS row_id, j - 1 AS dim, round(embedding[j]::DOUBLE, 6) + 0.0 AS value FROM embeddings, range(1, 9) b(j)",
 )
 def first_token_pool(spark, sf):
-    out = states(spark, sf).select("row_id", F.posexplode(pooling.first_token_pool("token_states")).alias("dim", "value"))
+    out = states(spark, sf).select("row_id", F.posexplode_outer(pooling.first_token_pool("token_states")).alias("dim", "value"))
     return rounded(out.withColumn("dim", F.col("dim").cast("bigint")), "value")
 
 
@@ -383,7 +384,7 @@ def first_token_pool(spark, sf):
     SELECT vec_id AS row_id, j - 1 AS dim, round(v / sqrt(sum(v * v) OVER (PARTITION BY vec_id)), 6) + 0.0 AS value FROM x""",
 )
 def l2_normalize(spark, sf):
-    out = vectors(spark, sf).select("row_id", F.posexplode(pooling.l2_normalize("features")).alias("dim", "value"))
+    out = vectors(spark, sf).select("row_id", F.posexplode_outer(pooling.l2_normalize("features")).alias("dim", "value"))
     return rounded(out.withColumn("dim", F.col("dim").cast("bigint")), "value")
 
 
@@ -449,7 +450,7 @@ def total_variance(spark, sf):
 def zscore_apply(spark, sf):
     rows = vectors(spark, sf)
     scaler = scaling.fit_scaler(rows.where(F.col("role") == "fit"), "standard")
-    out = rows.select("row_id", F.posexplode(scaler.apply("features")).alias("dim", "value"))
+    out = rows.select("row_id", F.posexplode_outer(scaler.apply("features")).alias("dim", "value"))
     return rounded(out.withColumn("dim", F.col("dim").cast("bigint")), "value")
 
 
