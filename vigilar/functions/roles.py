@@ -76,12 +76,14 @@ def sql_tokens(text: str | Column) -> Column:
 
 def _role(token: Column, following: Column, keywords: tuple[str, ...]) -> Column:
     up = F.upper(token)
-    word = token.rlike(rf"^{_NAME}$")
-    role = F.when(token.isin("(", ")"), "Par")
+    reserved = F.when(up.isin(*ROLE_WORDS["DML"]), "DML")
     for name, members in ROLE_WORDS.items():
-        role = role.when(up.isin(*members), name)
-    role = role.when(word & up.isin(*keywords), "Keyw")
-    role = role.when(word & (following == "("), "Func").when(word, "Identifi")
+        reserved = reserved.when(up.isin(*members), name)
+    known = sorted({*keywords, *(w for members in ROLE_WORDS.values() for w in members)})
+    # One hash lookup settles most words; the finer cases follow only on a hit.
+    role = F.when(up.isin(*known), reserved.otherwise(F.when(token.rlike(rf"^{_NAME}$"), "Keyw").otherwise("Identifi")))
+    role = role.when(token.rlike(rf"^{_NAME}$"), F.when(following == "(", "Func").otherwise("Identifi"))
+    role = role.when(token.isin("(", ")"), "Par")
     role = role.when(token.rlike(r"^0[xX][0-9a-fA-F]+$"), "Hexadecimal")
     role = role.when(token.rlike(r"^[0-9]+(\.[0-9]+)?$"), "Int")
     role = role.when(token.rlike(r"^'[^']*'$"), "Quot").when(token.rlike(r'^("[^"]*"|`[^`]*`)$'), "Identifi")

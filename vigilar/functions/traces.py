@@ -121,10 +121,16 @@ def syntactic_fields(df: DataFrame) -> DataFrame:
     )
 
 
-def keyword_stats(df: DataFrame, keywords: Iterable[str] | DataFrame = CORE_KEYWORDS, tree: str = "semantic_tree") -> DataFrame:
+def keyword_stats(
+    df: DataFrame,
+    keywords: Iterable[str] | DataFrame = CORE_KEYWORDS,
+    tree: str = "semantic_tree",
+    nodes: Column | None = None,
+) -> DataFrame:
     """Append average, largest and smallest keyword count over the nodes with a value (else 0)."""
     listed = keyword_list(keywords)
-    values = F.filter(F.transform(trace_nodes(tree), lambda n: n["value"]), lambda v: F.length(v) > 0)
+    nodes = trace_nodes(tree) if nodes is None else nodes
+    values = F.filter(F.transform(nodes, lambda n: n["value"]), lambda v: F.length(v) > 0)
     counted = df.withColumn("_c", F.transform(values, lambda v: keyword_hits(v, listed)))
     total = F.aggregate("_c", F.lit(0), lambda a, x: a + x)
     stats = {
@@ -153,7 +159,8 @@ def trace_vector(
     out: str = "trace_features",
 ) -> DataFrame:
     """Append the whole trace vector (:func:`trace_feature_names`) as ``ARRAY<DOUBLE>``; no shuffle."""
-    full = keyword_stats(syntactic_fields(df), keywords, tree).withColumn("_nodes", trace_nodes(tree))
+    full = syntactic_fields(df).withColumn("_nodes", trace_nodes(tree))
+    full = keyword_stats(full, keywords, nodes=F.col("_nodes"))
     if mode == "ruleid":
         kinds = F.transform("_nodes", lambda n: n["kind"].try_cast("int"))
         labels = F.transform(F.filter(kinds, lambda k: k.between(RULE_MIN, RULE_MAX)), lambda k: k.cast("string"))

@@ -27,10 +27,11 @@ AE_CV_FEATURES = 20_000  # fixed value: vocabulary cap of word counts feeding th
 
 
 class Extractor:
-    """Base: stateless, dense. ``dim`` is known after ``fit`` (``None``: open vocabulary)."""
+    """Base: dense, text in one column. ``dim`` is known after ``fit`` (``None``: open vocabulary)."""
 
     name = ""
     observes_insider = False
+    stateless = False
 
     def __init__(self, text: str = "full_query"):
         self.text = text
@@ -61,6 +62,7 @@ class Extractor:
 
 class LexicalExtractor(Extractor):
     name = "li"
+    stateless = True
 
     def transform(self, rows, out="features"):
         return lexical.li_vector(rows, self.text, out)
@@ -268,6 +270,7 @@ class TraceExtractor(Extractor):
     """Parser-trace features of one tag model, followed by the lexical ones."""
 
     observes_insider = True
+    stateless = True
 
     def __init__(self, mode: str, text="full_query", keywords=CORE_KEYWORDS):
         super().__init__(text)

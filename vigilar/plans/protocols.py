@@ -16,7 +16,7 @@ from vigilar.operators.autoencoder import new_state, reconstruction_error, train
 from vigilar.operators.blocks import dense_matrix
 from vigilar.operators.sampling import fit_val_roles, prefix_samples, sample_fraction
 from vigilar.plans.detector import Detector
-from vigilar.plans.extractors import EXTRACTORS, SLOW_FRACTION, observes_insider
+from vigilar.plans.extractors import EXTRACTORS, SLOW_FRACTION, build_extractor, observes_insider
 from vigilar.session import stable
 
 # Fixed values of the protocols.
@@ -34,6 +34,20 @@ def grid(methods: Sequence[str], extractors: Sequence[str], scenarios: Sequence[
     return [(s, m, e) for m in methods for e in extractors for s in scenarios]
 
 
+def add_features(rows: DataFrame, extractors: Sequence[str]) -> DataFrame:
+    """Compute the vectors of stateless extractors once, as columns that detectors pick up.
+
+    Done before the rows are spread over scenarios, every row is featurised once for all
+    scenarios and heads.
+    """
+    for name in extractors:
+        made = build_extractor(name)
+        if not made.stateless:
+            raise ValueError(f"{name} learns from the fit rows and cannot be computed up front")
+        rows = made.transform(rows, f"features_{name}")
+    return rows
+
+
 def _tagged(df: DataFrame, **labels) -> DataFrame:
     return df.withColumns({k: F.lit(v) for k, v in labels.items()})
 

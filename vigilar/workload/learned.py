@@ -19,6 +19,7 @@ from vigilar.operators.sampling import fit_val_roles
 from vigilar.plans import protocols as P
 from vigilar.plans.detector import Detector, DetectorEstimator
 from vigilar.plans.extractors import build_extractor
+from vigilar.session import stable
 from vigilar.sources.scenarios import build_scenarios, drift_partitions, fewshot_sets
 from vigilar.sources.tables import corpus, traces, vectors
 from vigilar.streaming.scorer import score_stream, start_scoring
@@ -29,7 +30,7 @@ from vigilar.workload.relational import md5_of
 _FAST_AE = AeConfig(epochs=20)
 
 
-def lof_ctes(fit: str, test: str, dist: str, k: int = 20) -> str:
+def lof_ctes(fit: str, test: str, dist: str, k: int = 20, digits: int = 6) -> str:
     """LOF in SQL over ``fit(id, v)`` and ``test(id, v)``."""
     return f"""ff AS (SELECT a.id AS q, b.id AS s, {dist} AS d FROM {fit} a, {fit} b WHERE a.id <> b.id),
   fn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY d, s) AS r FROM ff) WHERE r <= {k}),
@@ -37,7 +38,7 @@ def lof_ctes(fit: str, test: str, dist: str, k: int = 20) -> str:
   lr AS (SELECT q AS s, 1.0 / (sum(greatest(kdist, d)) / {k}.0 + 1e-10) AS lrd FROM fn JOIN kd USING (s) GROUP BY q),
   tf AS (SELECT a.id AS q, b.id AS s, {dist} AS d FROM {test} a, {fit} b),
   tn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY d, s) AS r FROM tf) WHERE r <= {k}),
-  lof AS (SELECT q AS id, (sum(lrd) / {k}.0) / (1.0 / (sum(greatest(kdist, d)) / {k}.0 + 1e-10)) - 1.5 AS score
+  lof AS (SELECT q AS id, round((sum(lrd) / {k}.0) / (1.0 / (sum(greatest(kdist, d)) / {k}.0 + 1e-10)) - 1.5, {digits}) AS score
     FROM tn JOIN kd USING (s) JOIN lr USING (s) GROUP BY q)"""
 
 
@@ -47,7 +48,7 @@ _VECTORS = """emb AS (SELECT vec_id AS id, list_transform(embedding, lambda x: x
 
 @query(
     "lof_scores",
-    f"WITH {_VECTORS}, {lof_ctes('fit', 'test', 'list_distance(a.v, b.v)')} SELECT id AS row_id, round(score, 6) AS score FROM lof",
+    f"WITH {_VECTORS}, {lof_ctes('fit', 'test', 'list_distance(a.v, b.v)')} SELECT id AS row_id, score FROM lof",
 )
 def lof_query(spark, sf):
     rows = vectors(spark, sf)
@@ -89,15 +90,13 @@ def flagship(spark, sf):
     rows = fit_val_roles(corpus(spark, sf), 0.1, 7)
     train = (F.col("label") == 0) & (F.col("split") == "train")
     rows = rows.withColumn("role", F.when(train, F.col("role")).otherwise("test"))
-    from vigilar.session import stable
-
     feats = stable(lexical.li_vector(rows).drop("full_query"))
     scaler = scaling.fit_scaler(feats.where(F.col("role") == "fit"), "standard")
     scaled = feats.withColumn("features", scaler.apply("features"))
     model = LofModel.fit(scaled.where(F.col("role") == "fit"))
     unseen = scaled.where(F.col("role") != "fit")
     scored = stable(
-        model.score(unseen).join(unseen.select("row_id", "domain", "label", "attack_technique", "role"), "row_id")
+        rounded(model.score(unseen), "score").join(unseen.select("row_id", "domain", "label", "attack_technique", "role"), "row_id")
     )
     thr = M.percentile_threshold(scored.where(F.col("role") == "val"), 0.1)
     test = M.mask_insider(scored.where(F.col("role") == "test"), ["domain"])
@@ -137,7 +136,7 @@ def ae_finetune_scores(spark, sf):
 def _layer_sql(src: str, dst: str, w: np.ndarray, b: np.ndarray, act: str) -> str:
     rows = "[" + ", ".join("[" + ", ".join(repr(float(x)) for x in col) + "]" for col in w.T) + "]"
     bias = "[" + ", ".join(repr(float(x)) for x in b) + "]"
-    z = f"list_dot_product({rows}::DOUBLE[][][j], v) + {bias}::DOUBLE[][j]".replace("::DOUBLE[][j]", "::DOUBLE[][j]")
+    z = f"list_dot_product(({rows}::DOUBLE[][])[j], v) + ({bias}::DOUBLE[])[j]"
     f = {"relu": f"greatest({z}, 0.0)", "tanh": f"tanh({z})"}[act]
     return f"{dst} AS (SELECT row_id, x, list_transform(range(1, {len(b) + 1}), lambda j: {f}) AS v FROM {src})"
 
@@ -164,7 +163,7 @@ def ae_scores_fixed_weights(spark, sf):
 @query("suite_results")
 def suite_results(spark, sf):
     """All in-domain and held-out scenarios with a one-class SVM, one scenario with every head."""
-    scen = build_scenarios(corpus(spark, sf))
+    scen = stable(build_scenarios(P.add_features(corpus(spark, sf), ["li"])))
     names = ["a-a", "b-b", "c-c", "d-d", "bcd-a", "acd-b", "abd-c", "abc-d"]
     cells = P.grid(["ocsvm"], ["li"], names) + P.grid(["lof"], ["loginov"], ["a-a"]) + P.grid(["ae"], ["tfidf"], ["a-a"])
     light = {"ae": _FAST_AE, "ocsvm": OcsvmConfig(n_components=128, global_rounds=3)}
