@@ -14,7 +14,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vigilar.functions import lexical, pooling, roles, tokens, traces
@@ -249,11 +249,10 @@ class RoleViewExtractor(WordCountExtractor):
 
     def fit(self, rows):
         counts = roles.view_term_counts(rows, self.views, self.text, self.keywords)
-        vocab = roles.view_vocabulary(counts, self.min_df)
-        found = []
-        for view in self.views:
-            top = vocab.where(F.col("view") == view).orderBy(F.col("tf").desc(), "term").limit(self.max_features)
-            found += [f"{view}:{t}" for t in sorted(r["term"] for r in top.select("term").collect())]
+        place = F.row_number().over(Window.partitionBy("view").orderBy(F.col("tf").desc(), "term"))
+        top = roles.view_vocabulary(counts, self.min_df).withColumn("_r", place).where(F.col("_r") <= self.max_features)
+        found = sorted((self.views.index(r["view"]), r["term"]) for r in top.select("view", "term").collect())
+        found = [f"{self.views[i]}:{t}" for i, t in found]
         self.terms = found
         return self
 

@@ -16,9 +16,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Give a scan with fewer splits than cores one partition per core, by the hash of its id.
+
+    Text features cost CPU per byte, and a small file with few row groups would leave
+    cores idle. A scan with enough splits, as any large table has, is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if len(df.inputFiles()) < cores and df.rdd.getNumPartitions() <= cores else df
+
+
+def texts(spark: SparkSession, sf_dir: str, name: str, row_id: str, text: str, *more: str) -> DataFrame:
+    """A text table as (row_id column, text column, more...), spread over the cores."""
+    return spread(table(spark, sf_dir, name).select(row_id, text, *more), row_id)
+
+
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(row_id, full_query, label, domain, statement_type, query_template_id, attack_technique, split, drift_set)."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    docs = texts(spark, sf_dir, "documents", "doc_id", "text", "lang", "source")
     toxic = table(spark, sf_dir, "labels").select("doc_id", "toxic")
     label = F.coalesce("toxic", F.lit(0))
     names = F.array(*[F.lit(t) for t in TECHNIQUES])
@@ -37,7 +52,8 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select(F.col("page_id").alias("row_id"), F.col("html").alias("full_query"))
+    pages = texts(spark, sf_dir, "pages", "page_id", "html")
+    return pages.select(F.col("page_id").alias("row_id"), F.col("html").alias("full_query"))
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,7 +80,7 @@ def traces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Every tenth document has no trace; every ninth word becomes a node with too few fields.
     """
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = texts(spark, sf_dir, "documents", "doc_id", "text")
     tags = F.array(*[F.lit(t) for t in TRACE_TAGS])
     clean = F.regexp_replace("text", "[:|]", " ")
     words = F.filter(F.split(clean, r"[ \t\r\n]+"), lambda w: w != "")

@@ -9,7 +9,7 @@ from vigilar.functions import traces as TR
 from vigilar.functions.chars import SPACE, WORD, digit_class, upper_class
 from vigilar.functions.keywords import CORE_KEYWORDS
 from vigilar.operators import scaling
-from vigilar.sources.tables import TRACE_TAGS, corpus, page_corpus, table, traces, vectors
+from vigilar.sources.tables import TRACE_TAGS, corpus, page_corpus, table, texts, traces, vectors
 from vigilar.workload.common import CORPUS, query, r6, rounded, sql_list
 
 KW = sql_list(CORE_KEYWORDS)
@@ -19,7 +19,7 @@ TURNS = "src AS (SELECT conv_id * 1000 + turn AS row_id, text AS full_query FROM
 
 
 def docs(spark, sf):
-    return table(spark, sf, "documents").select(F.col("doc_id").alias("row_id"), F.col("text").alias("full_query"))
+    return texts(spark, sf, "documents", "doc_id", "text").toDF("row_id", "full_query")
 
 
 def turns(spark, sf):
