@@ -4,6 +4,7 @@ import math
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry_point
@@ -24,7 +25,7 @@ def duck(sf):
 
 def rows(pdf):
     def clean(v):
-        if v is None or (isinstance(v, float) and math.isnan(v)):
+        if v is None or v is pd.NA or (isinstance(v, float) and math.isnan(v)):
             return "NULL"
         return float(v) if isinstance(v, (int, float, np.number)) and not isinstance(v, bool) else v
 
