@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 import numpy as np
@@ -70,28 +71,32 @@ def fit_and_score(
 
 def suite_scores(
     scenarios: DataFrame, cells: Sequence[tuple[str, str, str]], seed=7, configs: dict | None = None,
-    save_to: str | None = None, save_methods: Sequence[str] = ("ae",), **options,
+    save_to: str | None = None, save_methods: Sequence[str] = ("ae",), side_by_side: int = 4, **options,
 ) -> tuple[DataFrame, DataFrame]:
     """Long test and validation scores of all cells: keys of :data:`CELL`.
 
     ``scenarios`` has (scenario, split, row_id, full_query, label, attack_technique, ...).
-    Each cell's model is fitted in turn; what follows is one job for the whole grid.
+    A few cells are fitted side by side, as the small jobs of one leave the cluster idle;
+    what follows is one job for the whole grid.
     """
-    test_parts, val_parts = [], []
     keep = ("row_id", "label", "attack_technique")
-    for scenario, method, extractor in cells:
+
+    def run(cell: tuple[str, str, str]) -> tuple[DataFrame, DataFrame]:
+        scenario, method, extractor = cell
         rows = scenarios.where(F.col("scenario") == scenario)
-        config = (configs or {}).get(method)
         det, val, test = fit_and_score(
-            rows.where(F.col("split") == "train"), rows.where(F.col("split") == "test"), method, extractor, keep, seed, config,
-            **options,
+            rows.where(F.col("split") == "train"), rows.where(F.col("split") == "test"), method, extractor, keep, seed,
+            (configs or {}).get(method), **options,
         )
-        cell = {"scenario": scenario, "method": method, "extractor": extractor}
         test = M.mask_insider(stable(test), observes_insider=observes_insider(extractor))
-        test_parts.append(_tagged(test, **cell))
-        val_parts.append(_tagged(val, **cell))
         if save_to is not None and method in save_methods:
             det.save(f"{save_to}/{method}_{extractor}_{scenario}")
+        names = {"scenario": scenario, "method": method, "extractor": extractor}
+        return _tagged(test, **names), _tagged(val, **names)
+
+    with ThreadPoolExecutor(side_by_side) as pool:
+        parts = list(pool.map(run, cells))
+    test_parts, val_parts = [t for t, _ in parts], [v for _, v in parts]
     union = lambda parts: stable(reduce(DataFrame.unionByName, parts))
     return union(test_parts), union(val_parts)
 
@@ -250,9 +255,11 @@ def train_detector(rows: DataFrame, method: str, extractor: str, config=None, **
 def evaluate_detector(det: Detector, rows: DataFrame) -> DataFrame:
     """roc_auc, average_precision, n_samples and n_attacks of one labelled table."""
     scores = det.score(rows, ("row_id", "label"))
-    areas = M.curve_areas(scores).select(F.col("auroc").alias("roc_auc"), "average_precision")
-    counts = rows.agg(F.count(F.lit(1)).alias("n_samples"), F.sum("label").alias("n_attacks"))
-    return areas.join(F.broadcast(counts))
+    scores = scores.withColumn("cell", F.lit(0))
+    none = rows.sparkSession.createDataFrame([(0, None)], "cell int, threshold double")
+    return M.evaluate(scores, none, ["cell"]).select(
+        F.col("auroc").alias("roc_auc"), "average_precision", F.col("n_test").alias("n_samples"), "n_attacks"
+    )
 
 
 def time_scoring(det: Detector, rows: DataFrame, repeats: int = 5, warmup: int = 1) -> DataFrame:

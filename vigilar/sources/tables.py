@@ -23,7 +23,7 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     cores idle. A scan with enough splits, as any large table has, is left as it is.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if len(df.inputFiles()) < cores and df.rdd.getNumPartitions() <= cores else df
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() <= cores else df
 
 
 def texts(spark: SparkSession, sf_dir: str, name: str, row_id: str, text: str, *more: str) -> DataFrame:

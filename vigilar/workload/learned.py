@@ -100,7 +100,7 @@ def flagship(spark, sf):
     )
     thr = M.percentile_threshold(scored.where(F.col("role") == "val"), 0.1)
     test = M.mask_insider(scored.where(F.col("role") == "test"), ["domain"])
-    thresholds = test.select("domain").distinct().join(F.broadcast(thr))
+    thresholds = test.select("domain").distinct().withColumn("threshold", F.lit(thr.first()["threshold"]))
     out = M.evaluate(test, thresholds, ["domain"])
     return out.select(
         "domain", "n_attacks", "n_test", F.round("threshold", 4).alias("threshold"), F.round("auroc", 4).alias("auroc"), "tp", "fp"
