@@ -84,16 +84,22 @@ def li_columns(df: DataFrame, text: str = "full_query") -> DataFrame:
     words = (*WORD_FLAGS, *QUERY_KEYWORDS, *STRING_FUNCTIONS)
     raw, rest = F.col("_raw"), F.col("_rest")
     low = F.col("_low")
-    marks = F.col("_marks")
+    marks, odd = F.col("_marks"), F.col("_odd")
     found = F.col("_found")
-    # One pass keeps only ASCII punctuation; the symbol counts then run on this short string.
     prepared = df.withColumn("_raw", F.col(text).cast("string")).withColumn("_low", F.lower("_raw"))
-    prepared = prepared.withColumn("_marks", F.regexp_replace("_raw", r"[a-zA-Z0-9\s\x{7f}-\x{10ffff}]++", " "))
-    # ... and one drops lower-case ASCII letters before the classes that need Unicode properties.
-    prepared = prepared.withColumn("_rest", F.regexp_replace("_raw", "[a-z]++", ""))
+    # Most characters are plain ASCII. Cheap passes split the text into its ASCII punctuation,
+    # its other ASCII (without lower-case letters) and its non-ASCII characters; classes that
+    # need Unicode properties run on the last, usually short, part only. (Java matches a
+    # negated union of ranges about ten times slower than a positive one.)
+    prepared = prepared.withColumns(
+        {
+            "_marks": F.regexp_replace("_raw", r"[a-zA-Z0-9\s\x{1c}-\x{1f}\x{80}-\x{10ffff}]++", " "),
+            "_rest": F.regexp_replace("_raw", r"[a-z!-/:-@\[-`{-~\x{80}-\x{10ffff}]++", ""),
+            "_odd": F.regexp_replace("_raw", r"\p{ASCII}++", ""),
+        }
+    )
     prepared = prepared.withColumn(
-        "_found",
-        F.array_intersect(F.split("_low", f"[^{WORD}]++"), F.array(*[F.lit(w) for w in words])),
+        "_found", F.array_intersect(F.split("_low", f"[^{WORD}]++"), F.array(*[F.lit(w) for w in words]))
     )
 
     def has(*names: str) -> Column:
@@ -101,7 +107,7 @@ def li_columns(df: DataFrame, text: str = "full_query") -> DataFrame:
             found, names[0]
         )
 
-    special = f"{WORD.replace('_', '')}{digit_class()}{upper_class()}{SPACE}" + r"/*+\-\[\](){}"
+    special = f"{WORD.replace('_', '')}{digit_class()}{upper_class()}{SPACE}"
     flags = {
         "has_comment": F.contains(marks, F.lit("--")) | F.contains(marks, F.lit("#")),
         "has_query_keywords": has(*QUERY_KEYWORDS),
@@ -117,10 +123,11 @@ def li_columns(df: DataFrame, text: str = "full_query") -> DataFrame:
     counts = {
         "len_query": F.length(raw),
         "c_comparison": sum((_times(marks, op) for op in COMPARISON_OPERATORS[1:]), _times(marks, "=")),
-        "c_num": F.length(F.regexp_replace(rest, rf"[\x{{0}}-/:-\x{{7f}}]++|[^{digit_class()}]++", "")),
-        "c_upper": _kept(rest, upper_class()),
-        "c_space": _kept(rest, SPACE),
-        "c_special": F.length(F.regexp_replace(rest, rf"[A-Z0-9 ]++|[{special}]++", "")),
+        "c_num": F.length(F.regexp_replace(rest, r"[A-Z\x{0}-\x{20}\x{7f}]++", "")) + _kept(odd, digit_class()),
+        "c_upper": F.length(F.regexp_replace(rest, r"[0-9\x{0}-\x{20}\x{7f}]++", "")) + _kept(odd, upper_class()),
+        "c_space": F.length(F.regexp_replace(rest, r"[A-Z0-9\x{0}-\x{8}\x{e}-\x{1b}\x{7f}]++", "")) + _kept(odd, SPACE),
+        "c_special": F.length(F.regexp_replace(marks, r"[ /*+\-\[\](){}]++", ""))
+        + F.length(F.regexp_replace(odd, f"[{special}]++", "")),
         "c_arith": F.length(F.regexp_replace(marks, r"[^+\-/*]++", "")) - slash_star - star_slash,
         "c_square_brackets": _kept(marks, r"\[\]"),
         "c_round_brackets": _kept(marks, "()"),
