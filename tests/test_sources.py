@@ -98,6 +98,14 @@ def test_stratified_cap_keeps_shares_and_ignores_partitioning(spark):
     assert S.stratified_cap(df, None) is df and S.stratified_cap(df, 400).count() == 400
 
 
+def test_samples_of_copies(spark):
+    """A third of the rows are copies with one id; sizes stay exact."""
+    copies = spark.range(100).select(F.lit(-1).cast("long").alias("row_id"), F.lit(0).alias("label"))
+    df = spark.range(200).select(F.col("id").alias("row_id"), F.lit(0).alias("label")).unionByName(copies)
+    for n in (1, 50, 150, 299):
+        assert S.sample_n(df, n).count() == n and S.stratified_cap(df, n).count() == n
+
+
 def test_prefix_samples_are_nested(spark):
     got = S.prefix_samples(corpus(spark).where("label = 0"), [0, 5, 50, 1000], [0, 1]).collect()
     ids = lambda k, s: [r.row_id for r in sorted(got, key=lambda r: r.place) if (r.k, r.seed) == (k, s)]

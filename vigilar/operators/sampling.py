@@ -44,17 +44,26 @@ def fit_val_roles(df: DataFrame, val_fraction: float = 0.1, seed=7, row_id: str
     return df.withColumn("role", F.when(in_fraction(val_fraction, seed, row_id), "val").otherwise("fit"))
 
 
+def _first_rows(edge: DataFrame, groups: list[str], hash_col: str, row_id: str) -> DataFrame:
+    """The first ``_rest`` rows per group. Equal rows (tables without unique ids may hold many
+    copies) are counted before they are ranked and repeated afterwards."""
+    counted = edge.groupBy(*edge.columns).agg(F.count(F.lit(1)).alias("_copies"))
+    whole = Window.partitionBy(*groups) if groups else Window.partitionBy(F.lit(0))
+    w = whole.orderBy(hash_col, row_id).rowsBetween(Window.unboundedPreceding, -1)
+    left = F.col("_rest") - F.coalesce(F.sum("_copies").over(w), F.lit(0))
+    kept = counted.withColumn("_keep", F.least(F.col("_copies"), left)).where(F.col("_keep") > 0)
+    return kept.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_keep")))).select(*edge.columns)
+
+
 def take_first(
     df: DataFrame, groups: Sequence[str], targets: DataFrame, hash_col: str, row_id: str = "row_id"
 ) -> DataFrame:
     """Keep, in every group, the ``_target`` rows with the smallest ``hash_col``.
 
-    ``targets`` has the group columns and ``_target``; with no group columns it has one
-    row. Groups of any size are handled by the prefix histogram.
+    ``targets`` has the group columns and ``_target``. Groups of any size are handled by
+    the prefix histogram.
     """
     groups = list(groups)
-    if not groups:
-        df, targets, groups = df.withColumn("_all", F.lit(0)), targets.withColumn("_all", F.lit(0)), ["_all"]
     prefix = F.substring(hash_col, 1, _PREFIX)
     hist = df.groupBy(*groups, prefix.alias("_prefix")).agg(F.count(F.lit(1)).alias("_n"))
     w = Window.partitionBy(*groups).orderBy("_prefix").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -70,18 +79,24 @@ def take_first(
     )
     marked = df.join(small_side(cuts), groups).withColumn("_prefix", prefix)
     below = marked.where(F.col("_prefix") < F.col("_cut"))
-    rank = F.row_number().over(Window.partitionBy(*groups).orderBy(hash_col, row_id))
-    edge = marked.where(F.col("_prefix") == F.col("_cut")).withColumn("_rank", rank)
-    edge = edge.where(F.col("_rank") <= F.col("_rest")).drop("_rank")
-    return below.unionByName(edge).drop("_prefix", "_cut", "_rest", "_all")
+    edge = _first_rows(marked.where(F.col("_prefix") == F.col("_cut")), groups, hash_col, row_id)
+    return below.unionByName(edge).drop("_prefix", "_cut", "_rest")
 
 
 def sample_n(df: DataFrame, n: int | None, seed=7, row_id: str = "row_id") -> DataFrame:
     """A sample of exactly ``min(n, rows)`` rows, without strata."""
     if n is None:
         return df
-    targets = df.sparkSession.range(1).select(F.lit(n).alias("_target"))
-    return take_first(df.withColumn("_h", order_hash(seed, row_id)), [], targets, "_h", row_id).drop("_h")
+    hashed = df.withColumn("_h", order_hash(seed, row_id)).withColumn("_prefix", F.substring("_h", 1, _PREFIX))
+    hist = hashed.groupBy("_prefix").agg(F.count(F.lit(1)).alias("_n"))
+    run = Window.partitionBy(F.lit(0)).orderBy("_prefix").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = hist.withColumn("_before", F.sum("_n").over(run) - F.col("_n")).where(F.col("_before") < n)
+    cut = before.agg(F.max("_prefix").alias("at"), F.max("_before").alias("before")).first()
+    if cut["at"] is None:
+        return df.limit(0)
+    edge = hashed.where(F.col("_prefix") == cut["at"]).withColumn("_rest", F.lit(n - cut["before"]))
+    edge = _first_rows(edge, [], "_h", row_id).drop("_rest")
+    return hashed.where(F.col("_prefix") < cut["at"]).unionByName(edge).drop("_h", "_prefix")
 
 
 def stratified_cap(

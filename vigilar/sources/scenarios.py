@@ -134,10 +134,7 @@ def read_labelled(
     rows = clean_required(raw.select(keep))
     if limit is None:
         return rows
-    if "row_id" in rows.columns:
-        return stratified_cap(rows, limit, seed)
-    hashed = rows.withColumn("row_id", F.xxhash64(*rows.columns))
-    return stratified_cap(hashed, limit, seed).drop("row_id")
+    return _cap(rows, limit, seed)
 
 
 def _is_parquet(path: str) -> bool:
@@ -165,7 +162,7 @@ def read_whole_sample(
     rows = read_labelled(spark, path, (*columns, "split"))
     if limit is None:
         return rows
-    return sample_n(_with_id(rows), limit, seed).drop("_rid") if "row_id" not in rows.columns else sample_n(rows, limit, seed)
+    return sample_n(_with_id(rows), limit, seed)
 
 
 def _with_id(rows: DataFrame) -> DataFrame:
