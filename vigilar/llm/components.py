@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from vigilar.llm.store import saved
@@ -24,8 +24,11 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionByName(least.select("u", F.col("m").alias("v")))
 
 
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
+def _kept(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """The edges, written, with their number and a digest taken on the way."""
+    seen = Observation()
+    written = saved(edges.observe(seen, F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("digest")), "edges")
+    return written, (seen.get["n"], seen.get["digest"])
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -35,13 +38,12 @@ def components(edges: DataFrame) -> DataFrame:
     side, which adaptive execution splits. Steps are logarithmic in the number of nodes;
     the edges of each step are written to shared storage.
     """
-    edges = saved(edges.where("u <> v").select("u", "v").distinct(), "edges")
-    state = _state(edges)
+    edges, state = _kept(edges.where("u <> v").select("u", "v").distinct())
     while state[0]:
-        edges = saved(_small_star(_large_star(edges).distinct()).distinct(), "edges")
-        last, state = state, _state(edges)
+        last = state
+        edges, state = _kept(_small_star(_large_star(edges)).distinct())
         if state == last:
             break
     child = edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
-    root = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
+    root = edges.groupBy(F.col("v").alias("node")).agg(F.min("v").alias("component"))
     return saved(child.unionByName(root).groupBy("node").agg(F.min("component").alias("component")), "components")

@@ -5,12 +5,12 @@
 2. ``HASHES`` minima of the universal family a*x + b (mod 2^64, a odd) are cut into bands of
    ``ROWS``. At similarity 0.75 a pair shares no band with probability (1 - 0.75^5)^40, 2e-5.
 3. Every bucket links its members to its smallest member. Signatures (one byte per minimum)
-   must agree for at least ``AGREE`` of the hashes, over five standard errors below 0.75;
+   must agree for at least ``AGREE`` of the hashes, nearly five standard errors below 0.75;
    the full sets then confirm or refute the link.
 4. Buckets whose members are not yet in one component are searched in blocks of slots, so
-   that no bucket is one task: signatures of members outside the bucket's main component are
-   compared with all others, and the pairs that agree go to verification in rounds of
-   growing rank until none is left. Pairs that are in one component by then are skipped.
+   that no bucket is one task: members outside the bucket's main component are compared with
+   all others of other components, by signature and then by set. A block gives at most one
+   link for each member and component; what they join is joined by a second round of stars.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ SHINGLE = 5
 PERCENT = 75
 BANDS, ROWS = 40, 5
 HASHES = BANDS * ROWS
-AGREE = 0.58
+AGREE = 0.6
 SLOT = 256
 
 _rng = np.random.default_rng(4)
@@ -125,54 +125,55 @@ def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["u", "v"]).filter(pa.array(good, pa.bool_()))
 
 
-def _confirm(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (u, v) of nodes that are links, by the whole sets made again from the whole texts."""
-    pairs = saved(pairs, "pairs")
-    nodes = pairs.select(F.col("u").alias("_id")).unionByName(pairs.select(F.col("v").alias("_id"))).distinct()
-    sets = docs.select("_id", "text").join(nodes, "_id", "leftsemi").mapInArrow(_set_rows, "node long, shingles binary")
-    sets = saved(sets, "sets")
+def _confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (u, v) of nodes that are links, by their whole sets."""
     joined = pairs.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("set_u")), "u")
     joined = joined.join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("set_v")), "v")
-    return saved(joined.select("u", "v", "set_u", "set_v").mapInArrow(_confirmed, "u long, v long"), "links")
-
-
-def _block_pairs(low: int, high: int):
-    """For a block of a bucket: pairs of different first components, by rank of agreement in [low, high)."""
-
-    def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches))
-        node, label = (table.column(c).to_numpy() for c in ("node", "label"))
-        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), dtype=np.uint8).reshape(-1, HASHES)
-        outside = table.column("outside").to_numpy(zero_copy_only=False)
-        inside = np.flatnonzero(~outside)
-        us, vs = [], []
-        for x in np.flatnonzero(outside):
-            other = inside[label[inside] != label[x]]
-            if len(other):
-                agree = (sig[other] == sig[x]).sum(axis=1)
-                near = np.flatnonzero(agree >= AGREE * HASHES)
-                chosen = other[near[np.lexsort((node[other[near]], -agree[near]))][low:high]]
-                us.append(np.minimum(node[chosen], node[x]))
-                vs.append(np.maximum(node[chosen], node[x]))
-        if us:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], names=["u", "v"])
-
-    return run
-
-
-def _open_blocks(members: DataFrame, labels: DataFrame, sigs: DataFrame) -> DataFrame:
+    return joined.select("u", "v", "set_u", "set_v").mapInArrow(_confirmed, "u long, v long")
+
+
+def _block_links(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of a block of a bucket: at most one from each outside member to each other component."""
+    table = pa.Table.from_batches(list(batches))
+    node, label = (table.column(c).to_numpy() for c in ("node", "label"))
+    sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), dtype=np.uint8).reshape(-1, HASHES)
+    sets = [np.frombuffer(x, dtype=np.uint64) for x in table.column("shingles").to_pylist()]
+    sizes = np.array([len(x) for x in sets])
+    outside = table.column("outside").to_numpy(zero_copy_only=False)
+    inside = np.flatnonzero(~outside)
+    us, vs = [], []
+    for x in np.flatnonzero(outside):
+        other = inside[label[inside] != label[x]]
+        fits = 100 * np.minimum(sizes[other], sizes[x]) >= PERCENT * np.maximum(sizes[other], sizes[x])
+        other = other[fits]
+        agree = (sig[other] == sig[x]).sum(axis=1)
+        done: set[int] = set()
+        for k in np.argsort(-agree, kind="stable"):
+            if agree[k] < AGREE * HASHES:
+                break
+            y = other[k]
+            if label[y] not in done and similar(sets[x], sets[y]):
+                done.add(label[y])
+                us.append(node[x])
+                vs.append(node[y])
+    if us:
+        yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
+
+
+def _open_blocks(members: DataFrame, labels: DataFrame) -> DataFrame:
     """Members of buckets that span components, dealt into blocks of about SLOT x SLOT members."""
     known = members.join(labels, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("label"))
+    known = saved(known, "members")
     by_label = known.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
     state = by_label.groupBy("bucket").agg(F.sum("n").alias("m"), F.count(F.lit(1)).alias("parts"), F.max_by("label", F.struct("n", "label")).alias("main"), F.max("n").alias("n_main"))
     # A bucket of two was settled by its one pair.
     state = state.where("parts > 1 and m > 2").select("bucket", "main", F.ceil(F.col("m") / SLOT).cast("int").alias("slots"), F.ceil((F.col("m") - F.col("n_main")) / SLOT).cast("int").alias("outs"))
-    open_members = known.join(state, "bucket").join(sigs, "node")
+    open_members = known.join(state, "bucket")
     slot = F.pmod(F.xxhash64("node", "bucket"), F.col("slots")).cast("int")
-    inside = open_members.select("bucket", slot.alias("i"), F.explode(F.sequence(F.lit(0), F.col("outs") - 1)).alias("j"), "node", "label", "sig", F.lit(False).alias("outside"))
+    inside = open_members.select("bucket", slot.alias("i"), F.explode(F.sequence(F.lit(0), F.col("outs") - 1)).alias("j"), "node", "label", F.lit(False).alias("outside"))
     out = open_members.where("label <> main")
     own = F.pmod(F.xxhash64("bucket", "node"), F.col("outs")).cast("int")
-    out = out.select("bucket", F.explode(F.sequence(F.lit(0), F.col("slots") - 1)).alias("i"), own.alias("j"), "node", "label", "sig", F.lit(True).alias("outside"))
+    out = out.select("bucket", F.explode(F.sequence(F.lit(0), F.col("slots") - 1)).alias("i"), own.alias("j"), "node", "label", F.lit(True).alias("outside"))
     return inside.unionByName(out)
 
 
@@ -189,33 +190,30 @@ def near_duplicate_groups(docs: DataFrame) -> DataFrame:
     rows = saved(docs.select("doc_id", "_id", "text").mapInArrow(_signatures, kind), "signatures")
     classes = rows.where("n_shingles > 0").groupBy("k1", "k2").agg(F.min("_id").alias("node"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
     classes = saved(classes, "classes")
-    sigs = classes.groupBy("node").agg(F.min("sig").alias("sig"))
-
     members = classes.select(F.explode("bands").alias("bucket"), "node")
     centers = members.groupBy("bucket").agg(F.min("node").alias("u"), F.max("node").alias("top")).where("u < top").drop("top")
     members = saved(members.join(centers, "bucket").select("bucket", "node", "u"), "buckets")
+    nodes = members.select(F.col("node").alias("_id")).distinct()
+    # One plan at all sizes: texts are dealt by id once, and not sorted.
+    sets = docs.select("_id", "text").join(nodes.hint("shuffle_hash"), "_id", "leftsemi").mapInArrow(_set_rows, "node long, shingles binary")
+    # One row a node, also where several texts have one doc_id.
+    sets = saved(sets.groupBy("node").agg(F.max("shingles").alias("shingles")), "sets")
+    sigs = classes.groupBy("node").agg(F.min("sig").alias("sig"))
     stars = members.where("node <> u").select("u", F.col("node").alias("v")).distinct()
-    links = _confirm(docs, _agree(stars, sigs))
-    labels = components(links)
-    blocks = saved(_open_blocks(members.select("bucket", "node"), labels, sigs), "blocks")
-    low, high = 0, 1
-    while True:
-        found = blocks.groupBy("bucket", "i", "j").applyInArrow(_block_pairs(low, high), "u long, v long")
-        found = saved(found.distinct(), "ranked")
-        if not found.head(1):
-            break
-        for end in ("u", "v"):
-            found = found.join(labels.select(F.col("node").alias(end), F.col("component").alias(f"c{end}")), end, "left")
-        todo = found.where(F.coalesce("cu", "u") != F.coalesce("cv", "v")).select("u", "v")
-        more = _confirm(docs, todo)
-        if more.head(1):
-            links = links.unionByName(more)
-            labels = components(links)
-        low, high = high, 3 * high + 1
+    labels = components(_confirm(_agree(stars, sigs), sets))
+
+    blocks = _open_blocks(members.select("bucket", "node"), labels).join(sigs.join(sets, "node"), "node")
+    links = blocks.groupBy("bucket", "i", "j").applyInArrow(_block_links, "u long, v long").distinct()
+    for end in ("u", "v"):
+        links = links.join(labels.select(F.col("node").alias(end), F.col("component").alias(f"c{end}")), end, "left")
+    joined = components(links.select(F.coalesce("cu", "u").alias("u"), F.coalesce("cv", "v").alias("v")))
+    joined = joined.select(F.col("node").alias("label"), F.col("component").alias("joined"))
 
     first = classes.select("k1", "k2", "node")
-    out = rows.drop("bands", "sig").join(first, ["k1", "k2"], "left").join(labels, "node", "left")
-    component = F.coalesce("component", "node", "_id")
+    labels = first.join(labels, "node", "left").select("k1", "k2", F.coalesce("component", "node").alias("label"))
+    labels = saved(labels.join(joined, "label", "left").select("k1", "k2", F.coalesce("joined", "label").alias("component")), "labels")
+    out = rows.drop("bands", "sig").join(labels, ["k1", "k2"], "left")
+    component = F.coalesce("component", "_id")
     component = F.when(component == W.MAX_ID, F.lit(None).cast("long")).otherwise(component)
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 

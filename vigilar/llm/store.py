@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from vigilar.session import ensure_checkpoint_dir
 
@@ -19,3 +20,13 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     path = f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def reclaim(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of plans that are no longer referred to.
+
+    Its cleaner follows the collection of garbage on the driver, which a small driver heap may
+    put off for long.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
