@@ -1,9 +1,11 @@
 """Shards of near-equal bytes: a minimax contiguous partition of ordered atomic groups.
 
-Texts are ordered by a hash. ``CELLS`` equal ranges of the hash are the atomic groups: equal
+Texts are dealt into ``CELLS`` cells by a hash. The cells, in order, are the atomic groups: equal
 texts always share one. Their sizes, a table of at most ``CELLS`` rows however many documents
 there are, come to the driver; a binary search finds the smallest capacity with which a greedy
-walk needs no more than the given shards, and the cuts of that walk are the result.
+walk needs no more than the given shards. The walk then cuts within that capacity, and where the
+rest still fits, it cuts at the place nearest to an equal share of what is left, so that a group
+larger than a share does not leave other shards full and the last ones empty.
 """
 
 from __future__ import annotations
@@ -44,7 +46,25 @@ def minimax_cuts(sizes: np.ndarray, shards: int) -> tuple[int, list[int]]:
             low = middle + 1
         else:
             high = middle
-    return low, _fits(ends, low, shards)
+    return low, _even_cuts(ends, low, shards)
+
+
+def _even_cuts(ends: np.ndarray, capacity: int, shards: int) -> list[int]:
+    """Cuts within ``capacity``, each nearest to an equal share of the rest if what follows still fits."""
+    cuts, start, done = [], 0, 0
+    while start < len(ends):
+        left = shards - len(cuts)
+        most = int(np.searchsorted(ends, done + capacity, side="right"))
+        share = done + (int(ends[-1]) - done) / left
+        stop = int(np.searchsorted(ends, share))
+        if stop > start and stop < len(ends) and share - ends[stop - 1] < ends[stop] - share:
+            stop -= 1
+        stop = min(max(stop + 1, start + 1), most)
+        if left == 1 or _fits(ends[stop:] - ends[stop - 1], capacity, left - 1) is None:
+            stop = most
+        cuts.append(stop)
+        start, done = stop, int(ends[stop - 1])
+    return cuts
 
 
 def assign_shards(docs: DataFrame, shards: int = SHARDS, cells: int = CELLS, columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
