@@ -3,9 +3,9 @@
 Texts are dealt into ``CELLS`` cells by a hash. The cells, in order, are the atomic groups: equal
 texts always share one. Their sizes, a table of at most ``CELLS`` rows however many documents
 there are, come to the driver; a binary search finds the smallest capacity with which a greedy
-walk needs no more than the given shards. The walk then cuts within that capacity, and where the
-rest still fits, it cuts at the place nearest to an equal share of what is left, so that a group
-larger than a share does not leave other shards full and the last ones empty.
+walk needs no more than the given shards. Within that capacity the cuts are moved to places near
+equal shares, so that a group larger than a share does not leave other shards full and the last
+ones empty; where that is not possible, the cuts of the walk stay.
 """
 
 from __future__ import annotations
@@ -46,24 +46,39 @@ def minimax_cuts(sizes: np.ndarray, shards: int) -> tuple[int, list[int]]:
             low = middle + 1
         else:
             high = middle
-    return low, _even_cuts(ends, low, shards)
+    even = _even_cuts(sizes, shards)
+    sums = np.diff(np.concatenate([[0], ends[np.array(even) - 1]])) if even else []
+    return low, even if even and max(sums) <= low else _fits(ends, low, shards)
 
 
-def _even_cuts(ends: np.ndarray, capacity: int, shards: int) -> list[int]:
-    """Cuts within ``capacity``, each nearest to an equal share of the rest if what follows still fits."""
-    cuts, start, done = [], 0, 0
-    while start < len(ends):
-        left = shards - len(cuts)
-        most = int(np.searchsorted(ends, done + capacity, side="right"))
-        share = done + (int(ends[-1]) - done) / left
-        stop = int(np.searchsorted(ends, share))
-        if stop > start and stop < len(ends) and share - ends[stop - 1] < ends[stop] - share:
-            stop -= 1
-        stop = min(max(stop + 1, start + 1), most)
-        if left == 1 or _fits(ends[stop:] - ends[stop - 1], capacity, left - 1) is None:
-            stop = most
-        cuts.append(stop)
-        start, done = stop, int(ends[stop - 1])
+def _even_cuts(sizes: np.ndarray, shards: int) -> list[int] | None:
+    """Cuts near equal shares, with every group above a share in a shard of its own; None if shards run out."""
+    share = sizes.sum() / shards
+    large = np.flatnonzero(sizes > share)
+    edges = np.unique(np.concatenate([[0, len(sizes)], large, large + 1]))
+    runs = [(int(a), int(b)) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+    small = [r for r in runs if not (r[1] - r[0] == 1 and sizes[r[0]] > share)]
+    left = shards - (len(runs) - len(small))
+    if left < len(small):
+        return None
+    sums = {r: int(sizes[r[0] : r[1]].sum()) for r in small}
+    number = {r: 1 for r in small}
+    for _ in range(left - len(small)):  # the next shard goes where shards are largest
+        r = max((r for r in small if number[r] < r[1] - r[0]), key=lambda r: sums[r] / number[r], default=None)
+        if r is not None:
+            number[r] += 1
+    cuts = []
+    for a, b in runs:
+        ends = np.cumsum(sizes[a:b])
+        start, done = 0, 0
+        for k in range(number.get((a, b), 1), 0, -1):
+            goal = done + (int(ends[-1]) - done) / k
+            stop = int(np.searchsorted(ends, goal)) + 1
+            if stop > start + 1 and goal - ends[stop - 2] < ends[min(stop, len(ends)) - 1] - goal:
+                stop -= 1
+            start = min(max(stop, start + 1), len(ends) - (k - 1))
+            done = int(ends[start - 1])
+            cuts.append(a + start)
     return cuts
 
 
