@@ -46,6 +46,8 @@ def _doubled(ranks: DataFrame, h: int) -> DataFrame:
 def _windows(lines: DataFrame, min_words: int) -> DataFrame:
     """Shortest windows of at least ``min_words`` words from each line on, and up to each line: (_id, _h, i, m)."""
     of = Window.partitionBy("_id", "_h")
+    # Rows of one document may be repeated; its lines are counted once. All of this is one exchange.
+    lines = lines.repartition("_id", "_h").groupBy("_id", "_h", "i").agg(F.max("w").alias("w"))
     lines = lines.withColumn("c", F.sum("w").over(of.orderBy("i"))).withColumn("p", F.col("c") - F.col("w"))
     after = of.orderBy("p").rangeBetween(Window.currentRow, min_words - 1)
     before = of.orderBy("c").rangeBetween(-(min_words - 1), Window.currentRow)
@@ -120,7 +122,7 @@ def line_report(docs: DataFrame) -> DataFrame:
 # The same in plain SQL, for tables small enough for it.
 REPORT_SQL = r"""
 WITH d AS (
-  SELECT doc_id, list_filter(string_split(coalesce(text, ''), chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM documents
+  SELECT doc_id, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM documents
 ), l AS (
   SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM d
 ), c AS (

@@ -324,33 +324,35 @@ def _labels(page: Page, by_rule: bool) -> list[int]:
 
 
 def train(given: list[str]) -> Model:
-    """Piecewise training: logistic unary potentials, and the states of child and parent by tag."""
-    pages = [(parse(h), False) for h in labelled_pages()] + [(parse(h), True) for h in given]
-    index, starts, labels = [], [], []
+    """Piecewise training: states of child and parent counted by tag, then the unary potentials
+    by logistic regression on what these leave open, with the labels of the parents given."""
+    pages = [(page, _labels(page, rule)) for page, rule in [(parse(h), False) for h in labelled_pages()] + [(parse(h), True) for h in given]]
     counts: dict[str, np.ndarray] = {"*": np.array([[4.0, 1.0], [1.0, 4.0]])}
-    for page, by_rule in pages:
-        known = _labels(page, by_rule)
+    for page, known in pages:
         for i in range(1, len(known)):
-            if page.tag[i] in NEVER:
-                continue
-            counts.setdefault(page.tag[i], np.array([[0.6, 0.2], [0.2, 0.6]]))[known[page.parent[i]], known[i]] += 1
-            # What sets an element apart from its parent is what its own features have to tell.
-            if known[i] != known[page.parent[i]] or page.tokens[i] or page.words[i]:
+            if page.tag[i] not in NEVER:
+                counts.setdefault(page.tag[i], np.array([[0.6, 0.2], [0.2, 0.6]]))[known[page.parent[i]], known[i]] += 1
+    pair = {}
+    for tag, c in counts.items():
+        share = np.clip(c[:, 1] / c.sum(axis=1), 0.02, 0.98)
+        pair[tag] = (float(share[0]), float(share[1]))
+    index, starts, labels, offsets = [], [], [], []
+    for page, known in pages:
+        for i in range(1, len(known)):
+            if page.tag[i] not in NEVER:
+                on = pair[page.tag[i]][known[page.parent[i]]]
                 starts.append(len(index))
                 index += _features(page, i)
                 labels.append(known[i])
-    features, first, y = np.array(index), np.array(starts), np.array(labels, dtype=float)
+                offsets.append(np.log(on / (1 - on)))
+    features, first, y, offset = np.array(index), np.array(starts), np.array(labels, dtype=float), np.array(offsets)
     row = np.repeat(np.arange(len(first)), np.diff([*starts, len(index)]))
     w, seen = np.zeros(1 << BITS), np.full(1 << BITS, 1e-6)
     for _ in range(STEPS):
-        gap = 1 / (1 + np.exp(-np.add.reduceat(w[features], first))) - y
+        gap = 1 / (1 + np.exp(-np.add.reduceat(w[features], first) - offset)) - y
         step = np.bincount(features, weights=gap[row], minlength=1 << BITS) + 0.02 * w
         seen += step * step
         w -= 0.5 * step / np.sqrt(seen)
-    pair = {}
-    for tag, c in counts.items():
-        share = c[:, 1] / c.sum(axis=1)
-        pair[tag] = (float(share[0]), float(share[1]))
     return Model(w.tolist(), pair)
 
 

@@ -18,6 +18,7 @@ from hashlib import blake2b
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from vigilar.llm import words as W
 
@@ -153,6 +154,10 @@ def _ordinal(year: int, month: int, day: int) -> int | None:
         return None
 
 
+_RECENT = date(1900, 1, 1).toordinal() - 1
+_RECENT_DAYS = date(2099, 12, 31).toordinal() - _RECENT
+
+
 def _date(p: Permuter, text: str) -> str | None:
     mark = next(c for c in text if not c.isdigit())
     parts = text.split(mark)
@@ -172,11 +177,15 @@ def _date(p: Permuter, text: str) -> str | None:
     padded = any(w == 2 and v < 10 for w, v in zip(widths, (a, b, c), strict=True))
     loose = any(w == 1 for w in widths)
 
+    late = order == "dmy" and mark != "."  # read as day first only because the day is no month
+    recent = 1900 <= date.fromordinal(x + 1).year < 2100
+    low, n = (_RECENT, _RECENT_DAYS) if recent else (0, date.max.toordinal())
+
     def fits(x: int) -> bool:
-        d = date.fromordinal(x + 1)
-        return order != "dmy" or mark == "." or d.day > 12
+        d = date.fromordinal(x + low + 1)
+        return (not late or d.day > 12) and recent == (1900 <= d.year < 2100)
 
-    d = date.fromordinal(p.permute(x, date.max.toordinal(), f"date{'' if fits(0) else 'late'}", fits) + 1)
+    d = date.fromordinal(p.permute(x - low, n, f"date{late}", fits) + low + 1)
     form = "{:02d}" if padded or not loose else "{}"
     day, month, year = form.format(d.day), form.format(d.month), f"{d.year:04d}"
     return mark.join({"ymd": (year, month, day), "dmy": (day, month, year), "mdy": (month, day, year)}[order])
@@ -227,14 +236,14 @@ def _phone(p: Permuter, text: str) -> str | None:
         if digits[0] in "17":
             country = digits[0]
     rest = digits[len(country) :]
-    fits = None
+    fits, kind = None, f"phone{country}"
     if len(rest) == 10 and country in ("", "1"):
-        country_kind, fits = "phone1", _north_american
-        if not _north_american(int(rest)):
+        # With a country code any number goes; those of the North American plan stay such.
+        planned = _north_american(int(rest))
+        if not planned and not country:
             return None
-    else:
-        country_kind = f"phone{country}"
-    return _refill(text, country + f"{p.permute(int(rest), 10 ** len(rest), country_kind, fits):0{len(rest)}d}")
+        fits, kind = lambda x: _north_american(x) == planned, f"phone1{planned}"
+    return _refill(text, country + f"{p.permute(int(rest), 10 ** len(rest), kind, fits):0{len(rest)}d}")
 
 
 _MAKE: dict[str, Callable[[Permuter, str], str | None]] = {"email": _email, "iban": _iban, "key": _key, "date": _date, "ssn": _ssn, "ip": _ip, "card": _card, "phone": _phone}
@@ -284,7 +293,7 @@ def pseudonymise_documents(docs: DataFrame, key: bytes = DEFAULT_KEY, columns: t
     """
     W.bounded_batches(docs.sparkSession)
     rows = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(columns)], F.col("text").cast("string").alias("text"))
-    schema = rows.schema
+    schema = StructType(list(rows.schema.fields))
     for k in KINDS:
         schema = schema.add(k, "long")
     done = rows.mapInArrow(_rows(key, len(columns)), schema)
