@@ -23,11 +23,14 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates (op 4): the one with the smallest doc_id."""
-    kept = near_duplicate_groups(docs).where("kept").select(F.col("doc_id").alias("k")).distinct()
-    out = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("k"))).drop("k")
-    # Repeated rows of a document are its duplicates as well; rows without an id cannot be told to be.
-    named = out.where("doc_id is not null").dropDuplicates(["doc_id"])
-    return named.unionByName(out.where("doc_id is null")).select(*COLUMNS)
+    groups = saved(near_duplicate_groups(docs).select("doc_id", "kept"), "groups")
+    kept = groups.where("kept").select(F.col("doc_id").alias("k")).distinct()
+    out = docs.join(kept.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("k")), "leftsemi")
+    # Rows that repeat a doc_id are its duplicates as well; rows without one cannot be told to be.
+    repeated = groups.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
+    if repeated.head(1):
+        out = out.withColumn("_r", F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())).dropDuplicates(["doc_id", "_r"])
+    return out.select(*COLUMNS)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,7 +44,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them (op 9): the words taken over the words there are, rounded."""
     taken = mix_sources(docs).select(F.col("doc_id").alias("k"), "size", "taken")
     copies = taken.groupBy("k").agg(F.max(F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(0)).cast("int").alias("copies"))
-    out = docs.join(copies.where("copies > 0"), F.col("doc_id").eqNullSafe(F.col("k")))
+    out = docs.join(copies.where("copies > 0").hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("k")))
     return out.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*COLUMNS)
 
 

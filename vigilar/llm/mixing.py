@@ -120,6 +120,7 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int
     laid = saved(_laid_out(rows, targets).select("doc_id", "source", "size", "s", "a", "source_size", "target"), "streams")
     uses = draw_slots(targets, block).groupBy("s", "block").agg(F.count(F.lit(1)).alias("uses"))
     key = ["s", "a", "doc_id", "source", "size", "source_size", "target"]
-    taken = _pieces(laid, block).join(uses, ["s", "block"], "left").groupBy(*key).agg(F.sum(F.col("words") * F.coalesce("uses", F.lit(0))).alias("taken"))
+    # The uses come from few rows of targets, which the optimizer takes for their size: never broadcast them.
+    taken = _pieces(laid, block).join(uses.hint("merge"), ["s", "block"], "left").groupBy(*key).agg(F.sum(F.col("words") * F.coalesce("uses", F.lit(0))).alias("taken"))
     empty = laid.where("size = 0").withColumn("taken", F.lit(0).cast("long"))
     return taken.unionByName(empty.select(taken.columns)).select("doc_id", "source", "size", "source_size", "target", "taken")
