@@ -47,12 +47,14 @@ def test_loginov_counts(spark):
     assert (f.n_anomalous_schars, f.s1_n_keywords, f.s1_n_alpha, f.s1_n_numeric, f.s1_n_mixed) == (2, 3, 2, 1, 0)
 
 
-def test_unseen_special_run(spark, monkeypatch):
+def test_unseen_special_run(spark):
     valid = tokens.learn_special_runs(texts(spark, "SELECT a FROM t WHERE b = 1"))
     target = texts(spark, "SELECT a FROM t # x", "a = b")
     assert [r[2] for r in tokens.loginov_columns(target, valid).orderBy("row_id").collect()] == [1, 0]
-    monkeypatch.setattr(tokens, "INLINE_RUNS", 0)
-    assert [r[2] for r in tokens.loginov_columns(target, valid).orderBy("row_id").collect()] == [1, 0]
+    many = spark.range(3000).select(F.concat(F.lit("#"), F.repeat(F.lit("!"), F.col("id").cast("int"))).alias("run"))
+    assert [r[2] for r in tokens.loginov_columns(target, valid.unionByName(many)).orderBy("row_id").collect()] == [0, 0]
+    none = texts(spark, None, "")
+    assert [r[2] for r in tokens.loginov_columns(none, valid).collect()] == [0, 0]
 
 
 def test_plus_joins_in_the_second_view(spark):

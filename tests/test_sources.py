@@ -156,3 +156,42 @@ def test_feature_store(spark, tmp_path):
     store.features(df, compute, "x", {"a": 1}, state="other")
     store.features(df.where("row_id > 0"), compute, "x", {"a": 1})
     assert len(calls) == 4
+    # Other traces and other labels under the same texts: the first are computed, the second are the caller's own.
+    traced = df.withColumn("depth", F.lit(1)).withColumn("label", F.lit(0))
+    store.features(traced, compute, "t", inputs=["full_query", "depth"])
+    store.features(traced.withColumn("depth", F.lit(2)), compute, "t", inputs=["full_query", "depth"])
+    assert len(calls) == 6
+    relabelled = store.features(traced.withColumn("label", F.lit(1)), compute, "t", inputs=["full_query", "depth"])
+    assert len(calls) == 6 and {r.label for r in relabelled.collect()} == {1}
+    words = [spark.createDataFrame([(w,)], "word string") for w in ("A", "B")]
+    assert store.key(df, "k", {"keywords": words[0]}) != store.key(df, "k", {"keywords": words[1]})
+
+
+def test_fingerprints_of_any_ids(spark):
+    from vigilar.operators.fingerprint import table_fingerprint
+
+    rows = [(-5, "a"), (7, None), (-(1 << 63), ""), ((1 << 63) - 1, "b"), (0, "c")]
+    make = lambda rows: [r.fingerprint for r in table_fingerprint(spark.createDataFrame(rows, "row_id long, full_query string")).collect()]
+    assert len(make(rows)) == 1 and make(rows) == make(rows[::-1])
+    assert make(rows) != make([(7, "") if r[0] == 7 else r for r in rows])
+    assert make(rows) != make([(1, "a") if r[0] == -5 else r for r in rows])  # another order
+
+
+def test_file_to_detector(spark, tmp_path):
+    """The README example: a scenario file, its split, a detector and its evaluation."""
+    from vigilar.plans import protocols as P
+
+    lines = ["full_query,label,split,attack_technique"]
+    lines += [f"SELECT name FROM users WHERE id = {i % 7},0,{'train' if i < 90 else 'test'}," for i in range(120)]
+    lines += [f"x' OR 1=1 UNION SELECT {i} -- ;,1,test,union" for i in range(20)]
+    (tmp_path / "a-a.csv").write_text("\n".join(lines))
+    columns = ("full_query", "label", "split", "attack_technique")
+    train = SC.read_scenario(spark, str(tmp_path), "multi", "a-a", "train", columns)
+    test = SC.read_scenario(spark, str(tmp_path), "multi", "a-a", "test", columns)
+    assert train.select("row_id").distinct().count() == train.count() == 90
+    row = P.evaluate_detector(P.train_detector(train, "ocsvm", "li"), test).first()
+    assert row.roc_auc >= 0.9 and row.n_samples == 50
+    table = SC.convert_csv(spark, str(tmp_path / "a-a.csv"), str(tmp_path / "table"))
+    assert table.count() == 140 and table.select("row_id").distinct().count() == 140
+    again = SC.read_labelled(spark, str(tmp_path / "table"))
+    assert {r.row_id for r in again.collect()} == {r.row_id for r in table.collect()}

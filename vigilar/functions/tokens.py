@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,8 +29,6 @@ LOGINOV_FEATURES = (
 
 SPECIAL_RUN = f"[^a-zA-Z0-9{SPACE}]+"
 DEFAULT_TFIDF_FEATURES = 200
-# Up to this many learned runs are inlined into the expression; more go through a join.
-INLINE_RUNS = 2_000
 
 
 def special_runs(text: str | Column) -> Column:
@@ -42,6 +43,20 @@ def learn_special_runs(fit: DataFrame, text: str = "full_query") -> DataFrame:
     return per_text.where(F.col("run").isNotNull()).distinct()
 
 
+def _unknown_runs(known: list[str]):
+    """Arrow function: how many entries of each list are not among ``known``."""
+
+    @F.arrow_udf("int")
+    def count(runs: pa.Array) -> pa.Array:
+        sizes = np.asarray(pc.fill_null(pc.list_value_length(runs), 0))
+        fresh = ~np.asarray(pc.is_in(pc.list_flatten(runs), value_set=pa.array(known, pa.string())).to_numpy(zero_copy_only=False))
+        total = np.concatenate([[0], np.cumsum(fresh)])
+        ends = np.cumsum(sizes)
+        return pa.array((total[ends] - total[ends - sizes]).astype(np.int32))
+
+    return count
+
+
 def _class_counts(tokens: Column, keywords: tuple[str, ...], prefix: str) -> dict[str, Column]:
     """Counts of keyword / alphabetic / numeric / mixed among ASCII alphanumeric tokens."""
     is_kw = lambda t: F.upper(t).isin(*keywords)
@@ -65,7 +80,6 @@ def loginov_columns(
     valid_runs: DataFrame,
     text: str = "full_query",
     keywords: Iterable[str] | DataFrame = CORE_KEYWORDS,
-    row_id: str = "row_id",
 ) -> DataFrame:
     """Append the nine columns of :data:`LOGINOV_FEATURES` (INT) to ``df``.
 
@@ -80,15 +94,9 @@ def loginov_columns(
     prepared = df.withColumn("_runs", special_runs(text)).withColumn("_s1", s1).withColumn("_s2", s2)
     counts = {**_class_counts(F.col("_s1"), words, "s1"), **_class_counts(F.col("_s2"), words, "s2")}
 
-    seen = valid_runs.limit(INLINE_RUNS + 1).collect()
-    if len(seen) <= INLINE_RUNS:
-        known = [r["run"] for r in seen]
-        counts["n_anomalous_schars"] = F.size(F.filter("_runs", lambda r: ~r.isin(*known)))
-    else:
-        pairs = df.select(row_id, F.explode_outer(special_runs(text)).alias("run")).where(F.col("run").isNotNull())
-        new = pairs.join(valid_runs, "run", "left_anti").groupBy(row_id).agg(F.count(F.lit(1)).alias("_n_new"))
-        prepared = prepared.join(new, row_id, "left")
-        counts["n_anomalous_schars"] = F.coalesce("_n_new", F.lit(0))
+    # The learned runs go along with the tasks as one sorted value set, on streams as well.
+    known = sorted(r["run"] for r in valid_runs.toLocalIterator())
+    counts["n_anomalous_schars"] = _unknown_runs(known)(F.coalesce("_runs", F.array().cast("array<string>")))
     return prepared.select(*df.columns, *[counts[n].cast("int").alias(n) for n in LOGINOV_FEATURES])
 
 

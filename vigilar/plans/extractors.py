@@ -19,10 +19,9 @@ from pyspark.sql import functions as F
 
 from vigilar.functions import lexical, pooling, roles, tokens, traces
 from vigilar.functions.keywords import CORE_KEYWORDS
+from vigilar.operators.fingerprint import table_digest
 
 SPARSE = "struct<indices: array<bigint>, values: array<double>>"
-# Widest vocabulary kept on the driver; larger ones use hashed term indices.
-MAX_VOCABULARY = 200_000
 AE_CV_FEATURES = 20_000  # fixed value: vocabulary cap of word counts feeding the autoencoder
 
 
@@ -49,15 +48,28 @@ class Extractor:
     def feature_names(self) -> tuple[str, ...]:
         raise NotImplementedError
 
+    def inputs(self, rows: DataFrame) -> list[str] | None:
+        """Columns that the features depend on; ``None`` for all."""
+        return [self.text]
+
     def state(self) -> dict:
         return {}
 
     def load_state(self, state: dict) -> Extractor:
         return self
 
+    def table(self) -> DataFrame | None:
+        """Learned state that grows with the training rows; saved next to the model as a table."""
+        return None
+
+    def load_table(self, table: DataFrame) -> Extractor:
+        return self
+
     def state_fingerprint(self) -> str:
         """Digest of what was learned; part of every feature-store key."""
-        return hashlib.blake2b(json.dumps(self.state(), sort_keys=True).encode(), digest_size=16).hexdigest()
+        table = self.table()
+        learned = json.dumps(self.state(), sort_keys=True) + (table_digest(table) if table is not None else "")
+        return hashlib.blake2b(learned.encode(), digest_size=16).hexdigest()
 
 
 class LexicalExtractor(Extractor):
@@ -97,17 +109,11 @@ class TokenClassExtractor(Extractor):
     def feature_names(self):
         return tokens.LOGINOV_FEATURES
 
-    def state(self):
-        rows = self.runs.orderBy("run").limit(MAX_VOCABULARY + 1).collect() if self.runs is not None else []
-        if len(rows) > MAX_VOCABULARY:
-            raise ValueError("too many learned runs to keep in a model file; save the table instead")
-        return {"runs": [r["run"] for r in rows]}
+    def table(self):
+        return self.runs
 
-    def load_state(self, state):
-        from pyspark.sql import SparkSession
-
-        spark = SparkSession.getActiveSession()
-        self.runs = spark.createDataFrame([(r,) for r in state["runs"]], "run string")
+    def load_table(self, table):
+        self.runs = table
         return self
 
 
@@ -139,14 +145,14 @@ class WordCountExtractor(Extractor):
 
     With ``max_features`` the vocabulary is an alphabetical list of that many words at
     most. Without a cap it is open-ended: it stays a table, words get hashed indices and
-    the transform joins against it.
+    the transform joins against it. ``closed`` indexes all words, for heads that need a width.
     """
 
     name = "cv"
 
-    def __init__(self, text="full_query", max_features: int | None = None):
+    def __init__(self, text="full_query", max_features: int | None = None, closed: bool = False):
         super().__init__(text)
-        self.max_features = max_features
+        self.max_features, self.closed = max_features, closed
         self.terms: list[str] | None = None
         self.vocab: DataFrame | None = None
 
@@ -156,21 +162,26 @@ class WordCountExtractor(Extractor):
     def fit(self, rows):
         from vigilar.session import stable
 
-        counts = tokens.term_counts(rows, self.text)
-        vocab = tokens.vocabulary(counts, self.max_features)
-        if self.max_features is not None:
+        vocab = self._vocabulary(rows)
+        if self.max_features is not None or self.closed:
             self.terms = tokens.index_terms(vocab)
         else:
             self.vocab = stable(vocab.select("term"))
         return self
 
+    def _vocabulary(self, rows: DataFrame) -> DataFrame:
+        return tokens.vocabulary(self._counts(rows), self.max_features)
+
+    def _counts(self, rows: DataFrame) -> DataFrame:
+        return tokens.term_counts(rows, self.text)
+
     def transform(self, rows, out="features"):
         if self.terms is not None:
             encode = _count_udf({t: i for i, t in enumerate(self.terms)}, self._weights())
             return rows.withColumn(out, encode(self._word_column()))
         if self.vocab is None:
             raise RuntimeError("fit the extractor first")
-        counts = tokens.term_counts(rows, self.text).join(self.vocab, "term", "left_semi")
+        counts = self._counts(rows).join(self.vocab, "term", "left_semi")
         pair = F.struct(F.xxhash64("term").alias("i"), F.col("n").cast("double").alias("v"))
         packed = counts.groupBy("row_id").agg(F.array_sort(F.collect_list(pair)).alias("_p"))
         packed = packed.select(
@@ -193,21 +204,17 @@ class WordCountExtractor(Extractor):
         return tuple(self.terms or ())
 
     def state(self):
-        if self.terms is not None:
-            return {"terms": self.terms}
-        rows = self.vocab.orderBy("term").limit(MAX_VOCABULARY + 1).collect() if self.vocab is not None else []
-        if len(rows) > MAX_VOCABULARY:
-            raise ValueError("an open vocabulary this large is kept as a table; cap max_features to save it")
-        return {"open_terms": [r["term"] for r in rows]}
+        return {} if self.terms is None else {"terms": self.terms}
 
     def load_state(self, state):
-        if "terms" in state:
-            self.terms = state["terms"]
-        else:
-            from pyspark.sql import SparkSession
+        self.terms = state.get("terms")
+        return self
+
+    def table(self):
+        return self.vocab
 
-            spark = SparkSession.getActiveSession()
-            self.vocab = spark.createDataFrame([(t,) for t in state["open_terms"]], "term string")
+    def load_table(self, table):
+        self.vocab = table
         return self
 
 
@@ -243,22 +250,24 @@ class RoleViewExtractor(WordCountExtractor):
 
     name = "kakisim"
 
-    def __init__(self, text="full_query", views=("T", "C", "E"), min_df: int = 1, max_features=AE_CV_FEATURES, keywords=CORE_KEYWORDS):
-        super().__init__(text, max_features)
+    def __init__(self, text="full_query", views=("T", "C", "E"), min_df: int = 1, max_features=None, keywords=CORE_KEYWORDS, closed: bool = False):
+        super().__init__(text, max_features, closed)
         self.views, self.min_df, self.keywords = tuple(views), min_df, keywords
 
-    def fit(self, rows):
+    def _counts(self, rows):
         counts = roles.view_term_counts(rows, self.views, self.text, self.keywords)
-        place = F.row_number().over(Window.partitionBy("view").orderBy(F.col("tf").desc(), "term"))
-        top = roles.view_vocabulary(counts, self.min_df).withColumn("_r", place).where(F.col("_r") <= self.max_features)
-        found = sorted((self.views.index(r["view"]), r["term"]) for r in top.select("view", "term").collect())
-        found = [f"{self.views[i]}:{t}" for i, t in found]
-        self.terms = found
-        return self
+        return counts.select("row_id", F.concat("view", F.lit(":"), "term").alias("term"), "n")
+
+    def _vocabulary(self, rows):
+        found = roles.view_vocabulary(roles.view_term_counts(rows, self.views, self.text, self.keywords), self.min_df)
+        if self.max_features is not None:
+            place = F.row_number().over(Window.partitionBy("view").orderBy(F.col("tf").desc(), "term"))
+            found = found.withColumn("_r", place).where(F.col("_r") <= self.max_features)
+        return found.select(F.concat("view", F.lit(":"), "term").alias("term"))
 
     def transform(self, rows, out="features"):
         if self.terms is None:
-            raise RuntimeError("fit the extractor first")
+            return super().transform(rows, out)
         viewed = roles.view_texts(roles.tagged_tokens(rows, self.text, self.keywords, "_tagged"), "_tagged")
         marked = [_prefixed(tokens.words(v), f"{v}:") for v in self.views]
         encode = _count_udf({t: i for i, t in enumerate(self.terms)}, None)
@@ -276,6 +285,9 @@ class TraceExtractor(Extractor):
         traces.tag_names(mode)
         self.mode, self.keywords, self.name = mode, keywords, f"trace-{mode}"
 
+    def inputs(self, rows):
+        return None
+
     def transform(self, rows, out="features"):
         traced = traces.trace_vector(rows, self.mode, self.keywords, out="_trace")
         both = lexical.li_vector(traced, self.text, "_li")
@@ -297,6 +309,9 @@ class EmbeddingExtractor(Extractor):
         self.name, self.width, self.pool = name, width, pool
         self.vector, self.states, self.mask = vector, states, mask
 
+    def inputs(self, rows):
+        return [c for c in (self.vector, self.states, self.mask) if c in rows.columns]
+
     def transform(self, rows, out="features"):
         if self.pool in ("none", "l2") or self.states not in rows.columns:
             value = F.col(self.vector).cast("array<double>")
@@ -369,7 +384,7 @@ EXTRACTORS: dict[str, Entry] = {
     "qwen3-emb": Entry("Qwen3-Emb-0.6B", _emb("qwen3-emb", 1024, "l2"), True, slow=True),
     "llm2vec": Entry("LLM2Vec-Mistral-7B", _emb("llm2vec", 4096, "suffix"), True, slow=True),
 }
-SLOW_FRACTION = 1 / 5  # fixed value: share of rows the slow extractors are evaluated on
+SLOW_FRACTION = 1 / 5  # fixed value: share of rows a caller may evaluate the slow extractors on
 
 
 def build_extractor(name: str, **options) -> Extractor:

@@ -51,12 +51,15 @@ def finished_runs(runs: DataFrame, run_type: str | None = "full-run", experiment
 
 
 def with_cell_tags(runs: DataFrame) -> DataFrame:
-    """Reconcile current and legacy tag spellings into extractor, engine, scenario, setting."""
+    """Reconcile current and legacy tag spellings into extractor, engine, scenario, setting.
+
+    Runs without a scenario tag may have it among their parameters.
+    """
     return runs.withColumns(
         {
             "extractor": tag("feature_extractor"),
             "engine": tag("decision_engine", "pipeline"),
-            "scenario": tag("scenario", "dataset"),
+            "scenario": F.coalesce(tag("scenario", "dataset"), param("scenario")),
             "setting": tag("setting", "kind"),
             "target": tag("target"),
             "domain": tag("domain"),
@@ -96,6 +99,19 @@ def expected_grid(cells_: DataFrame, keys: Sequence[str]) -> DataFrame:
     return sets.select(*keys)
 
 
+def unmatched_latencies(latencies: DataFrame, scores: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Cells with a latency but no score, which latency plots have to leave out."""
+    return latencies.join(scores.select(*keys), list(keys), "left_anti").select(*keys)
+
+
+def name_problems(asked: DataFrame, known: DataFrame, name: str = "name") -> DataFrame:
+    """(name, problem): names asked for that are unknown, or asked for more than once."""
+    counted = asked.groupBy(name).agg(F.count(F.lit(1)).alias("_n"))
+    marked = counted.join(F.broadcast(known.select(name, F.lit(True).alias("_known"))), name, "left")
+    problem = F.when(F.col("_known").isNull(), "unknown").when(F.col("_n") > 1, "duplicate")
+    return marked.withColumn("problem", problem).where(F.col("problem").isNotNull()).select(name, "problem")
+
+
 def missing_cells(grid: DataFrame, present: DataFrame, keys: Sequence[str], required: Sequence[str]) -> DataFrame:
     """Grid cells that are absent (``missing``) or lack a required value (``incomplete``)."""
     bad = F.lit(False)

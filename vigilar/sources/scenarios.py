@@ -120,14 +120,16 @@ def read_labelled(
     """Scan a labelled table; keep the required and the chosen columns.
 
     Rows without text or label are dropped and the label becomes INT. A CSV must name
-    its columns in a header; they are read as text, never inferred.
+    its columns in a header; they are read as text, never inferred. Every row keeps its
+    ``row_id``, or gets a unique one at the scan; ``convert_csv`` fixes it for good.
     """
-    if _is_parquet(path):
+    if _is_parquet(spark, path):
         raw = spark.read.parquet(path)
     else:
         header = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path).columns
         raw = spark.read.schema(_schema(header)).options(header=True, multiLine=True, escape='"').csv(path)
-    keep = list(raw.columns) if columns is None else [c for c in raw.columns if c in {*columns, *REQUIRED}]
+    raw = _with_id(raw)
+    keep = list(raw.columns) if columns is None else [c for c in raw.columns if c in {*columns, *REQUIRED, "row_id"}]
     missing = {*(columns or ()), *REQUIRED} - set(raw.columns)
     if missing:
         raise ValueError(f"{path} lacks column(s) {sorted(missing)}")
@@ -137,8 +139,31 @@ def read_labelled(
     return _cap(rows, limit, seed)
 
 
-def _is_parquet(path: str) -> bool:
-    return path.endswith(".parquet") or (os.path.isdir(path) and not path.endswith(".csv"))
+def _is_parquet(spark: SparkSession, path: str) -> bool:
+    """By name, or a folder with Parquet files anywhere below, on any file system."""
+    if path.rstrip("/").endswith(".parquet"):
+        return True
+    if path.rstrip("/").endswith((".csv", ".csv.gz")):
+        return False
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = jvm_path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(jvm_path) or not fs.getFileStatus(jvm_path).isDirectory():
+        return False
+    files = fs.listFiles(jvm_path, True)
+    while files.hasNext():
+        if files.next().getPath().getName().endswith(".parquet"):
+            return True
+    return False
+
+
+def convert_csv(spark: SparkSession, path: str, out: str) -> DataFrame:
+    """Write a labelled CSV once as Parquet by split, with its row ids; return the new table.
+
+    A CSV with line breaks inside fields is read by one task a file, so large files are
+    converted before they are used.
+    """
+    read_labelled(spark, path).write.mode("overwrite").partitionBy("split").parquet(out)
+    return spark.read.parquet(out)
 
 
 def clean_required(df: DataFrame) -> DataFrame:
@@ -162,15 +187,17 @@ def read_whole_sample(
     rows = read_labelled(spark, path, (*columns, "split"))
     if limit is None:
         return rows
-    return sample_n(_with_id(rows), limit, seed)
+    return sample_n(rows, limit, seed)
 
 
 def _with_id(rows: DataFrame) -> DataFrame:
-    return rows if "row_id" in rows.columns else rows.withColumn("row_id", F.xxhash64(*rows.columns))
+    if "row_id" in rows.columns:
+        return rows.withColumn("row_id", F.col("row_id").cast("long"))
+    return rows.withColumn("row_id", F.monotonically_increasing_id())
 
 
 def _cap(rows: DataFrame, limit: int, seed) -> DataFrame:
-    return stratified_cap(_with_id(rows), limit, seed)
+    return stratified_cap(rows, limit, seed)
 
 
 def read_scenario(
@@ -226,17 +253,24 @@ def manifest_entries(spark: SparkSession, path: str) -> DataFrame:
 def verify_files(entries: DataFrame, folder: str) -> DataFrame:
     """Compare files below ``folder`` with their manifest rows: add ``status``.
 
-    ``ok``, ``bad_size`` (checked before any hash), ``bad_hash``, ``missing``, or
-    ``unchecked`` without a checksum. Files are hashed by the executors; the binary
+    Files are found by their path below the folder. ``ok``, ``bad_size`` (such files are
+    not hashed), ``bad_hash``, ``missing``, or ``unchecked`` without a checksum. Files are hashed by the executors; the binary
     reader takes files up to 2 GiB, so store large tables as several parts.
     """
     spark = entries.sparkSession
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
-    files = files.select(
-        F.element_at(F.split("path", "/"), -1).alias("file"),
-        F.col("length").alias("actual_bytes"),
-        F.sha2("content", 256).alias("actual_sha256"),
-        F.md5("content").alias("actual_md5"),
+    root = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    root = root.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(root).toUri().getPath().rstrip("/")
+    below = F.regexp_replace(F.col("path"), "^[a-z0-9]+:/*", "/")
+    relative = F.expr("substring(_below, {})".format(len(root) + 2))
+    files = files.withColumn("_below", below).select(relative.alias("file"), F.col("length").alias("actual_bytes"), "content")
+    sized = entries.select("file", F.col("bytes").alias("_bytes")).dropDuplicates(["file"])
+    right = F.col("_bytes").isNull() | (F.col("_bytes") == F.col("actual_bytes"))
+    files = files.join(sized, "file").select(
+        "file",
+        "actual_bytes",
+        F.when(right, F.sha2("content", 256)).alias("actual_sha256"),
+        F.when(right, F.md5("content")).alias("actual_md5"),
     )
     checked = entries.join(files, "file", "left")
     wanted = F.coalesce("sha256", "md5")

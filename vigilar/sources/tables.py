@@ -123,7 +123,7 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     extractor = pick(EXTRACTORS, F.col("user_id") % 6)
     scenario = pick(SCENARIOS, F.col("event_id") % 8)
     k = F.get_json_object("props", "$.k").cast("int")
-    legacy = F.col("event_id") % 2 == 0
+    legacy = F.floor(F.col("event_id") / 8) % 2 == 0  # every scenario has runs of both spellings
     rate = F.col("value") / (F.lit(1.0) + F.col("value"))
     gone = F.col("event_id") % 11 == 0
     tags = F.map_filter(
@@ -131,8 +131,8 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.lit("feature_extractor"), extractor,
             F.lit("decision_engine"), F.when(~legacy, engine),
             F.lit("pipeline"), F.when(legacy, engine),
-            F.lit("scenario"), F.when(~legacy, scenario),
-            F.lit("dataset"), F.when(legacy, scenario),
+            F.lit("scenario"), F.when(~legacy | (F.col("event_id") % 3 == 0), scenario),
+            F.lit("dataset"), F.when(legacy & (F.col("event_id") % 7 != 0), scenario),
             F.lit("target"), F.substring(scenario, -1, 1),
             F.lit("domain"), F.substring(scenario, -1, 1),
             F.lit("setting"), F.when((F.col("event_id") % 3 == 0) & ~legacy, "few_shot"),

@@ -166,7 +166,12 @@ def tfidf_long(spark, sf):
     return rounded(tokens.tfidf(counts, tokens.vocabulary(counts, 200), rows.count()), "weight")
 
 
-@query("cv_vectors", f"WITH {TURNS}, {_TERMS} SELECT row_id, count(*)::INTEGER AS n_terms, sum(n)::DOUBLE AS n_words FROM counts GROUP BY row_id")
+@query(
+    "cv_vectors",
+    f"""WITH {TURNS}, {_TERMS}, c AS (SELECT row_id, count(*) AS n_terms, sum(n) AS n_words FROM counts GROUP BY row_id)
+    SELECT src.row_id, coalesce(n_terms, 0)::INTEGER AS n_terms, coalesce(n_words, 0)::DOUBLE AS n_words
+    FROM src LEFT JOIN c ON src.row_id = c.row_id""",
+)
 def cv_vectors(spark, sf):
     """Word-count vectors over the open vocabulary: entries and total count per row."""
     from vigilar.plans.extractors import build_extractor
@@ -174,8 +179,7 @@ def cv_vectors(spark, sf):
     rows = turns(spark, sf)
     vec = build_extractor("cv").fit(rows).transform(rows)
     total = F.aggregate("features.values", F.lit(0.0), lambda a, x: a + x)
-    out = vec.select("row_id", F.size("features.indices").alias("n_terms"), total.alias("n_words"))
-    return out.where(F.col("n_terms") > 0)
+    return vec.select("row_id", F.size("features.indices").alias("n_terms"), total.alias("n_words"))
 
 
 # ---- token roles --------------------------------------------------------------------------
@@ -240,20 +244,46 @@ def token_roles(spark, sf):
     return tagged.groupBy("row_id", F.coalesce("t.role", F.lit("none")).alias("role")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(
-    "role_view_terms",
-    f"""WITH {TURNS}, {ROLE_SQL}, v AS (
+_VIEW_TERMS = f"""{ROLE_SQL}, v AS (
       SELECT row_id, 'T' AS view, string_agg(value, ' ' ORDER BY i, sub) FILTER (role IS NULL OR role <> 'Int') AS txt FROM out GROUP BY row_id
       UNION ALL SELECT row_id, 'C', string_agg(role, ' ' ORDER BY i, sub) FROM out GROUP BY row_id
       UNION ALL SELECT row_id, 'E', string_agg(CASE WHEN role IN ('Int', 'Punct', 'Par') THEN role
         WHEN role IS NULL THEN value ELSE role || ' ' || value END, ' ' ORDER BY i, sub) FROM out GROUP BY row_id),
-    w AS (SELECT row_id, view, unnest(regexp_extract_all(lower(txt), '[{WORD}]{{2,}}')) AS term FROM v)
-    SELECT row_id, view, term, count(*) AS n FROM w GROUP BY row_id, view, term""",
+    w AS (SELECT row_id, view, unnest(regexp_extract_all(lower(txt), '[{WORD}]{{2,}}')) AS term FROM v)"""
+
+
+@query(
+    "role_view_terms",
+    f"WITH {TURNS}, {_VIEW_TERMS} SELECT row_id, view, term, count(*) AS n FROM w GROUP BY row_id, view, term",
 )
 def role_view_terms(spark, sf):
     return roles.view_term_counts(turns(spark, sf))
 
 
+@query("role_vocabulary", f"WITH {TURNS}, {_VIEW_TERMS} SELECT DISTINCT view || ':' || term AS term FROM w")
+def role_vocabulary(spark, sf):
+    """Every term of every view, as the extractor learns it."""
+    from vigilar.plans.extractors import build_extractor
+
+    return build_extractor("kakisim").fit(turns(spark, sf)).table().select("term")
+
+
+@query(
+    "role_vectors",
+    f"""WITH {TURNS}, {_VIEW_TERMS}, c AS (SELECT row_id, count(DISTINCT view || ':' || term) AS n_terms, count(*) AS n_words FROM w GROUP BY row_id)
+    SELECT src.row_id, coalesce(n_terms, 0)::INTEGER AS n_terms, coalesce(n_words, 0)::DOUBLE AS n_words
+    FROM src LEFT JOIN c ON src.row_id = c.row_id""",
+)
+def role_vectors(spark, sf):
+    """Vectors over the whole vocabulary of all role views."""
+    from vigilar.plans.extractors import build_extractor
+
+    rows = turns(spark, sf)
+    vec = build_extractor("kakisim").fit(rows).transform(rows)
+    total = F.aggregate("features.values", F.lit(0.0), lambda a, x: a + x)
+    return vec.select("row_id", F.size("features.indices").alias("n_terms"), total.alias("n_words"))
+
+
 # ---- traces ----------------------------------------------------------------------------------
 
 TRACES = f"""tw AS (SELECT doc_id, text, list_filter(regexp_split_to_array(regexp_replace(text, '[:|]', ' ', 'g'), '[ \\t\\r\\n]+'),
@@ -320,7 +350,7 @@ def trace_keyword_stats(spark, sf):
 def trace_vectors(spark, sf):
     """Width and total of the whole trace vector, per row and tag model."""
     out = None
-    for mode in ("expert", "chatgpt", "ruleid"):
+    for mode in TR.MODES:
         vec = TR.trace_vector(traces(spark, sf), mode)
         total = F.aggregate("trace_features", F.lit(0.0), lambda a, x: a + x)
         one = vec.select(F.lit(mode).alias("mode"), "row_id", F.size("trace_features").alias("width"), r6(total).alias("total"))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -14,12 +12,11 @@ from vigilar.operators import metrics as M
 from vigilar.operators import scaling
 from vigilar.operators.autoencoder import AeConfig, AeModel, new_weights
 from vigilar.operators.lof import LofModel, lof_scores
-from vigilar.operators.ocsvm import OcsvmConfig, OcsvmModel
+from vigilar.operators.ocsvm import OcsvmModel
 from vigilar.operators.sampling import fit_val_roles
 from vigilar.plans import protocols as P
 from vigilar.plans.detector import Detector, DetectorEstimator
-from vigilar.plans.extractors import build_extractor
-from vigilar.session import stable
+from vigilar.session import scratch_dir, stable
 from vigilar.sources.scenarios import build_scenarios, drift_partitions, fewshot_sets
 from vigilar.sources.tables import corpus, traces, vectors
 from vigilar.streaming.scorer import score_stream, start_scoring
@@ -27,9 +24,6 @@ from vigilar.workload.common import CORPUS, query, r6, rounded
 from vigilar.workload.features import DOCS, li_sql
 from vigilar.workload.relational import md5_of
 
-_FAST_AE = AeConfig(epochs=20)
-
-
 def lof_ctes(fit: str, test: str, dist: str, k: int = 20, digits: int = 6) -> str:
     """LOF in SQL over ``fit(id, v)`` and ``test(id, v)``."""
     return f"""ff AS (SELECT a.id AS q, b.id AS s, {dist} AS d FROM {fit} a, {fit} b WHERE a.id <> b.id),
@@ -116,7 +110,7 @@ def ocsvm_rff_scores(spark, sf):
 
 def _ae_model(spark, sf) -> tuple[DataFrame, AeModel]:
     rows = vectors(spark, sf)
-    return rows, AeModel.fit(rows.where(F.col("role") == "fit"), 64, AeConfig(epochs=20, output="tanh"), workers=2)
+    return rows, AeModel.fit(rows.where(F.col("role") == "fit"), 64, AeConfig(output="tanh"))
 
 
 @query("ae_scores")
@@ -125,11 +119,21 @@ def ae_scores(spark, sf):
     return rounded(model.score(rows.where(F.col("role") == "test"), ("row_id", "label")), "score")
 
 
+@query("ae_worker_invariance", "SELECT p AS partitions, 0.0::DOUBLE AS diff FROM (VALUES (1), (4), (8)) t(p)")
+def ae_worker_invariance(spark, sf):
+    """Largest difference of weights between fits of differently partitioned rows, with several groups."""
+    fit = vectors(spark, sf).where(F.col("role") == "fit")
+    config = AeConfig(epochs=10, batch_size=4, output="tanh")
+    made = [AeModel.fit(fit.repartition(p), 64, config).weights for p in (1, 4, 8)]
+    gaps = [max(float(np.abs(a - b).max()) for a, b in zip(made[0], w, strict=True)) for w in made]
+    return spark.createDataFrame(list(zip((1, 4, 8), gaps, strict=True)), "partitions int, diff double")
+
+
 @query("ae_finetune_scores")
 def ae_finetune_scores(spark, sf):
     rows, model = _ae_model(spark, sf)
     benign = rows.where((F.col("role") == "test") & (F.col("label") == 0))
-    tuned = model.fine_tune(benign, learning_rate=5e-4, epochs=5)
+    tuned = model.fine_tune(benign, learning_rate=5e-4)
     return rounded(tuned.score(rows.where(F.col("role") == "test"), ("row_id", "label")), "score")
 
 
@@ -142,48 +146,51 @@ def _layer_sql(src: str, dst: str, w: np.ndarray, b: np.ndarray, act: str) -> st
 
 
 def _fixed_weight_sql() -> str:
-    w = new_weights(8, 3)
+    w = new_weights(64, 3)
     layers, src = [], "l0"
     for i in range(4):
         layers.append(_layer_sql(src, f"l{i + 1}", w[2 * i], w[2 * i + 1], "tanh" if i == 3 else "relu"))
         src = f"l{i + 1}"
-    return f"""WITH l0 AS (SELECT vec_id AS row_id, list_transform(embedding[1:8], lambda t: t::DOUBLE) AS x,
-      list_transform(embedding[1:8], lambda t: t::DOUBLE) AS v FROM embeddings), {", ".join(layers)}
-    SELECT row_id, round(list_sum(list_transform(range(1, 9), lambda i: (v[i] - x[i]) * (v[i] - x[i]))) / 8.0, 4) AS score FROM l4"""
+    return f"""WITH l0 AS (SELECT vec_id AS row_id, list_transform(embedding, lambda t: t::DOUBLE) AS x,
+      list_transform(embedding, lambda t: t::DOUBLE) AS v FROM embeddings), {", ".join(layers)}
+    SELECT row_id, round(list_sum(list_transform(range(1, 65), lambda i: (v[i] - x[i]) * (v[i] - x[i]))) / 64.0, 4) AS score FROM l4"""
 
 
 @query("ae_scores_fixed_weights", _fixed_weight_sql())
 def ae_scores_fixed_weights(spark, sf):
-    """Forward pass of given weights over the first token of every embedding."""
-    rows = vectors(spark, sf).select("row_id", F.slice("features", 1, 8).alias("features"))
-    model = AeModel(new_weights(8, 3), AeConfig(output="tanh"))
+    """Forward pass of given weights over every embedding."""
+    rows = vectors(spark, sf).select("row_id", "features")
+    model = AeModel(new_weights(64, 3), AeConfig(output="tanh"))
     return model.score(rows).withColumn("score", F.round("score", 4))
 
 
 @query("suite_results")
 def suite_results(spark, sf):
-    """All in-domain and held-out scenarios with a one-class SVM, one scenario with every head."""
-    scen = stable(build_scenarios(P.add_features(corpus(spark, sf), ["li"])))
+    """All in-domain and held-out scenarios with every head, at the protocol's rates and full training."""
+    scen = stable(build_scenarios(P.add_features(corpus(spark, sf), ["li"])).drop("full_query"))
     names = ["a-a", "b-b", "c-c", "d-d", "bcd-a", "acd-b", "abd-c", "abc-d"]
-    cells = P.grid(["ocsvm"], ["li"], names) + P.grid(["lof"], ["loginov"], ["a-a"]) + P.grid(["ae"], ["tfidf"], ["a-a"])
-    light = {"ae": _FAST_AE, "ocsvm": OcsvmConfig(n_components=128, global_rounds=3)}
-    test, val = P.suite_scores(scen, cells, configs=light)
-    return P.suite_results(test, val, target_fpr=0.1)
+    test, val = P.suite_scores(scen, P.grid(["ocsvm", "lof", "ae"], ["li"], names))
+    return P.suite_results(test, val)
 
 
 @query("drift_results")
 def drift_results(spark, sf):
-    parts = drift_partitions(corpus(spark, sf).withColumn("domain", F.lit("all")))
-    return P.drift_results(parts, [("lof", "li"), ("ocsvm", "tfidf")], ["all"], target_fpr=0.1)
+    """Origin and shifted test rows of every domain."""
+    parts = drift_partitions(corpus(spark, sf))
+    return P.drift_results(parts, [("lof", "li"), ("ocsvm", "tfidf")], ["a", "b", "c", "d"])
 
 
 @query("fsl_results")
 def fsl_results(spark, sf):
-    """Adaptation of the held-out model of domain a for several budgets and seeds."""
-    rows = corpus(spark, sf)
-    base = P.train_detector(rows.where((F.col("domain") != "a") & (F.col("split") == "train")), "ae", "li", _FAST_AE)
-    train, test = fewshot_sets(rows, "a", P.TEST_LIMIT, 7)
-    return P.fewshot_results(base, train, test, ks=(0, 5, 50, 500), seeds=(0, 1), target_fpr=0.1)
+    """Adaptation of the held-out model of every domain, for all budgets and seeds, on its whole test set."""
+    rows = P.add_features(corpus(spark, sf), ["li"])
+    out = None
+    for target in "abcd":
+        base = P.train_detector(rows.where((F.col("domain") != target) & (F.col("split") == "train")), "ae", "li")
+        train, test = fewshot_sets(rows, target)
+        one = P.fewshot_results(base, train, test).withColumn("target", F.lit(target))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @query("simple_evaluate")
@@ -197,28 +204,23 @@ def simple_evaluate(spark, sf):
 def trace_detector_scores(spark, sf):
     """Trace features with the one-class SVM; rows without a trace stand out."""
     rows = traces(spark, sf).withColumn("label", F.col("semantic_tree").isNull().cast("int"))
-    det = P.train_detector(rows, "ocsvm", "trace-expert", OcsvmConfig(n_components=128, global_rounds=3))
+    det = P.train_detector(rows, "ocsvm", "trace-expert", None)
     return rounded(det.score(rows, ("row_id", "label")), "score")
 
 
-@query("role_vectors")
-def role_vectors(spark, sf):
-    rows = corpus(spark, sf)
-    benign = rows.where((F.col("label") == 0) & (F.col("split") == "train"))
-    vec = build_extractor("kakisim", min_df=2, max_features=2000).fit(benign).transform(rows)
-    total = F.aggregate("features.values", F.lit(0.0), lambda a, x: a + x)
-    return vec.select("row_id", F.size("features.indices").alias("n_terms"), r6(total).alias("n_words"))
-
-
-@query("model_roundtrip")
+@query(
+    "model_roundtrip",
+    f"""WITH {CORPUS} SELECT method, count(*) AS n, 0.0::DOUBLE AS diff FROM corpus, (VALUES ('ae'), ('lof'), ('ocsvm')) m(method)
+    WHERE split = 'test' GROUP BY method""",
+)
 def model_roundtrip(spark, sf):
     """Largest score difference between a detector and its saved and reloaded copy."""
     rows = corpus(spark, sf)
     test = rows.where(F.col("split") == "test")
     out = None
-    for method, config in (("ae", AeConfig(epochs=3)), ("lof", None), ("ocsvm", OcsvmConfig(global_rounds=1))):
+    for method, config in (("ae", AeConfig(epochs=10)), ("lof", None), ("ocsvm", None)):
         model = DetectorEstimator(method, "li", config).fit(rows.where(F.col("split") == "train"))
-        path = os.path.join(tempfile.mkdtemp(prefix="spark-model-"), method)
+        path = f"{scratch_dir(spark, 'model')}/{method}"
         model.save(path)
         again = Detector.load(path).score(test).withColumnRenamed("score", "again")
         both = model.detector.score(test).join(again, "row_id")
@@ -229,13 +231,6 @@ def model_roundtrip(spark, sf):
     return out
 
 
-@query("latency_measured")
-def latency_measured(spark, sf):
-    rows = corpus(spark, sf)
-    det = P.train_detector(rows.where(F.col("split") == "train"), "ae", "li", AeConfig(epochs=3))
-    return P.latency(P.time_scoring(det, rows.where(F.col("split") == "test"), repeats=3))
-
-
 def _stream(spark, sf):
     """The documents table as a stream of query rows."""
     docs = spark.read.parquet(f"{sf}/documents.parquet")
@@ -243,17 +238,20 @@ def _stream(spark, sf):
     return source.select(F.col("doc_id").alias("row_id"), F.col("text").alias("full_query"))
 
 
-@query("stream_scores")
+@query("stream_scores", "SELECT count(*) AS n_rows, count(DISTINCT doc_id) AS n_ids, 0::BIGINT AS n_odd FROM documents")
 def stream_scores(spark, sf):
     """Stateless scoring stream with a calibrated threshold, drained into a table."""
     rows = corpus(spark, sf).where((F.col("label") == 0) & (F.col("split") == "train"))
-    det, val, _ = P.fit_and_score(rows, rows, "ae", "li", ("row_id",), config=AeConfig(epochs=3))
+    det, val, _ = P.fit_and_score(rows, rows, "ae", "li", ("row_id",))
     threshold = M.percentile_threshold(val, 0.1).first()["threshold"]
-    out = tempfile.mkdtemp(prefix="spark-stream-")
+    out = scratch_dir(spark, "stream")
     scored = score_stream(_stream(spark, sf), det, threshold)
     job = scored.writeStream.format("parquet").option("path", f"{out}/t").option("checkpointLocation", f"{out}/c")
     job.trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{out}/t")
+    odd = F.col("score").isNull() | F.isnan("score") | (F.col("alert") != (F.col("score") > F.lit(threshold)).cast("int"))
+    return spark.read.parquet(f"{out}/t").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_distinct("row_id").alias("n_ids"), F.count_if(odd).alias("n_odd")
+    )
 
 
 @query("stream_scores_lof")
@@ -261,6 +259,6 @@ def stream_scores_lof(spark, sf):
     """Neighbour-search scoring of micro-batches against the static fit table."""
     rows = corpus(spark, sf).where((F.col("label") == 0) & (F.col("split") == "train"))
     det = P.train_detector(rows, "lof", "li")
-    out = tempfile.mkdtemp(prefix="spark-stream-")
+    out = scratch_dir(spark, "stream")
     start_scoring(_stream(spark, sf), det, 0.5, f"{out}/t", f"{out}/c").awaitTermination()
     return spark.read.parquet(f"{out}/t").select("row_id", "score", "alert")

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 
 from pyspark.sql import functions as F
 
 from vigilar.operators import metrics as M
+from vigilar.session import scratch_dir
 from vigilar.sources import sinks
 from vigilar.sources.tables import corpus
 from vigilar.workload.common import CORPUS, DOC_SCORES, SCORES, big, doc_scores, query, r6, rounded, scores
@@ -146,7 +145,7 @@ def pr_points(spark, sf):
 )
 def curve_store(spark, sf):
     """Curve points written per cell and read back for re-plotting."""
-    path = os.path.join(tempfile.mkdtemp(prefix="spark-curves-"), "roc")
+    path = f"{scratch_dir(spark, 'curves')}/roc"
     sinks.write_curve(M.roc_points(scores(spark, sf), ["cell"], drop_collinear=False), path, ["cell"])
     back = spark.read.schema("fpr double, tpr double, threshold double, cell bigint").parquet(path)
     return back.groupBy("cell").agg(F.count(F.lit(1)).alias("n_points"), r6(F.max("tpr")).alias("top"))
@@ -154,15 +153,16 @@ def curve_store(spark, sf):
 
 @query(
     "curve_downsample",
-    f"""WITH {STEPS}, ranked AS (SELECT cell, score, row_number() OVER (PARTITION BY cell ORDER BY score) - 1 AS pos0,
-      count(*) OVER (PARTITION BY cell) AS cnt FROM steps),
+    f"""WITH {STEPS}, pts AS (SELECT cell, score FROM steps UNION ALL SELECT DISTINCT cell, 'Infinity'::DOUBLE FROM steps),
+    ranked AS (SELECT cell, score, row_number() OVER (PARTITION BY cell ORDER BY score) - 1 AS pos0,
+      count(*) OVER (PARTITION BY cell) AS cnt FROM pts),
     wanted AS (SELECT DISTINCT cell, floor(i * ((cnt - 1)::DOUBLE / 99.0))::BIGINT AS pos0
       FROM (SELECT DISTINCT cell, cnt FROM ranked), range(0, 100) t(i))
     SELECT r.cell, r.score AS threshold FROM ranked r LEFT JOIN wanted w ON r.cell = w.cell AND r.pos0 = w.pos0
     WHERE cnt <= 100 OR w.pos0 IS NOT NULL OR r.pos0 = cnt - 1""",
 )
 def curve_downsample(spark, sf):
-    points = M.roc_points(scores(spark, sf), ["cell"], drop_collinear=False).where(F.col("threshold") < float("inf"))
+    points = M.roc_points(scores(spark, sf), ["cell"], drop_collinear=False)
     return M.thin_curve(points, ["cell"], "threshold", 100).select("cell", "threshold")
 
 

@@ -2,20 +2,18 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 from pyspark.sql import functions as F
 
 from vigilar.functions import lexical
 from vigilar.operators import fingerprint as fp
 from vigilar.operators import sampling as S
 from vigilar.plans import extractors as X
+from vigilar.session import scratch_dir
 from vigilar.sources import scenarios as SC
 from vigilar.sources import sinks
 from vigilar.sources.tables import corpus, runs, table, traces
 from vigilar.workload.common import CORPUS, RUNS, query
-
+from vigilar.workload.features import TRACES
 
 
 def md5_of(seed, row_id="row_id") -> str:
@@ -67,7 +65,7 @@ def scan_fsl(spark, sf):
 )
 def scan_csv_roundtrip(spark, sf):
     """The corpus written as a scenario CSV file and read back through the labelled reader."""
-    path = os.path.join(tempfile.mkdtemp(prefix="spark-csv-"), "single.csv")
+    path = f"{scratch_dir(spark, 'csv')}/single.csv"
     rows = corpus(spark, sf).drop("row_id", "query_template_id")
     rows.write.option("header", True).option("escape", '"').option("quoteAll", True).option(
         "nullValue", ""
@@ -77,28 +75,62 @@ def scan_csv_roundtrip(spark, sf):
     return back.select(*cols)
 
 
+@query(
+    "read_scenario_splits",
+    f"WITH {CORPUS} SELECT split, label, count(*) AS n, count(*) AS n_ids FROM corpus WHERE domain = 'a' AND length(full_query) > 0 GROUP BY split, label",
+)
+def read_scenario_splits(spark, sf):
+    """A scenario folder in Parquet on shared storage, resolved by family and name; every row has its own id."""
+    root = scratch_dir(spark, "scenarios")
+    rows = corpus(spark, sf).where((F.col("domain") == "a") & (F.length("full_query") > 0)).drop("row_id")
+    rows.write.parquet(f"{root}/a-a")
+    table_ = SC.read_labelled(spark, f"{root}/a-a")
+    kept = SC.convert_csv(spark, f"{root}/a-a", f"{root}/converted")
+    assert "row_id" in table_.columns
+    return kept.groupBy("split", "label").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("row_id").alias("n_ids"))
+
+
+@query(
+    "target_sources",
+    "SELECT d AS target, concat(d, '-', d) AS in_domain, concat(replace('abcd', d, ''), '-', d) AS lodo, concat(d, '-', d, '.csv') AS file FROM (SELECT unnest(['a','b','c','d']) AS d)",
+)
+def target_sources(spark, sf):
+    """The scenarios and the file behind every target domain of the few-shot family."""
+    dim = SC.scenario_dimension(spark)
+    own = dim.where((F.col("family") == "fewshot") & (F.col("suite") == "all")).select(F.col("test_domain").alias("target"), "file")
+    multi = dim.where((F.col("family") == "multi") & (F.col("suite") == "all"))
+    found = multi.groupBy(F.col("test_domain").alias("target")).agg(
+        F.max(F.when(F.col("kind") == "in_domain", F.col("scenario"))).alias("in_domain"), F.max(F.when(F.col("kind") == "lodo", F.col("scenario"))).alias("lodo")
+    )
+    return found.join(own, "target")
+
+
 @query(
     "manifest_entries",
-    """SELECT concat('part-', source) AS file, count(*) AS bytes, md5(string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id)) AS md5
+    """SELECT concat('part-', source) AS file, count(*) AS bytes, md5(concat(min(doc_id), ':', max(doc_id), ':', sum(doc_id))) AS md5
        FROM documents GROUP BY source""",
 )
 def manifest_entries(spark, sf):
     """A manifest with one entry per source, written as nested JSON and read back."""
     docs = table(spark, sf, "documents")
-    ids = F.array_join(F.transform(F.array_sort(F.collect_list("doc_id")), lambda i: i.cast("string")), ",")
+    ids = F.concat_ws(":", F.min("doc_id"), F.max("doc_id"), F.sum("doc_id"))
     entries = docs.groupBy("source").agg(F.count(F.lit(1)).alias("bytes"), F.md5(ids).alias("md5"))
     entry = F.struct(F.lit("in_domain").alias("kind"), "bytes", "md5")
     files = F.map_from_entries(F.collect_list(F.struct(F.concat(F.lit("part-"), "source"), entry)))
     doc = entries.agg(F.create_map(F.lit("main"), F.struct(files.alias("files"))).alias("groups"))
-    path = os.path.join(tempfile.mkdtemp(prefix="spark-manifest-"), "manifest")
+    path = f"{scratch_dir(spark, 'manifest')}/manifest"
     doc.coalesce(1).write.json(path)
     return SC.manifest_entries(spark, path).select("file", "bytes", "md5")
 
 
-@query("file_integrity")
+@query(
+    "file_integrity",
+    """SELECT concat(n, '.parquet') AS file, CASE WHEN n = 'events' THEN 'bad_hash' ELSE 'ok' END AS status FROM
+    (SELECT unnest(['region','nation','customer','supplier','part','orders','lineitem','events','documents','embeddings','pages','benchmark','labels','conversations']) AS n)""",
+)
 def file_integrity(spark, sf):
     """Checks the given table files against a manifest made from their own bytes, one of them falsified."""
-    path = os.path.join(tempfile.mkdtemp(prefix="spark-manifest-"), "manifest")
+    path = f"{scratch_dir(spark, 'manifest')}/manifest"
     files = spark.read.format("binaryFile").load(f"{sf}/*.parquet")
     name = F.element_at(F.split("path", "/"), -1)
     bad = name == "events.parquet"
@@ -109,7 +141,7 @@ def file_integrity(spark, sf):
     )
     one = files.agg(F.map_from_entries(F.collect_list(F.struct(name, entry))).alias("files"))
     one.select(F.create_map(F.lit("main"), F.struct("files")).alias("groups")).write.json(path)
-    return SC.verify_files(SC.manifest_entries(spark, path), sf)
+    return SC.verify_files(SC.manifest_entries(spark, path), sf).select("file", "status")
 
 
 @query(
@@ -245,17 +277,18 @@ def extractor_lookup(spark, sf):
     "unknown_names",
     f"""WITH {RUNS}, dim(extractor, label, observes_insider) AS (VALUES {_OBSERVE}),
     req AS (SELECT extractor AS name FROM runs UNION ALL SELECT concat(event_type, '-x') FROM events)
-    SELECT DISTINCT name FROM req WHERE name NOT IN (SELECT extractor FROM dim)""",
+    SELECT name, CASE WHEN name NOT IN (SELECT extractor FROM dim) THEN 'unknown' ELSE 'duplicate' END AS problem FROM req
+    GROUP BY name HAVING count(*) > 1 OR name NOT IN (SELECT extractor FROM dim)""",
 )
 def unknown_names(spark, sf):
-    """Requested names that no extractor has."""
-    from vigilar.plans.reports import with_cell_tags
+    """Requested names that no extractor has, or that are requested twice."""
+    from vigilar.plans.reports import name_problems, with_cell_tags
 
     asked = with_cell_tags(runs(spark, sf)).select(F.col("extractor").alias("name")).unionByName(
         table(spark, sf, "events").select(F.concat("event_type", F.lit("-x")).alias("name"))
     )
     known = X.extractor_dimension(spark).select(F.col("extractor").alias("name"))
-    return asked.distinct().join(F.broadcast(known), "name", "left_anti")
+    return name_problems(asked, known)
 
 
 @query(
@@ -289,7 +322,7 @@ def resumable_traces(spark, sf):
     from vigilar.functions.traces import syntactic_fields
 
     rows = traces(spark, sf)
-    path = os.path.join(tempfile.mkdtemp(prefix="spark-resume-"), "features")
+    path = f"{scratch_dir(spark, 'resume')}/features"
     compute = lambda d: syntactic_fields(d.drop("full_query", "semantic_tree"))
     compute(rows.where(F.pmod(F.xxhash64("row_id"), F.lit(4)) < 2)).write.parquet(path)
     out = sinks.resumable_append(rows, compute, path, steps=4)
@@ -303,7 +336,7 @@ def resumable_traces(spark, sf):
 def feature_store_hit(spark, sf):
     """Features computed through the store; the second read must come from it."""
     rows = corpus(spark, sf).select("row_id", "full_query")
-    store = sinks.FeatureStore(tempfile.mkdtemp(prefix="spark-store-"))
+    store = sinks.FeatureStore(scratch_dir(spark, "store"))
     store.features(rows, lexical.li_columns, "li")
 
     def never(_):
@@ -314,6 +347,26 @@ def feature_store_hit(spark, sf):
     )
 
 
+@query(
+    "feature_store_inputs",
+    f"WITH {TRACES} SELECT count(*) AS n_rows, sum(coalesce(n_words % 13, 0))::DOUBLE AS before, sum(coalesce(n_words % 13, 0) + 1)::DOUBLE AS after, 2::BIGINT AS computed FROM traces",
+)
+def feature_store_inputs(spark, sf):
+    """Equal texts with other traces must be computed anew, and only those."""
+    rows = traces(spark, sf).withColumn("depth", F.coalesce("depth", F.lit(0))).withColumn("label", F.lit(0))
+    store, calls = sinks.FeatureStore(scratch_dir(spark, "store")), []
+
+    def compute(d):
+        calls.append(1)
+        return d.withColumn("own_depth", F.col("depth").cast("double"))
+
+    inputs = ["semantic_tree", "depth"]
+    total = lambda d: store.features(d, compute, "trace", inputs=inputs).agg(F.count(F.lit(1)).alias("n_rows"), F.sum("own_depth").alias("s")).first()
+    first, changed, again = total(rows), total(rows.withColumn("depth", F.col("depth") + 1)), total(rows.withColumn("label", F.lit(1)))
+    assert again == first
+    return spark.createDataFrame([(first["n_rows"], first["s"], changed["s"], len(calls))], "n_rows long, before double, after double, computed long")
+
+
 @query(
     "results_rewrite_cell",
     f"""WITH {RUNS} SELECT extractor, scenario, CASE WHEN extractor = 'li' AND scenario = 'a-a' THEN 0 ELSE count(*) END AS n_runs
@@ -324,7 +377,7 @@ def results_rewrite_cell(spark, sf):
     from vigilar.plans.reports import finished_runs, with_cell_tags
 
     counts = with_cell_tags(finished_runs(runs(spark, sf))).groupBy("extractor", "scenario").agg(F.count(F.lit(1)).alias("n_runs"))
-    path = os.path.join(tempfile.mkdtemp(prefix="spark-results-"), "results")
+    path = f"{scratch_dir(spark, 'results')}/results"
     cell = ["extractor", "scenario"]
     sinks.write_results(counts, path, cell)
     again = counts.where((F.col("extractor") == "li") & (F.col("scenario") == "a-a")).withColumn("n_runs", F.lit(0).cast("bigint"))
