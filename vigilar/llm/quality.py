@@ -38,8 +38,8 @@ INSULTS = (
     "asshole bastard bitch clown cretin disgusting dumb dumbass filth fool freak garbage idiot idiotic imbecile jerk "
     "loser moron moronic pathetic pig scum scumbag shithead stupid trash ugly vermin worthless"
 ).split()
-JUNK_VOTES = ("symbols", "bars", "shouting", "repeats", "quality")
-TOXIC_VOTES = ("insults", "stems", "density", "toxic")
+JUNK_VOTES = ("symbols", "bars", "shouting", "repeats", "plain", "quality")
+TOXIC_VOTES = ("insults", "stems", "toxic")
 _SYMBOLS = np.zeros(256, dtype=bool)
 _SYMBOLS[[ord(c) for c in "#$%&*!|<>{}[]\\^~=@_+"]] = True
 _STEM_SALT, _STAT_SALT = np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25)
@@ -115,16 +115,20 @@ def _ternary(bad: np.ndarray, fine: np.ndarray) -> np.ndarray:
 
 
 def votes(m: Measures) -> dict[str, np.ndarray]:
-    """Votes of the heuristic labellers: 1 bad, -1 fine, 0 no opinion."""
-    density = m.stem_hits / np.maximum(np.diff(m.bounds), 1)
+    """Votes of the heuristic labellers: 1 bad, -1 fine, 0 no opinion.
+
+    A text is junk of one kind or another, so what looks for one kind has no opinion on texts
+    without it; that a text is fine is said by one labeller, which looks at all of them.
+    """
+    never = np.zeros(len(m.n_words), dtype=bool)
     return {
-        "symbols": _ternary(m.symbols > 0.06, m.symbols < 0.02),
-        "bars": _ternary(m.bars > 0.2, m.bars < 0.02),
-        "shouting": _ternary(m.upper > 0.5, m.upper < 0.2),
-        "repeats": _ternary(m.repeats > 0.3, m.repeats < 0.05),
+        "symbols": _ternary(m.symbols > 0.06, never),
+        "bars": _ternary(m.bars > 0.2, never),
+        "shouting": _ternary(m.upper > 0.5, never),
+        "repeats": _ternary(m.repeats > 0.3, never),
+        "plain": _ternary(never, (m.symbols < 0.02) & (m.bars < 0.02) & (m.upper < 0.2) & (m.repeats < 0.05)),
         "insults": _ternary(m.insults >= 2, m.insults == 0),
-        "stems": _ternary(m.stem_hits >= 2, m.stem_hits == 0),
-        "density": _ternary((density > 0.002) & (m.stem_hits >= 2), density < 0.0002),
+        "stems": _ternary(m.stem_hits >= 2, m.stem_hits < 2),
     }
 
 
