@@ -22,6 +22,16 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of ``saved`` that nothing reads any more."""
+    for table in tables:
+        spark = table.sparkSession
+        folders = {file.rsplit("/", 1)[0] for file in table.inputFiles()}
+        for folder in folders:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def reclaim(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of plans that are no longer referred to.
 

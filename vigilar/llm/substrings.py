@@ -7,10 +7,12 @@
 3. Blocks that share an anchor but differ are sorted: q-grams become symbols, a generalised suffix
    array is built by linear grouping (``suffix_groups``), and each interval of common prefixes of
    100 bytes is one repeated string, whose earliest place stays.
-4. An anchor with more different blocks than one task should hold is dealt out window by window.
+4. The blocks of an anchor with more different ones than one task should hold are cut finer
+   instead, down to single windows, and compared by content.
 
 Blocks are small and grouped by anchor, so tasks hold ``BLOCK_SYMBOLS`` symbols at a time, whatever
-the number of documents. Texts are read twice and shuffled twice, by document.
+the number of documents. Texts are dealt by document three times: to list blocks, to fetch the
+bytes of those that have to be sorted, and to cut out what repeats.
 """
 
 from __future__ import annotations
@@ -24,13 +26,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vigilar.llm import words as W
-from vigilar.llm.store import reclaim, saved
+from vigilar.llm.store import discard, reclaim, saved
 from vigilar.llm.suffix_groups import repeated, suffix_array
 
 SPAN = 100
 GRAM = 16
 SYMBOL = 84  # bytes of a symbol: a window is SPAN - SYMBOL + 1 symbols
-HOT_BLOCKS = 512
+HOT_BLOCKS = 4096
+HOT_PARTS = (16, 4, 1)
 BLOCK_SYMBOLS = 1 << 16
 PIECE = 1 << 21
 
@@ -54,14 +57,19 @@ def anchors(data: np.ndarray, prefix: np.ndarray) -> tuple[np.ndarray, np.ndarra
     if n < SPAN:
         none = np.zeros(0, dtype=np.int64)
         return none, none, none.astype(np.uint64)
-    starts = np.arange(n - GRAM + 1)
-    grams = W.span_hash(prefix, starts, starts + GRAM)
-    # The place in the low bits: the leftmost of equal minima.
-    ranked = (grams & ~np.uint64((1 << 24) - 1)) | starts.astype(np.uint64)
-    place = _sliding_min(ranked, SPAN - GRAM + 1) & np.uint64((1 << 24) - 1)
+    grams = W.window_hash(prefix, GRAM)
+    place = _places(grams)
     change = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
     counts = np.diff(np.concatenate([change, [len(place)]]))
-    return change, counts, grams[place[change].astype(np.int64)]
+    return change, counts, grams[place[change]]
+
+
+def _places(grams: np.ndarray) -> np.ndarray:
+    """Where the smallest gram of every window starts; of equal ones, the leftmost."""
+    low = np.uint64((1 << 24) - 1)
+    ranked = grams & ~low
+    ranked |= np.arange(len(grams), dtype=np.uint64)
+    return (_sliding_min(ranked, SPAN - GRAM + 1) & low).view(np.int64)
 
 
 def _pieces(data: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -84,13 +92,13 @@ def _slice_anchors(part: W.Slice) -> tuple[np.ndarray, np.ndarray]:
     n = len(part.data)
     if n < SPAN:
         return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
-    prefix = W.prefix_hash(part.data)
-    starts = np.arange(n - GRAM + 1)
-    grams = W.span_hash(prefix, starts, starts + GRAM)
-    ranked = (grams & ~np.uint64((1 << 24) - 1)) | starts.astype(np.uint64)
-    place = (_sliding_min(ranked, SPAN - GRAM + 1) & np.uint64((1 << 24) - 1)).astype(np.int64)
-    text = np.searchsorted(part.bounds, np.arange(len(place)), side="right") - 1
-    whole = np.arange(len(place)) + SPAN <= part.bounds[text + 1]
+    grams = W.window_hash(W.prefix_hash(part.data), GRAM)
+    place = _places(grams)
+    text = np.repeat(np.arange(len(part), dtype=np.int32), np.diff(part.bounds))[: len(place)]
+    # Windows that reach into the next text are none.
+    whole = np.ones(len(place), dtype=bool)
+    for end in part.bounds[1:-1]:
+        whole[max(0, end - SPAN + 1) : end] = False
     place, text = place[whole], text[whole]
     first = np.concatenate([[True], (place[1:] != place[:-1]) | (text[1:] != text[:-1])])[: len(place)]
     return text[first], grams[place[first]]
@@ -115,27 +123,42 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _block_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks of the anchors that may repeat, with the bytes of their windows."""
+    """Blocks of the anchors that may repeat: anchor, content, place and number of windows."""
     for batch in batches:
         ids, digests = batch.column("_id").to_numpy(), batch.column("_h").to_numpy()
-        wanted = batch.column("grams").to_pylist()
-        rows: list[tuple] = []
+        lists = batch.column("grams")
+        edges, wanted = np.asarray(lists.offsets), np.asarray(lists.values)
         for part in W.slices(batch.column("text")):
+            found = []
             for i in range(len(part)):
                 row = part.first + i
-                grams_wanted = np.sort(np.array(wanted[row], dtype=np.int64).view(np.uint64))
-                for at, piece, prefix, first, count, grams in _text_anchors(part.data[part.bounds[i] : part.bounds[i + 1]]):
-                    hit = np.flatnonzero(np.isin(grams, grams_wanted))
-                    first, count = first[hit], count[hit]
+                own = np.sort(wanted[edges[row] : edges[row + 1]].view(np.uint64))
+                if not len(own):
+                    continue
+                for at, _, prefix, first, count, grams in _text_anchors(part.data[part.bounds[i] : part.bounds[i + 1]]):
+                    hit = own[np.minimum(np.searchsorted(own, grams), len(own) - 1)] == grams
+                    first, count, grams = first[hit], count[hit], grams[hit]
                     content = W.span_hash(prefix, first, first + count + SPAN - 1)
-                    rows += [
-                        (int(g), int(c), int(ids[row]), int(digests[row]), at + int(f), int(k), piece[f : f + k + SPAN - 1].tobytes())
-                        for g, c, f, k in zip(grams[hit].view(np.int64), content.view(np.int64), first, count, strict=True)
-                    ]
-        if rows:
-            columns = list(zip(*rows, strict=True))
-            kinds = [pa.int64()] * 5 + [pa.int32(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["gram", "content", "_id", "_h", "at", "n", "bytes"])
+                    found.append((grams.view(np.int64), content.view(np.int64), np.full(len(first), ids[row]), np.full(len(first), digests[row]), at + first, count))
+            if found:
+                columns = [np.concatenate(c) for c in zip(*found, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], names=["gram", "content", "_id", "_h", "at", "n"])
+
+
+def _byte_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The bytes of the listed blocks of each text."""
+    for batch in batches:
+        listed = batch.column("blocks").to_pylist()
+        ids, digests = batch.column("_id").to_pylist(), batch.column("_h").to_pylist()
+        for part in W.slices(batch.column("text")):
+            rows = []
+            for i in range(len(part)):
+                row, text = part.first + i, part.bytes_of(i)
+                rows += [(b["gram"], b["different"], ids[row], digests[row], b["at"], b["n"], text[b["at"] : b["at"] + b["n"] + SPAN - 1]) for b in listed[row]]
+            if rows:
+                kinds = [pa.int64()] * 6 + [pa.binary()]
+                columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays(columns, names=["gram", "different", "_id", "_h", "at", "n", "bytes"])
 
 
 def _sorted_blocks(group: np.ndarray, ids: np.ndarray, digests: np.ndarray, at: np.ndarray, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -146,7 +169,7 @@ def _sorted_blocks(group: np.ndarray, ids: np.ndarray, digests: np.ndarray, at:
     block = np.repeat(np.arange(len(texts)), counts)
     offset = W._within(counts)
     starts = bounds[:-1][block] + offset
-    grams = W.mix(W.span_hash(W.prefix_hash(data), starts, starts + SYMBOL) ^ W.mix(group.view(np.uint64))[block])
+    grams = W.mix(W.window_hash(W.prefix_hash(data), SYMBOL)[starts] ^ W.mix(group.view(np.uint64))[block])
     _, ranks, often = np.unique(grams, return_inverse=True, return_counts=True)
     unique = often[ranks] == 1
     # A unique symbol ends every repeated string, as the end of a block does: separators of their own, smallest of all.
@@ -216,15 +239,52 @@ def _suffix_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from flush(held)
 
 
-def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All windows of a block, by content."""
-    for batch in batches:
-        for gram, own_id, digest, at, n, text in zip(*(batch.column(c).to_pylist() for c in ("gram", "_id", "_h", "at", "n", "bytes")), strict=True):
-            data = np.frombuffer(text, dtype=np.uint8)
-            starts = np.arange(n)
-            content = W.span_hash(W.prefix_hash(data), starts, starts + SPAN).view(np.int64)
-            fixed = [np.full(n, x, dtype=np.int64) for x in (gram, own_id, digest)]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (fixed[0], content, fixed[1], fixed[2], at + starts)], names=["gram", "content", "_id", "_h", "at"])
+def _sub_blocks(width: int):
+    """Cut blocks at every ``width`` windows, counted from the anchor, so that equal windows get the same part number."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[tuple] = []
+            for gram, own_id, digest, at, n, text in zip(*(batch.column(c).to_pylist() for c in ("gram", "_id", "_h", "at", "n", "bytes")), strict=True):
+                prefix = W.prefix_hash(np.frombuffer(text, dtype=np.uint8))
+                anchor = int(np.flatnonzero(W.window_hash(prefix, GRAM).view(np.int64) == gram)[0])
+                part = np.arange((anchor - n + 1) // width, anchor // width + 1)
+                nearest = anchor - part * width  # of the part's windows, the last to start
+                first, last = np.maximum(0, nearest - width + 1), np.minimum(n - 1, nearest)
+                core = W.span_hash(prefix, nearest, nearest - width + 1 + SPAN)
+                content = W.span_hash(prefix, first, last + SPAN)
+                rows += [
+                    (gram, int(g), int(k), int(c), own_id, digest, at + int(a), int(b - a + 1), text[a : b + SPAN])
+                    for g, k, c, a, b in zip(part, core.view(np.int64), content.view(np.int64), first, last, strict=True)
+                ]
+            if rows:
+                columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), [pa.int64()] * 8 + [pa.binary()], strict=True)]
+                yield pa.RecordBatch.from_arrays(columns, names=["gram", "part", "core", "content", "_id", "_h", "at", "n", "bytes"])
+
+    return run
+
+
+def _refined(blocks: DataFrame) -> DataFrame:
+    """Ranges of the windows of hot anchors that also start earlier, by cutting blocks finer and finer.
+
+    The core of a part is what all its windows have in common: where only one block has it, no
+    window of the part repeats. Equal parts collapse to the earliest; parts that share a core
+    and differ are cut again, down to single windows. No group is held by one task.
+    """
+    kind = "gram long, part long, core long, content long, _id long, _h long, at long, n long, bytes binary"
+    found = None
+    for width in HOT_PARTS:
+        parts = saved(blocks.select("gram", "_id", "_h", "at", "n", "bytes").mapInArrow(_sub_blocks(width), kind), "parts")
+        key = ["gram", "part", "core"]
+        shared = parts.groupBy(*key).agg(F.count(F.lit(1)).alias("k"), (F.min("content") < F.max("content")).alias("differ")).where("k > 1")
+        place = F.struct("_id", "at", "_h", "n", "bytes")
+        firsts = saved(parts.join(shared.drop("k"), key).groupBy(*key, "content", "differ").agg(F.min(place).alias("f"), F.count(F.lit(1)).alias("k")), "first_parts")
+        lead = firsts.where("k > 1").select(*key, "content", F.struct("f._id", "f.at").alias("lead"))
+        later = parts.drop("bytes").join(lead, [*key, "content"]).where(F.struct("_id", "at") > F.col("lead"))
+        later = later.select("_id", "_h", F.col("at").alias("start"), (F.col("at") + F.col("n") + SPAN - 1).alias("stop"))
+        found = later if found is None else found.unionByName(later)
+        blocks = firsts.where("differ").select("gram", "f._id", "f._h", "f.at", "f.n", "f.bytes")
+    return found
 
 
 def repeated_ranges(docs: DataFrame) -> DataFrame:
@@ -242,36 +302,43 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
     grams = saved(docs.where(F.octet_length("text") >= SPAN).select("_h", "text").mapInArrow(_anchor_rows, "gram long, digest long"), "anchors")
     shared = grams.groupBy("gram").agg(F.min("digest").alias("a"), F.max("digest").alias("b")).where("a < b").select("gram")
     wanted = grams.join(shared, "gram").groupBy(F.col("digest").alias("_h")).agg(F.collect_list("gram").alias("grams"))
-    wanted = saved(wanted.join(firsts.select("_h", F.col("first").alias("_id")), "_h"), "wanted")
+    wanted = saved(wanted.join(firsts.select("_h", F.col("first").alias("_id")), "_h").select("_id", "_h", "grams"), "wanted")
+    discard(grams)
     reclaim(spark)
-    kind = "gram long, content long, _id long, _h long, at long, n int, bytes binary"
-    blocks = docs.select("_id", "_h", "text").join(wanted, ["_id", "_h"]).select("_id", "_h", "text", "grams").mapInArrow(_block_rows, kind)
+    kind = "gram long, content long, _id long, _h long, at long, n long"
+    texts = docs.select("_id", "_h", "text")
+    blocks = texts.join(wanted.hint("shuffle_hash"), ["_id", "_h"]).select("_id", "_h", "text", "grams").mapInArrow(_block_rows, kind)
     blocks = saved(blocks, "blocks")
+    discard(wanted)
     reclaim(spark)
 
-    place = F.struct("_id", "at", "_h", "n")
-    distinct = blocks.groupBy("gram", "content").agg(F.min(place).alias("first"), F.first("bytes").alias("bytes"))
-    distinct = saved(distinct, "distinct_blocks")
-    number = saved(distinct.groupBy("gram").agg(F.count(F.lit(1)).alias("different")), "anchor_counts")
+    distinct = saved(blocks.groupBy("gram", "content").agg(F.min(F.struct("_id", "at", "_h", "n")).alias("first")), "distinct_blocks")
     lead = distinct.select("gram", "content", F.col("first._id").alias("fid"), F.col("first.at").alias("fat"))
-    later = blocks.drop("bytes").join(lead, ["gram", "content"]).where((F.col("_id") > F.col("fid")) | (F.col("at") > F.col("fat")) & (F.col("_id") == F.col("fid")))
-    later = later.select("_id", "_h", F.col("at").alias("start"), (F.col("at") + F.col("n") + SPAN - 1).alias("stop"))
-
-    many = distinct.join(number.where("different > 1"), "gram").select("gram", "different", F.col("first._id").alias("_id"), F.col("first._h").alias("_h"), F.col("first.at").alias("at"), F.col("first.n").alias("n"), "bytes")
+    later = blocks.join(lead, ["gram", "content"]).where((F.col("_id") > F.col("fid")) | (F.col("at") > F.col("fat")) & (F.col("_id") == F.col("fid")))
+    later = saved(later.select("_id", "_h", F.col("at").alias("start"), (F.col("at") + F.col("n") + SPAN - 1).alias("stop")), "later_blocks")
+
+    number = distinct.groupBy("gram").agg(F.count(F.lit(1)).alias("different")).where("different > 1")
+    differing = distinct.join(number, "gram").select("gram", "different", "first._id", "first._h", "first.at", "first.n")
+    listed = differing.groupBy("_id", "_h").agg(F.collect_list(F.struct("gram", "different", "at", "n")).alias("blocks"))
+    listed = saved(listed, "listed_blocks")
+    discard(blocks, distinct)
+    reclaim(spark)
+    kind = "gram long, different long, _id long, _h long, at long, n long, bytes binary"
+    many = texts.join(listed.hint("shuffle_hash"), ["_id", "_h"]).select("_id", "_h", "text", "blocks").mapInArrow(_byte_rows, kind)
     many = saved(many, "differing_blocks")
+    discard(listed)
+    reclaim(spark)
     sorted_ = many.where(F.col("different") <= HOT_BLOCKS).repartition("gram").sortWithinPartitions("gram", "_id", "at")
     ranges = "_id long, _h long, start long, stop long"
     by_suffix = sorted_.select("gram", "_id", "_h", "at", "bytes").mapInArrow(_suffix_rows, ranges)
 
-    windows = many.where(F.col("different") > HOT_BLOCKS).select("gram", "_id", "_h", "at", "n", "bytes").mapInArrow(_window_rows, "gram long, content long, _id long, _h long, at long")
-    windows = saved(windows, "windows")
-    leads = windows.groupBy("gram", "content").agg(F.min(F.struct("_id", "at")).alias("f"), F.count(F.lit(1)).alias("k")).where("k > 1").select("gram", "content", "f")
-    by_window = windows.join(leads, ["gram", "content"]).where(F.struct("_id", "at") > F.col("f")).select("_id", "_h", F.col("at").alias("start"), (F.col("at") + SPAN).alias("stop"))
+    by_part = _refined(many.where(F.col("different") > HOT_BLOCKS))
 
-    found = later.unionByName(by_suffix).unionByName(by_window)
+    found = later.unionByName(by_suffix).unionByName(by_part)
     marks = found.groupBy("_id", "_h").agg(F.collect_set(F.struct("start", "stop")).alias("ranges")).withColumn("whole", F.lit(False))
     whole = copies.withColumn("ranges", F.array().cast("array<struct<start:long,stop:long>>")).withColumn("whole", F.lit(True))
     marks = saved(marks.unionByName(whole), "marks")
+    discard(rows, firsts, later, many)
     reclaim(spark)
     return marks
 
@@ -322,5 +389,5 @@ def remove_repeated(docs: DataFrame) -> DataFrame:
     W.bounded_batches(docs.sparkSession)
     docs = W.keyed(docs)
     marks = repeated_ranges(docs).groupBy("_id", "_h").agg(F.flatten(F.collect_list("ranges")).alias("ranges"), F.max("whole").alias("whole"))
-    joined = docs.join(marks, ["_id", "_h"], "left").select("doc_id", "text", "ranges", "whole")
+    joined = docs.join(marks.hint("shuffle_hash"), ["_id", "_h"], "left").select("doc_id", "text", "ranges", "whole")
     return joined.mapInArrow(_result_rows, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<long>")

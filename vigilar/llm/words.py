@@ -60,10 +60,11 @@ def same_row(a: str, b: str) -> Column:
 def mix(x: np.ndarray) -> np.ndarray:
     """Finalise 64-bit hashes, so that every bit depends on all others."""
     x = x ^ (x >> np.uint64(33))
-    x = x * np.uint64(0xFF51AFD7ED558CCD)
-    x = x ^ (x >> np.uint64(33))
-    x = x * np.uint64(0xC4CEB9FE1A85EC53)
-    return x ^ (x >> np.uint64(33))
+    x *= np.uint64(0xFF51AFD7ED558CCD)
+    x ^= x >> np.uint64(33)
+    x *= np.uint64(0xC4CEB9FE1A85EC53)
+    x ^= x >> np.uint64(33)
+    return x
 
 
 _powers_cache: dict[str, np.ndarray] = {}
@@ -92,6 +93,15 @@ def span_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix((prefix[ends] - prefix[starts]) * powers(len(prefix), inverse=True)[starts] + (ends - starts).astype(np.uint64))
 
 
+def window_hash(prefix: np.ndarray, size: int) -> np.ndarray:
+    """``span_hash`` of all runs of ``size`` bytes, in order."""
+    count = max(0, len(prefix) - size)
+    out = prefix[size:] - prefix[:count]
+    out *= powers(len(prefix), inverse=True)[:count]
+    out += np.uint64(size)
+    return mix(out)
+
+
 @dataclass
 class Slice:
     """Some consecutive texts of a batch. ``bounds`` has one more entry than there are texts."""
