@@ -100,7 +100,8 @@ def remove_repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFr
     """
     docs = keyed(docs)
     runs = repeated_line_runs(docs, min_words)
-    out = docs.join(runs, ["_id", "_h"], "left").select("doc_id", _lines(F.col("text")).alias("lines"), "runs")
+    # One plan at all sizes: texts are dealt once, not sorted, and the runs never broadcast.
+    out = docs.join(runs.hint("shuffle_hash"), ["_id", "_h"], "left").select("doc_id", _lines(F.col("text")).alias("lines"), "runs")
     gone = F.array_distinct(F.flatten(F.transform("runs", lambda x: F.sequence(x["i"], x["i"] + x["m"] - 1))))
     out = out.withColumn("gone", F.coalesce(gone, F.array().cast("array<int>")))
     kept = F.filter("lines", lambda x, i: ~F.array_contains("gone", i))
