@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vigilar.llm import words as W
+from vigilar.llm.store import smallest_by_hash
 
 BITS = 12
 SAMPLE_PAGES = 200
@@ -380,6 +381,6 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
     W.bounded_batches(spark)
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"))
-    sample = rows.where(F.length("html").between(1, 20_000)).orderBy(F.xxhash64("page_id"), "page_id", F.xxhash64("html")).limit(SAMPLE_PAGES)
+    sample = smallest_by_hash(rows.where(F.length("html").between(1, 20_000)).withColumn("_h", F.xxhash64("html")), SAMPLE_PAGES, "page_id", "_h")
     model = train([r["html"] for r in sample.select("html").collect()])
     return rows.mapInArrow(_rows(spark.sparkContext.broadcast(model)), "page_id long, url string, text string, n_chars long")

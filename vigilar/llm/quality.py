@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vigilar.llm import words as W
-from vigilar.llm.store import saved
+from vigilar.llm.store import saved, smallest_by_hash
 
 FIT_ROWS = 12_000
 LABELLED_ROWS = 20_000
@@ -175,7 +175,7 @@ def _stem_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def toxic_stems(docs: DataFrame, labels: DataFrame, limit: int = LABELLED_ROWS) -> np.ndarray:
     """Word beginnings that labelled toxic documents use and others do not (hashes, sorted)."""
-    sample = labels.where("doc_id is not null and toxic is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
+    sample = smallest_by_hash(labels.where("doc_id is not null and toxic is not null"), limit, "doc_id")
     rows = docs.join(F.broadcast(sample.select("doc_id", "toxic")), "doc_id").select("text", "toxic")
     counts = rows.mapInArrow(_stem_rows, "stem long, toxic long").groupBy("stem").agg(F.sum("toxic").alias("bad"), F.count(F.lit(1)).alias("n"))
     marks = counts.where((F.col("stem") != 0) & (F.col("bad") >= STEM_MIN_DOCS) & (F.col("n") - F.col("bad") <= STEM_MAX_FINE * F.col("bad")))
@@ -290,7 +290,7 @@ def fit_scorer(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) ->
         table = spark.createDataFrame(rows, ", ".join(f"{m} byte" for m in members) + f", p_{kind} double")
         out = out.join(F.broadcast(table), list(members))  # at most 3 ** len(members) rows
     goals = out.where("doc_id is not null").groupBy("doc_id").agg(F.max("p_junk").alias("junk"), F.max("p_toxic").alias("toxic"))
-    goals = goals.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
+    goals = smallest_by_hash(goals, fit_rows, "doc_id")
     sample = docs.join(F.broadcast(goals), "doc_id").select("text", "junk", "toxic")
     rows = sample.mapInArrow(_feature_rows(stems_of), "features binary, junk double, toxic double")
     fitted = rows.orderBy(F.xxhash64("features"), "junk", "toxic").coalesce(1).mapInArrow(_train, "task int, feature int, weight double").collect()

@@ -6,6 +6,7 @@ import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from vigilar.session import ensure_checkpoint_dir
 
@@ -22,6 +23,18 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def smallest_by_hash(df: DataFrame, limit: int, *key: str) -> DataFrame:
+    """The ``limit`` rows with the smallest hash of ``key``: a bounded sample for fitting.
+
+    Of a large table, rows that cannot be among them are left out before the sort, so that
+    what the last task reads is bounded as well.
+    """
+    h = F.pmod(F.xxhash64(*key), F.lit(1 << 40))
+    n = df.count()
+    few = df.where(h < int((1 << 40) * (4 * limit / n))) if n > 4 * limit else df
+    return few.orderBy(h, *key).limit(limit)
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables of ``saved`` that nothing reads any more."""
     for table in tables:
