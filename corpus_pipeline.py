@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vigilar.llm.contamination import contaminated, find_contamination, hit_words
-from vigilar.llm.mixing import mix_sources
+from vigilar.llm.mixing import mix_sources, whole_copies, words_of
 from vigilar.llm.near_duplicates import near_duplicate_groups
 from vigilar.llm.quality import classify
 from vigilar.llm.shards import assign_shards
@@ -41,11 +41,21 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them (op 9): the words taken over the words there are, rounded."""
-    taken = mix_sources(docs).select(F.col("doc_id").alias("k"), "size", "taken")
-    copies = taken.groupBy("k").agg(F.max(F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(0)).cast("int").alias("copies"))
-    out = docs.join(copies.where("copies > 0").hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("k")))
-    return out.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*COLUMNS)
+    """Whole documents as often as the mix takes their words (op 9); the words of a source stay near its target."""
+    taken = saved(mix_sources(docs).select("doc_id", "source", "size", "taken"), "taken")
+    key = ("doc_id", "source", "size")
+    copies = whole_copies(taken).groupBy(*[F.col(c).alias(f"_{c}") for c in key]).agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows"))
+    copies = saved(copies, "copies")
+    out = docs.withColumn("_size", words_of("text"))
+    same = ("doc_id", "source", "_size")
+    repeated = copies.where("_rows > 1").head(1)
+    # Rows that agree in all of the key share its copies: the first of them take what is left over.
+    rank = F.row_number().over(Window.partitionBy(*same).orderBy(F.xxhash64("text"))) if repeated else F.lit(1)
+    out = out.withColumn("_rank", rank)
+    joined = [F.col(a).eqNullSafe(F.col(b)) for a, b in zip(same, ("_doc_id", "_source", "_size_"), strict=True)]
+    out = out.join(copies.where("_copies > 0").withColumnRenamed("_size", "_size_").hint("shuffle_hash"), joined)
+    times = F.floor(F.col("_copies") / F.col("_rows")) + F.when(F.col("_rank") <= F.col("_copies") % F.col("_rows"), 1).otherwise(0)
+    return out.withColumn("_times", times.cast("int")).where("_times > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*COLUMNS)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

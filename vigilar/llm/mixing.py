@@ -27,6 +27,7 @@ SEED = 9
 ROWS_PER_BUCKET = 4096
 SLOTS_PER_CHUNK = 65_536
 SLOTS_PER_TASK = 1 << 19
+UNIT = 1 << 24
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -102,10 +103,14 @@ def _pieces(laid: DataFrame, block: int) -> DataFrame:
     return spread.withColumn("words", words)
 
 
+def words_of(text: str) -> Column:
+    """Number of words of a text column; 0 for nulls."""
+    return F.coalesce(F.regexp_count(F.col(text).cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
+
+
 def measured(docs: DataFrame) -> DataFrame:
     """doc_id, source and size in words of every row."""
-    size = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), words_of("text").alias("size"))
 
 
 def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = MAX_EPOCHS, block: int = BLOCK) -> DataFrame:
@@ -124,3 +129,29 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int
     taken = _pieces(laid, block).join(uses.hint("merge"), ["s", "block"], "left").groupBy(*key).agg(F.sum(F.col("words") * F.coalesce("uses", F.lit(0))).alias("taken"))
     empty = laid.where("size = 0").withColumn("taken", F.lit(0).cast("long"))
     return taken.unionByName(empty.select(taken.columns)).select("doc_id", "source", "size", "source_size", "target", "taken")
+
+
+def whole_copies(taken: DataFrame) -> DataFrame:
+    """Adds copies to rows of ``mix_sources``: how often a document goes out when only whole ones can.
+
+    floor(taken / size), and one more where the running sum of the remaining shares of the source
+    passes a half. Rows are summed by size inside hash buckets, falling and rising in turn, so
+    that the words of a source are off by at most about half its longest document for every
+    ``ROWS_PER_BUCKET`` rows.
+    """
+    counts = taken.groupBy(F.col("source").alias("source_")).agg(F.count(F.lit(1)).alias("rows"))
+    dealt = taken.join(counts, F.col("source").eqNullSafe(F.col("source_"))).drop("source_")
+    dealt = dealt.withColumn("bucket", F.pmod(_hash("doc_id", "size", F.lit("copies")), F.ceil(F.col("rows") / ROWS_PER_BUCKET)))
+    # Shares are whole numbers of 1 / UNIT: their sums do not depend on the order of the rows.
+    share = F.when(F.col("size") > 0, F.floor((F.col("taken") % F.col("size")) * UNIT / F.col("size"))).otherwise(0).cast("long")
+    dealt = dealt.withColumn("share", share)
+    totals = dealt.groupBy(F.col("source").alias("source_"), F.col("bucket").alias("bucket_")).agg(F.sum("share").alias("all"))
+    totals = totals.withColumn("ahead", F.sum("all").over(Window.partitionBy("source_").orderBy("bucket_")) - F.col("all")).drop("all")
+    turned = F.when(F.col("bucket") % 2 == 0, -F.col("size")).otherwise(F.col("size"))
+    before = Window.partitionBy("source", "bucket").orderBy(turned, "doc_id", "taken").rowsBetween(Window.unboundedPreceding, -1)
+    dealt = dealt.withColumn("own", F.coalesce(F.sum("share").over(before), F.lit(0)))
+    dealt = dealt.join(totals, F.col("source").eqNullSafe(F.col("source_")) & (F.col("bucket") == F.col("bucket_")))
+    at = F.col("own") + F.col("ahead") + UNIT // 2
+    more = F.floor((at + F.col("share")) / UNIT) - F.floor(at / UNIT)
+    full = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size"))).otherwise(0)
+    return dealt.select(*taken.columns, (full + more).cast("int").alias("copies"))
