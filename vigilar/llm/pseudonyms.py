@@ -249,6 +249,25 @@ def _phone(p: Permuter, text: str) -> str | None:
 _MAKE: dict[str, Callable[[Permuter, str], str | None]] = {"email": _email, "iban": _iban, "key": _key, "date": _date, "ssn": _ssn, "ip": _ip, "card": _card, "phone": _phone}
 
 
+def _shorter(kind: str, text: str, start: int, stop: int) -> Iterator[int]:
+    """Ends before ``stop`` at which a value of another valid length may end: patterns are greedy."""
+    if kind == "card":
+        ends = [i + 1 for i in range(start, stop) if text[i].isdigit()]
+        yield from reversed(ends[12:-1])
+    elif kind == "iban":
+        size, seen = IBAN_LENGTHS.get(text[start : start + 2]), 0
+        for i in range(start, stop):
+            seen += text[i] != " "
+            if seen == size and i + 1 < stop:
+                yield i + 1
+                return
+
+
+def _apart(text: str, end: int) -> bool:
+    """Whether a value that ends at ``end`` is not followed by more of the same number or word."""
+    return not (text[end].isalnum() or text[end] in "_-")
+
+
 def pseudonymise(text: str, permuter: Permuter) -> tuple[str, dict[str, int]]:
     """The text with all valid private values replaced, and how many of each kind there were."""
     counts: dict[str, int] = {}
@@ -260,14 +279,20 @@ def pseudonymise(text: str, permuter: Permuter) -> tuple[str, dict[str, int]]:
         if not found:
             break
         kind = found.lastgroup
+        end = found.end()
         fresh = _MAKE[kind](permuter, found[0])
+        if fresh is None:
+            for end in _shorter(kind, text, found.start(), found.end()):
+                fresh = _MAKE[kind](permuter, text[found.start() : end]) if _apart(text, end) else None
+                if fresh is not None:
+                    break
         if fresh is None:  # not valid as this kind: look again one character on
             stop = found.start() + 1
             out.append(text[at:stop])
             at = stop
             continue
         out += [text[at : found.start()], fresh]
-        at = found.end()
+        at = end
         counts[kind] = counts.get(kind, 0) + 1
     out.append(text[at:])
     return "".join(out), counts
