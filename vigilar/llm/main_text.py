@@ -6,7 +6,7 @@ unary potential; its tag gives a potential on the pair of its parent's state and
 messages pass from the leaves to the root and back, which yields the exact marginals of the tree.
 
 The potentials are trained piecewise from labelled pages: the built-in ones below, and a bounded
-sample of the given pages, labelled by their <article> or <main> elements.
+sample of the given pages that have an <article> or <main>, labelled by these elements.
 """
 
 from __future__ import annotations
@@ -40,6 +40,9 @@ CLOSES = {
 }
 CLOSES_P = set("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 SCOPES = {"table", "ul", "ol", "dl", "td", "th", "select", "button", "article", "section", "aside", "div", "nav", "form", "body"}
+# Attribute words of adverts, notices and comments: inside an <article> they tell nothing about the label.
+UNSURE = set("ad ads advert adverts advertisement sponsor sponsored promo promotion banner notice cookie cookies consent gdpr alert popup modal overlay paywall subscribe newsletter signup comment comments discussion responses reply replies disqus thread".split())
+ROOTS = ("article", "main")
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>", re.S)
 _ATTRIBUTE = re.compile(r"([a-zA-Z-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
@@ -289,6 +292,8 @@ _ROOTS = (
     "<article class='post entry story'>{}</article>",
     "<div class='article'>{}</div>",
     "<div class='content'>{}</div>",
+    "<div class='post'>{}</div>",
+    "<div class='post'><div>{}</div></div>",
     "<div id='content' class='post entry body'>{}</div>",
     "<div class='article-body post-content entry-content story-body main-content'>{}</div>",
     "<section class='article content'>{}</section>",
@@ -310,13 +315,16 @@ def labelled_pages() -> list[str]:
     return pages
 
 
-def _labels(page: Page, by_rule: bool) -> list[int]:
-    out = [0] * len(page.parent)
+def _labels(page: Page, by_rule: bool) -> list[int | None]:
+    """States of all elements; by the rule None for those that it cannot tell (see ``UNSURE``) and all below them."""
+    out: list[int | None] = [0] * len(page.parent)
     for i in range(1, len(out)):
         above = out[page.parent[i]]
         if by_rule:
             bad = page.tag[i] in ("nav", "aside", "footer", "header", "form") or page.tag[i] in NEVER
-            out[i] = 0 if bad else int(above or page.tag[i] in ("article", "main"))
+            inside = above or page.tag[i] in ROOTS
+            unsure = above is None or (inside and not UNSURE.isdisjoint(page.tokens[i]))
+            out[i] = 0 if bad and above is not None else None if unsure else int(inside)
         else:
             out[i] = above if page.label[i] is None else page.label[i]
         if page.tag[i] in NEVER:
@@ -327,11 +335,12 @@ def _labels(page: Page, by_rule: bool) -> list[int]:
 def train(given: list[str]) -> Model:
     """Piecewise training: states of child and parent counted by tag, then the unary potentials
     by logistic regression on what these leave open, with the labels of the parents given."""
-    pages = [(page, _labels(page, rule)) for page, rule in [(parse(h), False) for h in labelled_pages()] + [(parse(h), True) for h in given]]
+    parsed = [page for page in map(parse, given) if not set(ROOTS).isdisjoint(page.tag)]  # others have nothing to label by
+    pages = [(page, _labels(page, False)) for page in map(parse, labelled_pages())] + [(page, _labels(page, True)) for page in parsed]
     counts: dict[str, np.ndarray] = {"*": np.array([[4.0, 1.0], [1.0, 4.0]])}
     for page, known in pages:
         for i in range(1, len(known)):
-            if page.tag[i] not in NEVER:
+            if page.tag[i] not in NEVER and known[i] is not None and known[page.parent[i]] is not None:
                 counts.setdefault(page.tag[i], np.array([[0.6, 0.2], [0.2, 0.6]]))[known[page.parent[i]], known[i]] += 1
     pair = {}
     for tag, c in counts.items():
@@ -340,7 +349,7 @@ def train(given: list[str]) -> Model:
     index, starts, labels, offsets = [], [], [], []
     for page, known in pages:
         for i in range(1, len(known)):
-            if page.tag[i] not in NEVER:
+            if page.tag[i] not in NEVER and known[i] is not None and known[page.parent[i]] is not None:
                 on = pair[page.tag[i]][known[page.parent[i]]]
                 starts.append(len(index))
                 index += _features(page, i)
@@ -381,6 +390,7 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
     W.bounded_batches(spark)
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"))
-    sample = smallest_by_hash(rows.where(F.length("html").between(1, 20_000)).withColumn("_h", F.xxhash64("html")), SAMPLE_PAGES, "page_id", "_h")
+    rooted = F.col("html").rlike(rf"(?i)<(?:{'|'.join(ROOTS)})[\s/>]")
+    sample = smallest_by_hash(rows.where(F.length("html").between(1, 20_000) & rooted).withColumn("_h", F.xxhash64("html")), SAMPLE_PAGES, "page_id", "_h")
     model = train([r["html"] for r in sample.select("html").collect()])
     return rows.mapInArrow(_rows(spark.sparkContext.broadcast(model)), "page_id long, url string, text string, n_chars long")
