@@ -1,0 +1,14 @@
+"""How often noisy descriptors still share a band with their original."""
+
+import numpy as np
+
+from vigilar.llm import images as I
+
+
+def test_descriptors_with_an_eighth_of_bits_flipped_share_a_band():
+    rng = np.random.default_rng(5)
+    codes = rng.integers(0, 256, (4000, I.BITS // 8)).astype(np.uint8)
+    flips = np.argsort(rng.random((4000, I.BITS)), axis=1) < 31
+    noisy = codes ^ np.packbits(flips, axis=1)
+    shared = (I.bands(codes) == I.bands(noisy)).any(axis=1).mean()
+    assert shared >= 0.5, shared
