@@ -14,8 +14,10 @@ from vigilar.llm.line_runs import REPORT_SQL, line_report
 from vigilar.llm.main_text import extract_main_text
 from vigilar.llm.mixing import mix_sources
 from vigilar.llm.near_duplicates import near_duplicate_groups
+from vigilar.llm.periodic_runs import run_report
 from vigilar.llm.pseudonyms import pseudonymise_documents
 from vigilar.llm.quality import classify
+from vigilar.llm.quality_rules import rule_report
 from vigilar.llm.shards import assign_shards
 from vigilar.llm.substrings import remove_repeated
 
@@ -66,6 +68,14 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(_table(spark, sf_dir, "documents"))
 
 
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rule_report(_table(spark, sf_dir, "documents"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_report(_table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
@@ -83,6 +93,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_main_text,
         op9_source_mixing,
         op10_sharding,
+        op12_quality_rules,
+        op13_periodic_runs,
         pipeline,
     )
 }

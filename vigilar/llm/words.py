@@ -102,6 +102,21 @@ def window_hash(prefix: np.ndarray, size: int) -> np.ndarray:
     return mix(out)
 
 
+def word_prefix(hashes: np.ndarray) -> np.ndarray:
+    """``prefix_hash`` over words instead of bytes."""
+    out = np.zeros(len(hashes) + 1, dtype=np.uint64)
+    np.cumsum(hashes * powers(len(hashes)), out=out[1:])
+    return out
+
+
+def context_hashes(prefix: np.ndarray, ends: np.ndarray, k: int, text: np.ndarray) -> np.ndarray:
+    """Hashes of the k words that end at each of the words ``ends``, different in different texts.
+
+    ``prefix`` comes from ``word_prefix``, ``text`` numbers the text of every word.
+    """
+    return span_hash(prefix, ends - k + 1, ends + 1) ^ mix(text[ends].astype(np.uint64) + np.uint64(k))
+
+
 @dataclass
 class Slice:
     """Some consecutive texts of a batch. ``bounds`` has one more entry than there are texts."""
