@@ -15,6 +15,8 @@ from vigilar.llm.main_text import extract_main_text
 from vigilar.llm.mixing import mix_sources
 from vigilar.llm.near_duplicates import near_duplicate_groups
 from vigilar.llm.periodic_runs import run_report
+from vigilar.llm.prefix_trie import REPORT_SQL as TRIE_SQL
+from vigilar.llm.prefix_trie import trie_report
 from vigilar.llm.pseudonyms import pseudonymise_documents
 from vigilar.llm.quality import classify
 from vigilar.llm.quality_rules import rule_report
@@ -68,6 +70,10 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(_table(spark, sf_dir, "documents"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie_report(_table(spark, sf_dir, "conversations"))
+
+
 def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rule_report(_table(spark, sf_dir, "documents"))
 
@@ -93,10 +99,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_main_text,
         op9_source_mixing,
         op10_sharding,
+        op11_prefix_trie,
         op12_quality_rules,
         op13_periodic_runs,
         pipeline,
     )
 }
 
-ORACLES: dict[str, str] = {"op7_line_dedup": REPORT_SQL}
+ORACLES: dict[str, str] = {"op7_line_dedup": REPORT_SQL, "op11_prefix_trie": TRIE_SQL}
