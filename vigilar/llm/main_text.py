@@ -1,12 +1,14 @@
 """Main text of web pages by a tree-structured graphical model over the elements of a page.
 
 Every block element (and every inline element with a class, id or role) is a binary variable:
-content or not. Its own features (tag, attribute words, amount of text, share of link text) give a
-unary potential; its tag gives a potential on the pair of its parent's state and its own. Sum-product
-messages pass from the leaves to the root and back, which yields the exact marginals of the tree.
-
-The potentials are trained piecewise from labelled pages: the built-in ones below, and a bounded
-sample of the given pages that have an <article> or <main>, labelled by these elements.
+content or not. Its own features (tag, attribute words, parent, amount of text and share of link text
+of its own and below it) give a unary potential; its tag gives a potential on the pair of its parent's
+state and its own. Sum-product messages pass from the leaves to the root and back, which yields the
+exact marginals of the tree.
+
+All potentials are trained together by the likelihood of labelled pages, with the same messages over
+all pages at once. The operator's model comes from the labelled pages below and from nothing else, so
+a page has the same text in whatever table it stands; callers may train one on pages of their own.
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cache
 from html import unescape
 from zlib import crc32
 
@@ -23,11 +26,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vigilar.llm import words as W
-from vigilar.llm.store import smallest_by_hash
 
 BITS = 12
-SAMPLE_PAGES = 200
-STEPS = 300
+STEPS = 120
 
 # Element names of HTML by their role here.
 INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
@@ -43,11 +44,15 @@ SCOPES = {"table", "ul", "ol", "dl", "td", "th", "select", "button", "article",
 # Attribute words of adverts, notices and comments: inside an <article> they tell nothing about the label.
 UNSURE = set("ad ads advert adverts advertisement sponsor sponsored promo promotion banner notice cookie cookies consent gdpr alert popup modal overlay paywall subscribe newsletter signup comment comments discussion responses reply replies disqus thread".split())
 ROOTS = ("article", "main")
+TEXTY = set("p h1 h2 h3 h4 h5 h6 ul ol dl blockquote pre".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>", re.S)
+# What may follow "<", the end of a tag or the begin of a quoted value, and the end of raw text.
+_OPEN = re.compile(r"<(?:(/?)([a-zA-Z][^\s/>]*)|[!?/])")
+_EDGE = re.compile(r">|=[ \t\n\r\f]*[\"']")
+_RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I) for tag in RAW}
 _ATTRIBUTE = re.compile(r"([a-zA-Z-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _SPLIT = re.compile(r"[^a-z]+")
-_SPACE = re.compile(r"[ \t\n\r\f\v]+")
+_SPACE = re.compile(r"\s+")
 
 
 @dataclass
@@ -63,17 +68,78 @@ class Page:
     blocks: list[list[tuple[str, int]]] = field(default_factory=list)
 
 
+def _tag_end(html: str, at: int, closing: dict[str, bool]) -> int:
+    """Where the tag whose attributes start at ``at`` ends, or -1. Only quotes after "=" hide a ">"."""
+    while True:
+        edge = _EDGE.search(html, at)
+        if edge is None:
+            return -1
+        quote = html[edge.end() - 1]
+        if quote == ">":
+            return edge.end() - 1
+        close = html.find(quote, edge.end()) if closing[quote] else -1
+        if close < 0:
+            closing[quote] = False  # none left: do not look again
+        at = edge.end() if close < 0 else close + 1
+
+
+class _Stack:
+    """Open elements, with the number of each tag that is open, and since the last one that bounds implied ends."""
+
+    def __init__(self) -> None:
+        self.open: list[tuple[str, int]] = [("#page", 0)]
+        self.count: dict[str, int] = {}
+        self.frames: list[dict[str, int]] = [{}]
+
+    def push(self, tag: str, element: int) -> None:
+        self.open.append((tag, element))
+        self.count[tag] = self.count.get(tag, 0) + 1
+        if tag in SCOPES:
+            self.frames.append({})
+        else:
+            self.frames[-1][tag] = self.frames[-1].get(tag, 0) + 1
+
+    def pop(self) -> str:
+        tag, _ = self.open.pop()
+        self.count[tag] -= 1
+        if tag in SCOPES:
+            self.frames.pop()
+        else:
+            self.frames[-1][tag] -= 1
+        return tag
+
+    def end(self, tag: str) -> None:
+        """An end tag: closes the innermost element of the name, if there is one."""
+        if self.count.get(tag):
+            while self.pop() != tag:
+                pass
+
+    def imply(self, tags: set[str]) -> None:
+        """Close open elements of these names up to the innermost bound."""
+        while True:
+            frame = self.frames[-1]
+            if any(frame.get(t) for t in tags):
+                while self.pop() not in tags:
+                    pass
+            elif len(self.frames) > 1 and self.bound() in tags:
+                while self.pop() not in SCOPES:
+                    pass
+            else:
+                return
+
+    def bound(self) -> str:
+        return self.open[len(self.open) - 1 - sum(self.frames[-1].values())][0]
+
+
 def parse(html: str) -> Page:
+    """One pass from left to right; every step takes time in proportion to what it consumes or closes.
+
+    An unfinished tag or comment at the end is dropped, end tags without an open element are ignored.
+    """
     page = Page()
-    stack: list[tuple[str, int]] = [("#page", 0)]  # open elements and their variables
+    stack = _Stack()
     block: list[tuple[str, int]] = []
-    links = 0
-
-    def close(depth: int) -> None:
-        nonlocal links
-        for tag, _ in stack[depth:]:
-            links -= tag == "a"
-        del stack[depth:]
+    closing = {'"': True, "'": True}
 
     def end_block() -> None:
         nonlocal block
@@ -83,73 +149,73 @@ def parse(html: str) -> Page:
 
     def add_text(text: str) -> None:
         if text:
-            at = stack[-1][1]
+            at = stack.open[-1][1]
             if page.tag[at] not in NEVER:
                 text = unescape(text)
                 count = len(text.split())
                 page.words[at] += count
-                page.linked[at] += count if links else 0
+                page.linked[at] += count if stack.count.get("a") else 0
                 block.append((text, at))
 
-    at = 0
+    at = text_from = 0
     while True:
-        found = _TOKEN.search(html, at)
-        if not found:
+        at = html.find("<", at)
+        if at < 0:
             break
-        add_text(html[at : found.start()])
-        at = found.end()
-        tag = (found[2] or "").lower()
-        if not tag:
+        found = _OPEN.match(html, at)
+        if not found:  # a sign in a text
+            at += 1
             continue
+        add_text(html[text_from:at])
+        if found[2] is None:
+            comment = html.startswith("<!--", at)
+            stop = html.find("-->", at + 2) if comment else html.find(">", at + 1)
+            text_from = at = len(html) if stop < 0 else stop + (3 if comment else 1)
+            continue
+        tag = found[2].lower()
+        stop = _tag_end(html, found.end(), closing)
+        if stop < 0:
+            text_from = len(html)
+            break
+        attributes = html[found.end() : stop]
+        text_from = at = stop + 1
+        if tag not in INLINE:
+            end_block()
         if found[1]:
-            depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == tag), 0)
-            if tag not in INLINE:
-                end_block()
-            if depth:
-                close(depth)
+            stack.end(tag)
             continue
         if tag == "br":
-            block.append((" ", stack[-1][1]))
+            block.append((" ", stack.open[-1][1]))
             continue
-        if tag not in INLINE:
-            end_block()
-        shut = CLOSES.get(tag)
-        if shut or tag in CLOSES_P:
-            for i in range(len(stack) - 1, 0, -1):
-                name = stack[i][0]
-                if name in (shut or ()) or (tag in CLOSES_P and name == "p"):
-                    close(i)
-                    break
-                if name in SCOPES:
-                    break
-        attributes = found[3]
+        shut = CLOSES.get(tag, set()) | ({"p"} if tag in CLOSES_P else set())
+        if shut:
+            stack.imply(shut)
         tokens, label, hidden = [], None, False
         if attributes.strip(" /\n\t\r"):
             for name, a, b, c in _ATTRIBUTE.findall(attributes):
                 name, value = name.lower(), a or b or c
                 if name in ("class", "id", "role", "itemprop"):
                     tokens += [x for x in _SPLIT.split(value.lower()) if x]
-                elif name == "data-label":
+                elif name == "data-label" and value in ("0", "1"):
                     label = int(value)
                 elif name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and "display:none" in value.replace(" ", "")):
                     hidden = True
-        at_element = stack[-1][1]
+        element = stack.open[-1][1]
         if tag not in INLINE or tokens or hidden:
-            page.parent.append(at_element)
+            page.parent.append(element)
             page.tag.append("template" if hidden else tag)
             page.tokens.append(tokens)
             page.label.append(label)
             page.words.append(0)
             page.linked.append(0)
-            at_element = len(page.parent) - 1
+            element = len(page.parent) - 1
         if tag in RAW:
-            stop = re.compile(rf"</{tag}[\s/>]", re.I).search(html, at)
-            at = stop.start() if stop else len(html)
-            stack.append((tag, at_element))
+            stack.push(tag, element)
+            end = _RAW_END[tag].search(html, at)
+            at = end.start() if end else len(html)
         elif tag not in VOID:
-            stack.append((tag, at_element))
-            links += tag == "a"
-    add_text(html[at:])
+            stack.push(tag, element)
+    add_text(html[text_from:])
     end_block()
     return page
 
@@ -166,16 +232,32 @@ def _bucket(name: str) -> int:
     return known
 
 
-def _features(page: Page, i: int) -> list[int]:
-    words, linked = page.words[i], page.linked[i]
-    out = ["bias", f"tag:{page.tag[i]}", f"words:{min(words, 63).bit_length()}", f"links:{(4 * linked) // words if words else 0}"]
-    return [_bucket(x) for x in out + [f"is:{t}" for t in page.tokens[i]]]
+def _features(page: Page) -> list[list[int]]:
+    """Hashed features of every element."""
+    n = len(page.parent)
+    words, linked, kids = page.words[:], page.linked[:], [0] * n
+    for i in range(n - 1, 0, -1):
+        p = page.parent[i]
+        words[p] += words[i]
+        linked[p] += linked[i]
+        kids[p] += page.tag[i] in TEXTY
+    rooted = int(not set(ROOTS).isdisjoint(page.tag))
+    out = []
+    for i in range(n):
+        own, tag = page.words[i], page.tag[i]
+        names = [
+            "bias", f"tag:{tag}", f"words:{min(own, 63).bit_length()}", f"links:{(4 * page.linked[i]) // own if own else 0}",
+            f"below:{min(words[i], 255).bit_length()}", f"linked:{(4 * linked[i]) // words[i] if words[i] else 5}",
+            f"kids:{min(kids[i], 7)}", f"kids:{tag}:{min(kids[i], 3)}", f"under:{page.tag[page.parent[i]] if i else ''}", f"rooted:{rooted}:{tag}",
+        ]
+        out.append([_bucket(x) for x in names + [f"is:{t}" for t in page.tokens[i]]])
+    return out
 
 
 @dataclass
 class Model:
     unary: list[float]  # log odds by hashed feature
-    pair: dict[str, tuple[float, float]]  # tag: P(content | parent not, parent content)
+    pair: dict[str, tuple[float, float, float, float]]  # by tag: potentials of (parent, own) in 00, 01, 10, 11
 
 
 def marginals(page: Page, model: Model) -> list[float]:
@@ -183,22 +265,22 @@ def marginals(page: Page, model: Model) -> list[float]:
     n = len(page.parent)
     unary, pair = model.unary, model.pair
     other = pair["*"]
-    own0, own1 = [1.0] * n, [1.0] * n
+    features = _features(page)
+    in0, in1 = [1.0] * n, [1.0] * n  # own potential, then times the messages of all children
     up0, up1 = [1.0] * n, [1.0] * n
     for i in range(n):
         if page.tag[i] in NEVER:
-            own0[i], own1[i] = 1.0, 1e-9
+            in0[i], in1[i] = 1.0, 1e-9
         else:
             z = 0.0
-            for f in _features(page, i):
+            for f in features[i]:
                 z += unary[f]
             z = min(20.0, max(-20.0, z))
-            own1[i] = 1.0 / (1.0 + 2.718281828459045**-z)
-            own0[i] = 1.0 - own1[i] + 1e-12
-    in0, in1 = own0[:], own1[:]  # own potential times the messages of all children
+            in1[i] = 1.0 / (1.0 + 2.718281828459045**-z)
+            in0[i] = 1.0 - in1[i] + 1e-12
     for i in range(n - 1, 0, -1):  # children follow their parents
-        a, b = pair.get(page.tag[i], other)
-        m0, m1 = (1 - a) * in0[i] + a * in1[i], (1 - b) * in0[i] + b * in1[i]
+        t00, t01, t10, t11 = pair.get(page.tag[i], other)
+        m0, m1 = t00 * in0[i] + t01 * in1[i], t10 * in0[i] + t11 * in1[i]
         s = m0 + m1
         up0[i], up1[i] = m0 / s, m1 / s
         p = page.parent[i]
@@ -207,15 +289,14 @@ def marginals(page: Page, model: Model) -> list[float]:
         in0[p], in1[p] = x / s, y / s
     out = [0.0] * n
     down0, down1 = [1.0] * n, [1.0] * n
-    down0[0], down1[0] = 0.99, 0.01
     for i in range(n):
         if i:
             p = page.parent[i]
-            a, b = pair.get(page.tag[i], other)
+            t00, t01, t10, t11 = pair.get(page.tag[i], other)
             r0, r1 = down0[p] * in0[p] / max(up0[i], 1e-12), down1[p] * in1[p] / max(up1[i], 1e-12)
-            s = r0 + r1 or 1.0
-            r0, r1 = r0 / s, r1 / s
-            down0[i], down1[i] = r0 * (1 - a) + r1 * (1 - b), r0 * a + r1 * b
+            x, y = r0 * t00 + r1 * t10, r0 * t01 + r1 * t11
+            s = x + y or 1.0
+            down0[i], down1[i] = x / s, y / s
         x, y = down0[i] * in0[i], down1[i] * in1[i]
         out[i] = y / (x + y or 1.0)
     return out
@@ -233,7 +314,9 @@ def main_text(html: str, model: Model) -> str:
 
 
 # Labelled pages: data-label holds for an element and all below it, until another one says otherwise.
+_SHORT = "<p>One of them.</p>"
 _TEXT = "<p>Some longer words that a reader came for, with a sentence or two. And one more of them.</p>"
+_LONG = "<p>" + "A paragraph goes on for many words, as such paragraphs do, and says what it has to say in full. " * 6 + "</p>"
 _LINKS = "<ul><li><a href='/a'>One</a></li><li><a href='/b'>Two</a></li><li><a href='/c'>Three</a></li></ul>"
 _PARTS_OUT = (
     f"<nav>{_LINKS}</nav>",
@@ -266,7 +349,24 @@ _PARTS_OUT = (
     "<div class='meta byline tags author pagination pager'><a href='/x'>Tag</a></div>",
     "<menu><li>Open</li><li>Close</li></menu>",
     "<dialog><p>Are you sure that you want this?</p></dialog>",
+    f"<div class='comments'>{_LONG}{_TEXT}</div>",
+    f"<div class='ad sponsored'>{_LONG}</div>",
+    f"<footer class='footer'>{_LONG}<ul><li><a href='/i'>Imprint</a></li></ul></footer>",
+    f"<aside class='widget'>{_SHORT}{_SHORT}</aside>",
+    "<nav><a href='/'>Home</a> <a href='/n'>News</a></nav>",
+    "<header><a href='/'>Site</a></header>",
+    "<footer>&copy; site</footer>",
+    f"<form>{_TEXT}<textarea>write</textarea></form>",
 )
+# Names of such parts, each with every kind of filling in turn.
+_NAMES_OUT = (
+    "ad ads advert advertisement sponsor sponsored promo promotion banner notice cookie cookies consent alert popup modal overlay paywall subscribe newsletter "
+    "signup comment comments discussion responses reply thread nav navigation navbar menu header masthead footer copyright imprint sidebar widget related "
+    "recommended breadcrumb breadcrumbs share social login search pagination toolbar"
+).split()
+_FILLING = ("Buy this now, it is cheap.", _TEXT, "imprint", _LINKS, _SHORT + _SHORT, "<p>This site does some things, as many do. See <a href='/m'>more</a>.</p>", _LONG, "<h3>More</h3>" + _TEXT)
+_PARTS_OUT += tuple(f"<div {('class', 'id')[k % 2]}='{name}'>{_FILLING[k % 8]}</div>" for k, name in enumerate(_NAMES_OUT))
+_PARTS_OUT += tuple(f"<section class='{name}'><h2>Title</h2>{_FILLING[(k + 3) % 8]}</section>" for k, name in enumerate(_NAMES_OUT) if k % 2)
 _PARTS_IN = (
     _TEXT,
     "<h1>A title of some words</h1>",
@@ -282,6 +382,10 @@ _PARTS_IN = (
     "<dl><dt>Name</dt><dd>What it means.</dd></dl>",
     "<figure><figcaption>What the picture shows.</figcaption></figure>",
     "<p>One.</p>",
+    _SHORT + _SHORT,
+    _LONG,
+    "Words that stand in no paragraph of their own, as some pages have them.",
+    "<h1>A title</h1>" + _SHORT + _TEXT,
     "<p>See <span class='term'>this term</span> and <em class='x'>that</em>.</p>",
     "<p class='lead intro'>The first words of it.</p>",
     "<div class='text paragraph'>" + _TEXT + "</div>",
@@ -298,26 +402,62 @@ _ROOTS = (
     "<div class='article-body post-content entry-content story-body main-content'>{}</div>",
     "<section class='article content'>{}</section>",
     "<div role='main' itemprop='articleBody'>{}</div>",
+    # Pages that name nothing.
+    "<div>{}</div>",
+    "<div><div>{}</div></div>",
+    "<div class='page'>{}</div>",
+    "<section>{}</section>",
+    "<div class='x y'>{}</div>",
+    "<center>{}</center>",
+    "<table><tr><td>{}</td></tr></table>",
+    "<table class='layout'><tbody><tr><td>{}</td></tr></tbody></table>",
 )
+_BODY = "<html><head><title>t</title></head><body{}>{}</body></html>"
+_PLAIN = ("Just a text, with two sentences. It has no tags at all.", "A few words", "Some <b>bold</b> words and a <a href='/s'>link</a> among others.", _LONG[3:-4], "One")
+
+
+def _marked(part: str, state: int) -> str:
+    """The first element of a part, labelled."""
+    return part.replace(">", f" data-label='{state}'>", 1) if part.startswith("<") else part
 
 
 def labelled_pages() -> list[str]:
-    """Built-in labelled pages: every root with every kind of part, inside and around it."""
+    """Built-in labelled pages: every root with every kind of part, inside and around it or not, and text right in the body or page."""
     pages = []
+    n_in, n_out = len(_PARTS_IN), len(_PARTS_OUT)
     for r, root in enumerate(_ROOTS):
-        for k, out in enumerate(_PARTS_OUT):
-            before, after = _PARTS_OUT[(k + r + 1) % len(_PARTS_OUT)], _PARTS_OUT[(k + 3 * r + 2) % len(_PARTS_OUT)]
-            inner = [_PARTS_IN[(k + r + j * j) % len(_PARTS_IN)] for j in range(5)]
-            inner.insert(1 + k % 4, out.replace(">", " data-label='0'>", 1))
-            body = root.replace(">", " data-label='1'>", 1).format("".join(inner))
-            wrapper = ("{}", "<div class='wrapper container page'>{}</div>", "<div><div id='main' class='row'>{}</div></div>")[(k + r) % 3]
-            pages.append(f"<html><head><title>t</title></head><body>{before}{wrapper.format(body)}{after}</body></html>")
+        for k in range(r % 2, n_out + 12, 2):
+            inner = [_PARTS_IN[(k + r + j * j) % n_in] for j in range(1 + (k + r) % 5)]
+            if k >= n_out:  # nothing around it
+                inner = inner if k % 4 > 1 else ["<h1>A title of some words</h1>", *inner]
+                alone = _marked(root, 1).format("".join(inner))
+                pages.append(_BODY.format("", alone) if k % 6 > 1 else alone)
+                continue
+            before, after = _PARTS_OUT[(k + r + 1) % n_out], _PARTS_OUT[(k + 3 * r + 2) % n_out]
+            if k % 3:
+                inner.insert(k % (len(inner) + 1), _marked(_PARTS_OUT[k], 0))
+            body = _marked(root, 1).format("".join(inner))
+            wrapper = ("{}", "<div class='wrapper container page' data-label='1'>{}</div>", "<div data-label='1'><div id='main' class='row'>{}</div></div>")[(k + r) % 3]
+            pages.append(_BODY.format("", f"{before}{wrapper.format(body)}{after}"))
+        for few in (_SHORT, "<p>Some more words in one paragraph.</p>", "<h1>A title</h1>" + _SHORT, "<h2>Title</h2>" + _TEXT, "Words right in it, a few."):
+            alone = _marked(root, 1).format(few)
+            pages += [_BODY.format("", alone), alone]
+    for k in range(2 * n_out + 12):
+        inner = [_PARTS_IN[(k + j * j) % n_in] for j in range(2 + k % 4)]
+        if k < 2 * n_out:
+            around = [_marked(_PARTS_OUT[(k + 7 * j) % n_out], 0) for j in range(1 + k % 3)]
+            inner = [*around[:1], *inner, *around[1:]]
+        pages.append(_BODY.format(" data-label='1'", "".join(inner)))
+        pages.append("".join(inner))  # no body: the page itself is the root
+    for k, text in enumerate(_PLAIN):
+        pages += [text, _BODY.format(" data-label='1'", text), _BODY.format(" data-label='1'", f"{text}<br>{_PLAIN[k - 1]}"), f"{text}<br>{_PLAIN[k - 2]}"] * 6
     return pages
 
 
 def _labels(page: Page, by_rule: bool) -> list[int | None]:
     """States of all elements; by the rule None for those that it cannot tell (see ``UNSURE``) and all below them."""
-    out: list[int | None] = [0] * len(page.parent)
+    bare = not by_rule and "body" not in page.tag
+    out: list[int | None] = [int(bare)] * len(page.parent)
     for i in range(1, len(out)):
         above = out[page.parent[i]]
         if by_rule:
@@ -332,38 +472,92 @@ def _labels(page: Page, by_rule: bool) -> list[int | None]:
     return out
 
 
-def train(given: list[str]) -> Model:
-    """Piecewise training: states of child and parent counted by tag, then the unary potentials
-    by logistic regression on what these leave open, with the labels of the parents given."""
-    parsed = [page for page in map(parse, given) if not set(ROOTS).isdisjoint(page.tag)]  # others have nothing to label by
+def _both_ways(levels: list[np.ndarray], parent: np.ndarray, own: np.ndarray, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Marginals of all elements [element, state] and of all pairs [element, parent's state, own state], of many trees at once.
+
+    ``levels`` are the elements by depth, ``own`` and ``pair`` logarithms of potentials.
+    """
+    inward, up = own.copy(), np.zeros_like(own)
+    for level in reversed(levels[1:]):
+        up[level] = np.logaddexp.reduce(pair[level] + inward[level][:, None, :], axis=2)
+        for state in (0, 1):
+            inward[:, state] += np.bincount(parent[level], weights=up[level, state], minlength=len(own))
+    down = np.zeros_like(own)
+    joint = np.zeros((len(own), 2, 2))
+    for level in levels[1:]:
+        above = (down + inward)[parent[level]] - up[level]
+        joint[level] = above[:, :, None] + pair[level] + inward[level][:, None, :]
+        down[level] = np.logaddexp.reduce(above[:, :, None] + pair[level], axis=1)
+        down[level] -= down[level].max(axis=1, keepdims=True)
+    single = np.exp((both := down + inward) - np.logaddexp.reduce(both, axis=1, keepdims=True))
+    joint = np.exp(joint - np.logaddexp.reduce(joint.reshape(-1, 4), axis=1)[:, None, None])
+    return single, joint
+
+
+def train(given: list[str] = ()) -> Model:
+    """Potentials of the highest likelihood of the labelled pages, by gradient steps.
+
+    ``given`` are further pages with an <article> or <main>, labelled by these; others among them
+    are left out. States that the rule cannot tell are summed over. The gradient of each
+    potential is its expectation by the model, less that with the known states held.
+    """
+    parsed = [page for page in map(parse, given) if not set(ROOTS).isdisjoint(page.tag)]
     pages = [(page, _labels(page, False)) for page in map(parse, labelled_pages())] + [(page, _labels(page, True)) for page in parsed]
-    counts: dict[str, np.ndarray] = {"*": np.array([[4.0, 1.0], [1.0, 4.0]])}
-    for page, known in pages:
-        for i in range(1, len(known)):
-            if page.tag[i] not in NEVER and known[i] is not None and known[page.parent[i]] is not None:
-                counts.setdefault(page.tag[i], np.array([[0.6, 0.2], [0.2, 0.6]]))[known[page.parent[i]], known[i]] += 1
-    pair = {}
-    for tag, c in counts.items():
-        share = np.clip(c[:, 1] / c.sum(axis=1), 0.02, 0.98)
-        pair[tag] = (float(share[0]), float(share[1]))
-    index, starts, labels, offsets = [], [], [], []
-    for page, known in pages:
-        for i in range(1, len(known)):
-            if page.tag[i] not in NEVER and known[i] is not None and known[page.parent[i]] is not None:
-                on = pair[page.tag[i]][known[page.parent[i]]]
-                starts.append(len(index))
-                index += _features(page, i)
-                labels.append(known[i])
-                offsets.append(np.log(on / (1 - on)))
-    features, first, y, offset = np.array(index), np.array(starts), np.array(labels, dtype=float), np.array(offsets)
-    row = np.repeat(np.arange(len(first)), np.diff([*starts, len(index)]))
+    tags = {t: k for k, t in enumerate(sorted({t for page, _ in pages for t in page.tag}))}
+    parent, depth, tag, known, index, starts = [], [], [], [], [], []
+    for page, states in pages:
+        first = len(parent)
+        for i, features in enumerate(_features(page)):
+            p = page.parent[i]
+            parent.append(first + max(p, 0))
+            depth.append(depth[first + p] + 1 if i else 0)
+            tag.append(tags[page.tag[i]])
+            known.append(-1 if states[i] is None else states[i])
+            starts.append(len(index))
+            index += features
+    parent, depth, tag, known = (np.array(x) for x in (parent, depth, tag, known))
+    index, starts = np.array(index), np.array(starts)
+    row = np.repeat(np.arange(len(starts)), np.diff([*starts, len(index)]))
+    never = np.isin(tag, [k for t, k in tags.items() if t in NEVER])
+    levels = [np.flatnonzero(depth == d) for d in range(depth.max() + 1)]
+    held = np.zeros((len(known), 2))
+    held[known == 0, 1] = held[known == 1, 0] = -40.0
+    told = None
+    if (known >= 0).all():  # all states known: these are the expectations
+        states = np.eye(2)[known]
+        told = states, states[parent][:, :, None] * states[:, None, :]
     w, seen = np.zeros(1 << BITS), np.full(1 << BITS, 1e-6)
+    shared, own_pair = np.array([[1.0, -1.0], [-1.0, 1.0]]), np.zeros((len(tags), 2, 2))
+    seen_shared, seen_pair = np.full((2, 2), 1e-6), np.full((len(tags), 2, 2), 1e-6)
     for _ in range(STEPS):
-        gap = 1 / (1 + np.exp(-np.add.reduceat(w[features], first) - offset)) - y
-        step = np.bincount(features, weights=gap[row], minlength=1 << BITS) + 0.02 * w
+        own = np.zeros((len(known), 2))
+        own[:, 1] = np.add.reduceat(w[index], starts)
+        own[never] = (0.0, -40.0)
+        pair = (shared + own_pair)[tag]
+        single, joint = _both_ways(levels, parent, own, pair)
+        fixed, fixed_joint = told or _both_ways(levels, parent, own + held, pair)
+        gap = np.where(never, 0.0, single[:, 1] - fixed[:, 1])
+        step = np.bincount(index, weights=gap[row], minlength=1 << BITS) + 0.003 * w
         seen += step * step
-        w -= 0.5 * step / np.sqrt(seen)
-    return Model(w.tolist(), pair)
+        w -= 0.8 * step / np.sqrt(seen)
+        gaps = joint - fixed_joint
+        gaps[depth == 0] = 0.0
+        by_tag = np.zeros_like(own_pair)
+        np.add.at(by_tag, tag, gaps)
+        total = by_tag.sum(axis=0) + 0.05 * shared
+        by_tag += 0.05 * own_pair
+        seen_shared += total * total
+        seen_pair += by_tag * by_tag
+        shared = shared - 0.1 * total / np.sqrt(seen_shared)
+        own_pair = own_pair - 0.1 * by_tag / np.sqrt(seen_pair)
+    as_pair = lambda x: tuple(np.exp(x - x.max()).ravel().tolist())
+    return Model(w.tolist(), {"*": as_pair(shared), **{t: as_pair(shared + own_pair[k]) for t, k in tags.items()}})
+
+
+@cache
+def fixed_model() -> Model:
+    """The model of the built-in pages."""
+    return train()
 
 
 def _rows(model_of) -> object:
@@ -379,18 +573,17 @@ def _rows(model_of) -> object:
     return run
 
 
-def extract_main_text(pages: DataFrame) -> DataFrame:
+def extract_main_text(pages: DataFrame, model: Model | None = None) -> DataFrame:
     """page_id, url, text and n_chars (code points) for every row of ``pages`` (page_id, url, html).
 
-    A null or empty html has an empty text, as has a page without content. Repeated rows each
-    give a row, null ids and urls stay null, other columns are ignored. With an empty table the
-    model comes from the built-in pages alone and the result is empty.
+    The text of a page depends on its html and the model (``fixed_model``, unless one is given) alone.
+    White space is what Unicode takes for it, no-break spaces included. A null or empty html has
+    an empty text, as has a page without content. Repeated rows each give a row, null ids and urls
+    stay null, other columns are ignored, an empty table gives an empty result.
     """
     spark = pages.sparkSession
     W.bounded_batches(spark)
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"))
-    rooted = F.col("html").rlike(rf"(?i)<(?:{'|'.join(ROOTS)})[\s/>]")
-    sample = smallest_by_hash(rows.where(F.length("html").between(1, 20_000) & rooted).withColumn("_h", F.xxhash64("html")), SAMPLE_PAGES, "page_id", "_h")
-    model = train([r["html"] for r in sample.select("html").collect()])
-    return rows.mapInArrow(_rows(spark.sparkContext.broadcast(model)), "page_id long, url string, text string, n_chars long")
+    known = spark.sparkContext.broadcast(fixed_model() if model is None else model)  # 2 ** BITS weights and four numbers a tag
+    return rows.mapInArrow(_rows(known), "page_id long, url string, text string, n_chars long")
