@@ -49,9 +49,9 @@ def test_rows_only_queries(spark, sf, name):
     out = QUERIES[name](spark, sf).toPandas()
     assert len(out) > 0
     if name == "suite_results":
-        assert len(out) == 10 and out["auroc"].dropna().between(0, 1).all()
+        assert len(out) == 24 and out["roc_auc"].dropna().between(0, 1).all()
     if name == "fsl_results":
-        assert len(out) == 3 * 2 + 1
+        assert len(out) == 4 * (7 * 5 + 1)
 
 
 def test_optional_queries_are_registered_beside_these():

@@ -195,3 +195,21 @@ def test_file_to_detector(spark, tmp_path):
     assert table.count() == 140 and table.select("row_id").distinct().count() == 140
     again = SC.read_labelled(spark, str(tmp_path / "table"))
     assert {r.row_id for r in again.collect()} == {r.row_id for r in table.collect()}
+
+
+def test_draws_for_different_purposes_are_independent(spark):
+    """A cap, a fraction and the calibration split of the same rows with the same seed: shares within three standard errors."""
+    rows = spark.range(20_000).select(F.col("id").alias("row_id"), (F.col("id") % 50 == 0).cast("int").alias("label"))
+    chains = {
+        "cap": S.stratified_cap(rows, 4000, 7),
+        "sample": S.sample_n(rows, 4000, 7),
+        "fraction": S.sample_fraction(rows, 0.2, 7),
+        "cap of fraction": S.stratified_cap(S.sample_fraction(rows, 0.5, 7), 4000, 7),
+        "budget": S.prefix_samples(rows, [4000], [7]).select("row_id", "label"),
+    }
+    for name, drawn in chains.items():
+        n = drawn.count()
+        val = S.fit_val_roles(drawn, 0.1, 7).where("role = 'val'").count()
+        assert abs(val - 0.1 * n) <= 3 * (n * 0.09) ** 0.5, (name, n, val)
+        fifth = 0 if name == "fraction" else S.sample_fraction(drawn, 0.2, 7).count()
+        assert "fraction" in name or abs(fifth - 0.2 * n) <= 3 * (n * 0.16) ** 0.5, (name, n, fifth)

@@ -1,7 +1,8 @@
 """Deterministic sampling and splitting by hashed row ids.
 
-A row's place in a sample is the order of ``md5(seed:row_id)``. Exact sample sizes come
-from a histogram of the hash prefixes: whole prefixes below the cut-off are kept by a
+A row's place in a draw is the order of ``md5(purpose:seed:row_id)``. Every kind of draw has a
+purpose of its own: a cap, a fraction, the calibration split and the adaptation budgets are then
+independent of each other, also with one seed. Exact sample sizes come from a histogram of the hash prefixes: whole prefixes below the cut-off are kept by a
 plain filter, and only rows sharing the one cut-off prefix are ranked. Nothing is
 sorted globally.
 """
@@ -18,10 +19,14 @@ from vigilar.session import small_side
 _PREFIX = 5  # hex digits of the hash in the histogram: about a million buckets
 
 
-def order_hash(seed, row_id: str = "row_id") -> Column:
-    """The hash that orders rows for ``seed`` (a literal or a column)."""
+# What a draw is for; the first part of what is hashed.
+CAP, SAMPLE, FRACTION, SPLIT, BUDGET, TEMPLATE, LANDMARK, BLOCK = "cap", "sample", "fraction", "split", "budget", "template", "landmark", "block"
+
+
+def order_hash(purpose: str, seed, row_id: str = "row_id") -> Column:
+    """The hash that orders rows for a purpose and a seed (a literal or a column)."""
     seed_col = seed if isinstance(seed, Column) else F.lit(str(seed))
-    return F.md5(F.concat(seed_col.cast("string"), F.lit(":"), F.col(row_id).cast("string")))
+    return F.md5(F.concat(F.lit(f"{purpose}:"), seed_col.cast("string"), F.lit(":"), F.col(row_id).cast("string")))
 
 
 def fraction_bound(fraction: float) -> str:
@@ -29,19 +34,19 @@ def fraction_bound(fraction: float) -> str:
     return "g" if fraction >= 1 else format(int(fraction * 2**32), "08x")
 
 
-def in_fraction(fraction: float, seed, row_id: str = "row_id") -> Column:
+def in_fraction(purpose: str, fraction: float, seed, row_id: str = "row_id") -> Column:
     """True for the share ``fraction`` of rows whose hash comes first."""
-    return order_hash(seed, row_id) < F.lit(fraction_bound(fraction))
+    return order_hash(purpose, seed, row_id) < F.lit(fraction_bound(fraction))
 
 
 def sample_fraction(df: DataFrame, fraction: float, seed=7, row_id: str = "row_id") -> DataFrame:
     """Keep about a share ``fraction`` of the rows."""
-    return df.where(in_fraction(fraction, seed, row_id))
+    return df.where(in_fraction(FRACTION, fraction, seed, row_id))
 
 
 def fit_val_roles(df: DataFrame, val_fraction: float = 0.1, seed=7, row_id: str = "row_id") -> DataFrame:
     """Add ``role``: ``val`` for the calibration share, ``fit`` for the rest."""
-    return df.withColumn("role", F.when(in_fraction(val_fraction, seed, row_id), "val").otherwise("fit"))
+    return df.withColumn("role", F.when(in_fraction(SPLIT, val_fraction, seed, row_id), "val").otherwise("fit"))
 
 
 def _first_rows(edge: DataFrame, groups: list[str], hash_col: str, row_id: str) -> DataFrame:
@@ -87,7 +92,7 @@ def sample_n(df: DataFrame, n: int | None, seed=7, row_id: str = "row_id") -> Da
     """A sample of exactly ``min(n, rows)`` rows, without strata."""
     if n is None:
         return df
-    hashed = df.withColumn("_h", order_hash(seed, row_id)).withColumn("_prefix", F.substring("_h", 1, _PREFIX))
+    hashed = df.withColumn("_h", order_hash(SAMPLE, seed, row_id)).withColumn("_prefix", F.substring("_h", 1, _PREFIX))
     hist = hashed.groupBy("_prefix").agg(F.count(F.lit(1)).alias("_n"))
     run = Window.partitionBy(F.lit(0)).orderBy("_prefix").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     before = hist.withColumn("_before", F.sum("_n").over(run) - F.col("_n")).where(F.col("_before") < n)
@@ -128,7 +133,7 @@ def stratified_cap(
         label,
         F.when(F.col("n") <= F.col("_limit"), F.col("_c")).otherwise(share.cast("long")).alias("_target"),
     )
-    hashed = df.withColumn("_h", order_hash(seed, row_id))
+    hashed = df.withColumn("_h", order_hash(CAP, seed, row_id))
     return take_first(hashed, [*groups, label], targets, "_h", row_id).drop("_h")
 
 
@@ -144,7 +149,7 @@ def prefix_samples(
     if not ks:
         return df.limit(0).select(F.lit(0).alias("k"), F.lit(0).alias("seed"), F.lit(0).alias("place"), "*")
     drawn = df.withColumn("seed", F.explode(F.array(*[F.lit(s) for s in seeds])))
-    drawn = drawn.withColumn("_h", order_hash(F.col("seed"), row_id))
+    drawn = drawn.withColumn("_h", order_hash(BUDGET, F.col("seed"), row_id))
     targets = drawn.sparkSession.createDataFrame([(s, ks[-1]) for s in seeds], "seed int, _target long")
     largest = take_first(drawn, ["seed"], targets, "_h", row_id)
     place = F.row_number().over(Window.partitionBy("seed").orderBy("_h", row_id))  # at most max(k) rows per seed
@@ -160,7 +165,7 @@ def template_halves(
 
     The first half (by hash order, the larger one if odd) is ``origin``, the rest ``shifted``.
     """
-    w = Window.partitionBy(by).orderBy(order_hash(seed, template), template)
+    w = Window.partitionBy(by).orderBy(order_hash(TEMPLATE, seed, template), template)
     halves = df.select(by, template).distinct().withColumn("_half", F.ntile(2).over(w))
     halves = halves.withColumn("drift_set", F.when(F.col("_half") == 1, "origin").otherwise("shifted")).drop("_half")
     return df.drop("drift_set").join(small_side(halves), [by, template])

@@ -17,7 +17,7 @@ from vigilar.operators.sampling import fit_val_roles
 from vigilar.plans import protocols as P
 from vigilar.plans.detector import Detector, DetectorEstimator
 from vigilar.session import scratch_dir, stable
-from vigilar.sources.scenarios import build_scenarios, drift_partitions, fewshot_sets
+from vigilar.sources.scenarios import build_scenarios, drift_partitions, fewshot_sets, lodo
 from vigilar.sources.tables import corpus, traces, vectors
 from vigilar.streaming.scorer import score_stream, start_scoring
 from vigilar.workload.common import CORPUS, query, r6, rounded
@@ -57,7 +57,7 @@ def _li_cte() -> str:
 
 _Z = f"""{CORPUS}, {_li_cte()},
   base AS (SELECT c.row_id AS id, c.label, c.split, c.domain, c.attack_technique, li.f,
-    CASE WHEN c.label = 0 AND c.split = 'train' THEN CASE WHEN {md5_of(7, "c.row_id")} < '19999999' THEN 'val' ELSE 'fit' END
+    CASE WHEN c.label = 0 AND c.split = 'train' THEN CASE WHEN {md5_of("split", 7, "c.row_id")} < '19999999' THEN 'val' ELSE 'fit' END
       ELSE 'test' END AS role FROM corpus c JOIN li ON c.row_id = li.row_id),
   st AS (SELECT i, avg(f[i]) AS m, stddev_pop(f[i]) AS sd FROM base, range(1, 33) t(i) WHERE role = 'fit' GROUP BY i),
   stl AS (SELECT list(m ORDER BY i) AS m, list(CASE WHEN sd = 0 THEN 1.0 ELSE sd END ORDER BY i) AS sd FROM st),
@@ -169,15 +169,15 @@ def suite_results(spark, sf):
     """All in-domain and held-out scenarios with every head, at the protocol's rates and full training."""
     scen = stable(build_scenarios(P.add_features(corpus(spark, sf), ["li"])).drop("full_query"))
     names = ["a-a", "b-b", "c-c", "d-d", "bcd-a", "acd-b", "abd-c", "abc-d"]
-    test, val = P.suite_scores(scen, P.grid(["ocsvm", "lof", "ae"], ["li"], names))
-    return P.suite_results(test, val)
+    return P.suite_results(*P.suite_scores(scen, P.grid(["ocsvm", "lof", "ae"], ["li"], names)), dataset="multi")
 
 
 @query("drift_results")
 def drift_results(spark, sf):
     """Origin and shifted test rows of every domain."""
     parts = drift_partitions(corpus(spark, sf))
-    return P.drift_results(parts, [("lof", "li"), ("ocsvm", "tfidf")], ["a", "b", "c", "d"])
+    scored = P.drift_scores(parts, [("lof", "li"), ("ocsvm", "tfidf")], ["a", "b", "c", "d"])
+    return P.drift_results(*scored, dataset="drift")
 
 
 @query("fsl_results")
@@ -188,7 +188,7 @@ def fsl_results(spark, sf):
     for target in "abcd":
         base = P.train_detector(rows.where((F.col("domain") != target) & (F.col("split") == "train")), "ae", "li")
         train, test = fewshot_sets(rows, target)
-        one = P.fewshot_results(base, train, test).withColumn("target", F.lit(target))
+        one = P.fewshot_results(base, train, test, target=target, source=lodo(target), dataset="fewshot")
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -242,7 +242,7 @@ def _stream(spark, sf):
 def stream_scores(spark, sf):
     """Stateless scoring stream with a calibrated threshold, drained into a table."""
     rows = corpus(spark, sf).where((F.col("label") == 0) & (F.col("split") == "train"))
-    det, val, _ = P.fit_and_score(rows, rows, "ae", "li", ("row_id",))
+    det, val, _ = P.fit_and_score(rows, rows, "ae", "li", ("row_id",))[:3]
     threshold = M.percentile_threshold(val, 0.1).first()["threshold"]
     out = scratch_dir(spark, "stream")
     scored = score_stream(_stream(spark, sf), det, threshold)

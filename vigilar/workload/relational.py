@@ -16,8 +16,8 @@ from vigilar.workload.common import CORPUS, RUNS, query
 from vigilar.workload.features import TRACES
 
 
-def md5_of(seed, row_id="row_id") -> str:
-    return f"md5(concat('{seed}', ':', {row_id}::VARCHAR))"
+def md5_of(purpose, seed, row_id="row_id") -> str:
+    return f"md5(concat('{purpose}:{seed}:', {row_id}::VARCHAR))"
 
 
 @query("scan_split", f"WITH {CORPUS} SELECT row_id, full_query, label, split FROM corpus WHERE split = 'train'")
@@ -46,7 +46,7 @@ _CAPPED = """counted AS (SELECT *, count(*) OVER (PARTITION BY {strata}, label)
 @query(
     "scan_fsl",
     f"""WITH {CORPUS}, tests AS (SELECT * FROM corpus WHERE domain = 'a' AND split = 'test'),
-    {_CAPPED.format(strata="domain", h=md5_of(7), src="tests")}
+    {_CAPPED.format(strata="domain", h=md5_of("cap", 7), src="tests")}
     SELECT row_id, label, 'test' AS part FROM counted
       WHERE n <= 100 OR rn <= round_even(c * (100.0::DOUBLE / n), 0)
     UNION ALL SELECT row_id, label, 'train' FROM corpus WHERE domain = 'a' AND split = 'train'""",
@@ -162,27 +162,27 @@ def split_normals(spark, sf):
 
 @query(
     "stratified_cap",
-    f"""WITH {CORPUS}, {_CAPPED.format(strata="1", h=md5_of(3), src="corpus")}
+    f"""WITH {CORPUS}, {_CAPPED.format(strata="1", h=md5_of("cap", 3), src="corpus")}
     SELECT row_id, label FROM counted WHERE n <= 300 OR rn <= round_even(c * (300.0::DOUBLE / n), 0)""",
 )
 def stratified_cap(spark, sf):
     return S.stratified_cap(corpus(spark, sf), 300, 3).select("row_id", "label")
 
 
-@query("sample_n", f"SELECT doc_id AS row_id FROM documents ORDER BY {md5_of(7, 'doc_id')}, doc_id LIMIT 250")
+@query("sample_n", f"SELECT doc_id AS row_id FROM documents ORDER BY {md5_of('sample', 7, 'doc_id')}, doc_id LIMIT 250")
 def sample_n(spark, sf):
     docs = table(spark, sf, "documents").select(F.col("doc_id").alias("row_id"))
     return S.sample_n(docs, 250, 7)
 
 
-@query("sample_fraction", f"SELECT event_id AS row_id FROM events WHERE {md5_of(7, 'event_id')} < '{S.fraction_bound(0.2)}'")
+@query("sample_fraction", f"SELECT event_id AS row_id FROM events WHERE {md5_of('fraction', 7, 'event_id')} < '{S.fraction_bound(0.2)}'")
 def sample_fraction(spark, sf):
     return S.sample_fraction(table(spark, sf, "events").select(F.col("event_id").alias("row_id")), 0.2, 7)
 
 
 @query(
     "fit_val_split",
-    f"""WITH {CORPUS} SELECT row_id, CASE WHEN {md5_of(7)} < '{S.fraction_bound(0.1)}' THEN 'val' ELSE 'fit' END AS role
+    f"""WITH {CORPUS} SELECT row_id, CASE WHEN {md5_of('split', 7)} < '{S.fraction_bound(0.1)}' THEN 'val' ELSE 'fit' END AS role
     FROM corpus WHERE label = 0 AND split = 'train'""",
 )
 def fit_val_split(spark, sf):
@@ -194,7 +194,7 @@ def fit_val_split(spark, sf):
     "fewshot_prefix_samples",
     f"""WITH {CORPUS}, seeds AS (SELECT unnest([0, 1, 2, 3, 4]) AS seed), ks AS (SELECT unnest([5, 10, 50]) AS k),
     placed AS (SELECT seed, row_id, row_number() OVER (PARTITION BY seed
-        ORDER BY md5(concat(seed::VARCHAR, ':', row_id::VARCHAR)), row_id) AS place
+        ORDER BY md5(concat('budget:', seed::VARCHAR, ':', row_id::VARCHAR)), row_id) AS place
       FROM corpus, seeds WHERE label = 0 AND split = 'train')
     SELECT k, seed, place::INTEGER AS place, row_id FROM placed JOIN ks ON place <= k""",
 )
@@ -207,7 +207,7 @@ def fewshot_prefix_samples(spark, sf):
     "drift_template_split",
     f"""WITH {CORPUS}, t AS (SELECT DISTINCT statement_type, query_template_id FROM corpus),
     h AS (SELECT *, ntile(2) OVER (PARTITION BY statement_type
-      ORDER BY {md5_of(7, 'query_template_id')}, query_template_id) AS half FROM t)
+      ORDER BY {md5_of('template', 7, 'query_template_id')}, query_template_id) AS half FROM t)
     SELECT row_id, CASE WHEN half = 1 THEN 'origin' ELSE 'shifted' END AS drift_set
     FROM corpus JOIN h USING (statement_type, query_template_id)""",
 )
@@ -232,7 +232,7 @@ _ROLES = ", ".join(
     rws AS (SELECT * FROM corpus JOIN roles USING (domain, split)),
     counted AS (SELECT *, count(*) OVER (PARTITION BY scenario, split, label) AS c,
       count(*) OVER (PARTITION BY scenario, split) AS n,
-      row_number() OVER (PARTITION BY scenario, split, label ORDER BY {md5_of(7)}, row_id) AS rn FROM rws),
+      row_number() OVER (PARTITION BY scenario, split, label ORDER BY {md5_of('cap', 7)}, row_id) AS rn FROM rws),
     sized AS (SELECT *, min(n) OVER (PARTITION BY split) AS cap FROM counted)
     SELECT scenario, kind, split, row_id, label FROM sized
     WHERE n <= cap OR rn <= round_even(c * (cap::DOUBLE / n), 0)""",
@@ -241,6 +241,30 @@ def lodo_scenarios(spark, sf):
     return SC.build_scenarios(corpus(spark, sf)).select("scenario", "kind", "split", "row_id", "label")
 
 
+@query(
+    "capped_then_split",
+    f"""WITH {CORPUS}, roles(scenario, kind, domain, split) AS (VALUES {_ROLES}),
+    rws AS (SELECT * FROM corpus JOIN roles USING (domain, split)),
+    counted AS (SELECT *, count(*) OVER (PARTITION BY scenario, split, label) AS c,
+      count(*) OVER (PARTITION BY scenario, split) AS n,
+      row_number() OVER (PARTITION BY scenario, split, label ORDER BY {md5_of('cap', 7)}, row_id) AS rn FROM rws),
+    sized AS (SELECT *, min(n) OVER (PARTITION BY split) AS cap FROM counted),
+    kept AS (SELECT * FROM sized WHERE n <= cap OR rn <= round_even(c * (cap::DOUBLE / n), 0))
+    SELECT scenario, count(*) AS n, count(*) FILTER ({md5_of('split', 7)} < '{S.fraction_bound(0.1)}') AS n_val,
+      count(*) FILTER ({md5_of('fraction', 7)} < '{S.fraction_bound(0.2)}') AS n_fifth,
+      count(*) FILTER ({md5_of('split', 7)} < '{S.fraction_bound(0.1)}' AND {md5_of('fraction', 7)} < '{S.fraction_bound(0.2)}') AS n_val_of_fifth
+    FROM kept WHERE label = 0 AND split = 'train' GROUP BY scenario""",
+)
+def capped_then_split(spark, sf):
+    """Calibration rows and the fraction of slow extractors, of scenarios that were capped before."""
+    rows = SC.build_scenarios(corpus(spark, sf)).where((F.col("label") == 0) & (F.col("split") == "train"))
+    rows = S.fit_val_roles(rows, 0.1, 7).withColumn("fifth", S.in_fraction(S.FRACTION, 0.2, 7))
+    val = F.col("role") == "val"
+    return rows.groupBy("scenario").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(val).alias("n_val"), F.count_if("fifth").alias("n_fifth"), F.count_if(val & F.col("fifth")).alias("n_val_of_fifth")
+    )
+
+
 @query(
     "scenario_sizes",
     f"""WITH {CORPUS}, roles(scenario, kind, domain, split) AS (VALUES {_ROLES})
