@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.cases import empty_documents, special_documents, table
-from vigilar.llm.mixing import BLOCK, draw_slots, mix_sources, permuted, target_table
+from vigilar.llm.mixing import BLOCK, draw_counts, draw_slots, mix_sources, packed_mix, permuted, target_table
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -68,17 +68,43 @@ def test_permutation(spark, n):
     assert n < 50 or len(set(columns)) == 3
 
 
-def test_shards_draw_sources_in_proportion(spark):
+def test_counts_of_shards_are_multinomial(spark):
+    """Chi-square of the source counts of every shard, and of each source over its shards."""
     rows = spark.createDataFrame([(i, f"s{i % 4}", 1000) for i in range(400)], "doc_id long, source string, size long")
     targets = target_table(rows)
-    slots = draw_slots(targets, block=10, shard_slots=2000)
-    share = {(r["shard"], r["s"]): r["count"] for r in slots.groupBy("shard", "s").count().collect()}
-    totals = Counter()
-    for (_, s), n in share.items():
-        totals[s] += n
-    shards = {k for k, _ in share}
-    n_shards = -(-sum(totals.values()) // 2000)
-    assert shards == set(range(n_shards))
-    assert all(abs(n - totals[s] / n_shards) < 6 * (totals[s] / n_shards) ** 0.5 + 5 for (_, s), n in share.items())
-    uses = slots.groupBy("s", "block").count().agg(F.max("count")).first()[0]
-    assert uses <= 3
+    counts = draw_counts(targets, block=10, shard_slots=500).collect()
+    totals, of_shard = Counter(), defaultdict(Counter)
+    for r in counts:
+        totals[r["s"]] += r["slots"]
+        of_shard[r["shard"]][r["s"]] = r["slots"]
+    shards, total = -(-sum(totals.values()) // 500), sum(totals.values())
+    assert set(of_shard) == set(range(shards)) and shards > 50
+    for s, n in totals.items():
+        chi = sum((of_shard[k][s] - n / shards) ** 2 / (n / shards) for k in range(shards))
+        assert abs(chi - (shards - 1)) < 4 * (2 * (shards - 1)) ** 0.5, (s, chi)
+    for k in range(shards):
+        size = sum(of_shard[k].values())
+        chi = sum((of_shard[k][s] - size * n / total) ** 2 / (size * n / total) for s, n in totals.items())
+        assert chi < 25, (k, chi)  # three degrees of freedom: once in 60,000
+    # Slots follow from the counts: each once, in the stretch of its shard, none of the blocks more than three times.
+    slots = draw_slots(targets, block=10, shard_slots=500).collect()
+    assert Counter((r["shard"], r["s"]) for r in slots) == Counter({(r["shard"], r["s"]): r["slots"] for r in counts})
+    assert len({(r["s"], r["slot"]) for r in slots}) == total
+    assert max(Counter((r["s"], r["block"]) for r in slots).values()) <= 3
+
+
+def test_the_plan_of_the_query_holds_the_draw(spark, sf):
+    """The shards of the result come from the drawn counts, and the packed mix adds up to what is taken."""
+    docs = table(spark, sf, "documents")
+    taken = mix_sources(docs, shard_slots=64)
+    plan = taken._jdf.queryExecution().optimizedPlan().toString()
+    assert "min(shard" in plan and "max(shard" in plan
+    rows = {r["doc_id"]: r for r in taken.collect()}
+    words, shards = Counter(), defaultdict(set)
+    for r in packed_mix(docs, shard_slots=64).collect():
+        assert 0 <= r["first_word"] < rows[r["doc_id"]]["size"] and r["words"] <= BLOCK
+        words[r["doc_id"]] += r["words"]
+        shards[r["doc_id"]].add(r["shard"])
+    for i, r in rows.items():
+        assert words[i] == r["taken"] and (r["first_shard"], r["last_shard"]) == ((min(shards[i]), max(shards[i])) if i in shards else (None, None))
+    assert len({s for x in shards.values() for s in x}) > 20

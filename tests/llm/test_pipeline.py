@@ -57,5 +57,5 @@ def test_run(spark, sf):
 
 
 def test_registered():
-    assert {int(n[2:].split("_")[0]) for n in QUERIES if n.startswith("op")} == set(range(1, 11)) and "pipeline" in QUERIES
+    assert {int(n[2:].split("_")[0]) for n in QUERIES if n.startswith("op")} == set(range(1, 14)) and "pipeline" in QUERIES
     assert set(ORACLES) <= set(QUERIES)

@@ -4,11 +4,15 @@
    own words; what is above is shared again by weight. The water level of this is found by
    running sums over the sources in the order of words per weight.
 2. The words of a source, in the order of hashed documents, are packed into blocks of ``BLOCK``.
-3. A source's target gives its number of slots. Every slot draws an output shard, so that the
-   source counts of a shard are a multinomial draw, given the totals.
+3. A source's target gives its number of slots. How many of them each output shard gets is a
+   multinomial draw: as many draws of a shard as the source has slots, counted. Running sums of
+   the counts give every shard its own stretch of the slots of each source.
 4. Slot j of a source with n blocks is entry j mod n of its (j div n)-th epoch; a pseudorandom
    permutation of 0..n-1 for each source and epoch (swap-or-not rounds) names the block.
 5. Blocks and slots are joined by index. No block is used more than ``MAX_EPOCHS`` times.
+
+Sources are a dimension: windows over all of them run in one task, which holds a row of a few numbers
+per source, so some millions of sources are the bound. Nothing else depends on their number.
 """
 
 from __future__ import annotations
@@ -27,6 +31,7 @@ SEED = 9
 ROWS_PER_BUCKET = 4096
 SLOTS_PER_CHUNK = 65_536
 SLOTS_PER_TASK = 1 << 19
+SHARDS_PER_BUCKET = 4096
 UNIT = 1 << 24
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -79,8 +84,8 @@ def _laid_out(rows: DataFrame, targets: DataFrame) -> DataFrame:
     return dealt.withColumn("own", F.coalesce(running, F.lit(0))).join(totals, ["s", "bucket"]).withColumn("a", F.col("own") + F.col("ahead"))
 
 
-def draw_slots(targets: DataFrame, block: int = BLOCK, shard_slots: int = SHARD_SLOTS) -> DataFrame:
-    """(s, slot, shard, epoch, block): which block each slot of the mix takes, and its output shard."""
+def draw_counts(targets: DataFrame, block: int = BLOCK, shard_slots: int = SHARD_SLOTS) -> DataFrame:
+    """(s, n, shard, slots, start): how many slots of each source a shard gets, and its first one; n is the blocks of the source."""
     n = F.ceil(F.col("source_size") / block)
     plan = targets.where("source_size > 0").select("s", n.alias("n"), F.round(F.col("target") * n / F.col("source_size")).cast("long").alias("slots"))
     plan = plan.where("slots > 0")
@@ -89,10 +94,23 @@ def draw_slots(targets: DataFrame, block: int = BLOCK, shard_slots: int = SHARD_
     chunks = plan.select("s", "n", "slots", F.explode(F.sequence(F.lit(0), F.floor((F.col("slots") - 1) / SLOTS_PER_CHUNK).cast("long"))).alias("chunk"))
     chunks = chunks.repartition(1 + total // SLOTS_PER_TASK, "s", "chunk")
     low = F.col("chunk") * SLOTS_PER_CHUNK
-    slots = chunks.select("s", "n", F.explode(F.sequence(low, F.least(low + SLOTS_PER_CHUNK, "slots") - 1)).alias("slot"))
+    draws = chunks.select("s", "n", F.explode(F.sequence(low, F.least(low + SLOTS_PER_CHUNK, "slots") - 1)).alias("draw"))
+    counts = draws.groupBy("s", "n", F.pmod(_hash("s", "draw"), F.lit(shards)).alias("shard")).agg(F.count(F.lit(1)).alias("slots"))
+    counts = saved(counts.withColumn("bucket", F.floor(F.col("shard") / SHARDS_PER_BUCKET)), "counts")
+    totals = counts.groupBy("s", "bucket").agg(F.sum("slots").alias("all"))
+    totals = totals.select("s", "bucket", (F.sum("all").over(Window.partitionBy("s").orderBy("bucket")) - F.col("all")).alias("ahead"))
+    own = F.sum("slots").over(Window.partitionBy("s", "bucket").orderBy("shard")) - F.col("slots")
+    return counts.withColumn("own", own).join(totals, ["s", "bucket"]).select("s", "n", "shard", "slots", (F.col("own") + F.col("ahead")).alias("start"))
+
+
+def draw_slots(targets: DataFrame, block: int = BLOCK, shard_slots: int = SHARD_SLOTS) -> DataFrame:
+    """(s, slot, shard, epoch, block): the slots of every shard by its drawn counts, and which block each of them takes."""
+    counts = saved(draw_counts(targets, block, shard_slots), "stretches")
+    total = counts.agg(F.sum("slots")).first()[0] or 0
+    counts = counts.repartition(1 + total // SLOTS_PER_TASK, "s", "shard")
+    slots = counts.select("s", "n", "shard", F.explode(F.sequence("start", F.col("start") + F.col("slots") - 1)).alias("slot"))
     epoch = F.floor(F.col("slot") / F.col("n"))
-    drawn = F.pmod(_hash("s", "slot"), F.lit(shards)).cast("int")
-    return slots.select("s", "slot", drawn.alias("shard"), epoch.alias("epoch"), permuted(F.col("slot") % F.col("n"), F.col("n"), F.col("s"), epoch).alias("block"))
+    return slots.select("s", "slot", F.col("shard").cast("int").alias("shard"), epoch.alias("epoch"), permuted(F.col("slot") % F.col("n"), F.col("n"), F.col("s"), epoch).alias("block"))
 
 
 def _pieces(laid: DataFrame, block: int) -> DataFrame:
@@ -113,22 +131,38 @@ def measured(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), words_of("text").alias("size"))
 
 
-def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = MAX_EPOCHS, block: int = BLOCK) -> DataFrame:
-    """doc_id, source, size, source_size, target and taken for every row of ``docs`` (doc_id, text, source).
+def _streams(docs: DataFrame, weights: tuple[int, ...], epochs: int) -> tuple[DataFrame, DataFrame]:
+    rows = saved(measured(docs), "sizes")
+    targets = saved(target_table(rows, weights, epochs), "targets")
+    return targets, saved(_laid_out(rows, targets).select("doc_id", "source", "size", "s", "a", "source_size", "target"), "streams")
 
+
+def packed_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = MAX_EPOCHS, block: int = BLOCK, shard_slots: int = SHARD_SLOTS) -> DataFrame:
+    """The mix itself: (shard, source, slot, block, doc_id, first_word, words) for every stretch of a document that a slot of a shard takes."""
+    targets, laid = _streams(docs, weights, epochs)
+    pieces = _pieces(laid, block).withColumn("first_word", F.greatest(F.col("block") * block - F.col("a"), F.lit(0)))
+    slots = draw_slots(targets, block, shard_slots)
+    return pieces.join(slots.hint("merge"), ["s", "block"]).select("shard", "source", "slot", "block", "doc_id", "first_word", "words")
+
+
+def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = MAX_EPOCHS, block: int = BLOCK, shard_slots: int = SHARD_SLOTS) -> DataFrame:
+    """doc_id, source, size, source_size, target, taken, first_shard and last_shard for every row of ``docs`` (doc_id, text, source).
+
+    The shards are the first and the last that take words of the document (null if none does).
     Null and blank texts have no words and nothing is taken. A null source is a source of its
     own, the last. Repeated rows are rows of their own; which of two equal rows is taken more
     often is not told apart. An empty table gives an empty result; other columns are ignored.
     """
-    rows = saved(measured(docs), "sizes")
-    targets = saved(target_table(rows, weights, epochs), "targets")
-    laid = saved(_laid_out(rows, targets).select("doc_id", "source", "size", "s", "a", "source_size", "target"), "streams")
-    uses = draw_slots(targets, block).groupBy("s", "block").agg(F.count(F.lit(1)).alias("uses"))
+    targets, laid = _streams(docs, weights, epochs)
+    slots = draw_slots(targets, block, shard_slots)
+    uses = slots.groupBy("s", "block").agg(F.count(F.lit(1)).alias("uses"), F.min("shard").alias("low"), F.max("shard").alias("high"))
     key = ["s", "a", "doc_id", "source", "size", "source_size", "target"]
     # The uses come from few rows of targets, which the optimizer takes for their size: never broadcast them.
-    taken = _pieces(laid, block).join(uses.hint("merge"), ["s", "block"], "left").groupBy(*key).agg(F.sum(F.col("words") * F.coalesce("uses", F.lit(0))).alias("taken"))
-    empty = laid.where("size = 0").withColumn("taken", F.lit(0).cast("long"))
-    return taken.unionByName(empty.select(taken.columns)).select("doc_id", "source", "size", "source_size", "target", "taken")
+    pieces = _pieces(laid, block).join(uses.hint("merge"), ["s", "block"], "left")
+    taken = pieces.groupBy(*key).agg(F.sum(F.col("words") * F.coalesce("uses", F.lit(0))).alias("taken"), F.min("low").alias("first_shard"), F.max("high").alias("last_shard"))
+    none = F.lit(None).cast("int")
+    empty = laid.where("size = 0").withColumns({"taken": F.lit(0).cast("long"), "first_shard": none, "last_shard": none})
+    return taken.unionByName(empty.select(taken.columns)).select("doc_id", "source", "size", "source_size", "target", "taken", "first_shard", "last_shard")
 
 
 def whole_copies(taken: DataFrame) -> DataFrame:
