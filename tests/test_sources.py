@@ -213,3 +213,85 @@ def test_draws_for_different_purposes_are_independent(spark):
         assert abs(val - 0.1 * n) <= 3 * (n * 0.09) ** 0.5, (name, n, val)
         fifth = 0 if name == "fraction" else S.sample_fraction(drawn, 0.2, 7).count()
         assert "fraction" in name or abs(fifth - 0.2 * n) <= 3 * (n * 0.16) ** 0.5, (name, n, fifth)
+
+
+def write_csv(path, n, newline="\n"):
+    """Fields with line breaks, doubled quotes, commas and empty ones; some records are longer than a split."""
+    import csv
+
+    with open(path, "w", newline="", encoding="utf-8") as f:
+        out = csv.writer(f, lineterminator=newline)
+        out.writerow(["full_query", "label", "split", "note"])
+        for i in range(n):
+            text = f"select {i} from t" + ("\n where a = 'x'\n  and b = \"y\"\n" if i % 3 == 0 else "") + ("\n" + "long line of a text\n" * 400 if i % 41 == 7 else "") + ("ü, \"q\"" if i % 5 == 0 else "")
+            out.writerow([text, str(i % 2), "train" if i % 4 else "test", "" if i % 7 == 0 else f'"{i}"' if i % 11 == 0 else "\n" if i % 13 == 0 else f"n{i}"])
+
+
+@pytest.mark.parametrize("newline", ["\n", "\r\n"])
+def test_parallel_csv_equals_the_reader_of_one_task(spark, tmp_path, newline):
+    """Splits of 2 KB cut records in the middle of fields; ids do not depend on them."""
+    from vigilar.sources.csv_scan import csv_records, read_csv
+
+    path = str(tmp_path / "a.csv")
+    write_csv(path, 600, newline)
+    names = ["full_query", "label", "split", "note"]
+    want = sorted(map(tuple, spark.read.options(header=True, multiLine=True, escape='"').csv(path).select(*names).collect()), key=str)
+    assert len(want) == 600
+    seen = {}
+    for size in ("2k", "20k", "128m"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", "1k")
+        try:
+            rows = read_csv(spark, path)
+            tasks = csv_records(spark, path).rdd.getNumPartitions()
+            got = rows.collect()
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+            spark.conf.unset("spark.sql.files.openCostInBytes")
+        assert sorted((tuple(r[c] for c in names) for r in got), key=str) == want
+        seen[size] = {r["row_id"]: r["full_query"] for r in got}
+        assert len(seen[size]) == 600 and (size != "2k" or tasks > 20)
+    assert seen["2k"] == seen["20k"] == seen["128m"]
+
+
+def test_ids_of_many_files_and_empty_lines(spark, tmp_path):
+    folder = tmp_path / "many.csv"
+    folder.mkdir()
+    for k in range(4):
+        write_csv(str(folder / f"part-{k}.csv"), 50)
+    with open(folder / "part-9.csv", "w") as f:
+        f.write("full_query,label,split,note\n\nselect 1,0,train,x\n\n\"two\nlines\",1,test,\n")
+    rows = SC.read_labelled(spark, str(folder))
+    assert rows.count() == 202 and rows.select("row_id").distinct().count() == 202
+    last = sorted((r.row_id & ((1 << 40) - 1), r.full_query, r.note) for r in rows.where(F.col("row_id") >= 4 << 40).collect())
+    assert last == [(2, "select 1", "x"), (4, "two\nlines", None)]
+    a = {r.row_id for r in SC.read_labelled(spark, str(folder), limit=80, seed=3).collect()}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")
+    try:
+        assert {r.row_id for r in SC.read_labelled(spark, str(folder), limit=80, seed=3).collect()} == a
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_converted_scenarios_are_found_by_name_and_checked(spark, tmp_path):
+    import hashlib
+
+    root = str(tmp_path)
+    write_csv(f"{root}/a-a.csv", 90)
+    data = open(f"{root}/a-a.csv", "rb").read()
+    entry = lambda sha: spark.createDataFrame([("main", "a-a.csv", len(data), sha, None)], "grp string, file string, bytes long, sha256 string, md5 string")
+    good, bad = entry(hashlib.sha256(data).hexdigest()), entry("0" * 64)
+    columns = ("full_query", "label")
+    plain = SC.read_scenario(spark, root, "multi", "a-a", "train", columns, manifest=good)
+    with pytest.raises(ValueError):
+        SC.read_scenario(spark, root, "multi", "a-a", "train", columns, manifest=bad)
+    want = {(r.row_id, r.full_query) for r in plain.collect()}
+    with pytest.raises(ValueError):
+        SC.convert_scenario(spark, root, "multi", "a-a", bad)
+    SC.convert_scenario(spark, root, "multi", "a-a", good)
+    assert SC.scenario_path(spark, root, "multi", "a-a").endswith("a-a.parquet")
+    assert {(r.row_id, r.full_query) for r in SC.read_scenario(spark, root, "multi", "a-a", "train", columns).collect()} == want
+    assert SC.read_scenario(spark, root, "multi", "a-a", "train", columns, limit=10).count() == 10
+    spark.range(5).selectExpr("cast(id as string) as full_query", "0 as label", "'train' as split").write.parquet(f"{root}/b-b.parquet")
+    with pytest.raises(ValueError):
+        SC.read_scenario(spark, root, "multi", "b-b", "train", columns, limit=3)

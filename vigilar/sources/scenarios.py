@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Iterable, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from vigilar.operators.sampling import sample_n, stratified_cap
+from vigilar.sources.csv_scan import header_of, read_csv
 
 # The columns of a scenario file. All are text but the label.
 SCENARIO_COLUMNS = (
@@ -110,25 +110,25 @@ def build_scenarios(corpus: DataFrame, seed=7, equal_size: bool = True) -> DataF
 # ---- readers --------------------------------------------------------------------
 
 
-def _schema(columns: Iterable[str]) -> T.StructType:
-    return T.StructType([T.StructField(c, T.StringType()) for c in columns])
-
-
 def read_labelled(
     spark: SparkSession, path: str, columns: Sequence[str] | None = None, limit: int | None = None, seed=0
 ) -> DataFrame:
     """Scan a labelled table; keep the required and the chosen columns.
 
     Rows without text or label are dropped and the label becomes INT. A CSV must name
-    its columns in a header; they are read as text, never inferred. Every row keeps its
-    ``row_id``, or gets a unique one at the scan; ``convert_csv`` fixes it for good.
+    its columns in a header; they are read as text, never inferred, and in as many tasks as
+    the file has splits. Rows of a CSV without ``row_id`` get one from file and line, which is
+    the same on any cluster. Rows of a Parquet table without one get one at the scan; these
+    follow its splits, so such a table takes no ``limit``.
     """
     if _is_parquet(spark, path):
-        raw = spark.read.parquet(path)
+        _refuse_unnumbered(spark, path, limit)
+        raw = _with_id(spark.read.parquet(path))
     else:
-        header = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path).columns
-        raw = spark.read.schema(_schema(header)).options(header=True, multiLine=True, escape='"').csv(path)
-    raw = _with_id(raw)
+        header = header_of(spark, path)
+        raw = read_csv(spark, path, header)
+        if "row_id" in header:
+            raw = raw.select(F.col("row_id").cast("long").alias("row_id"), *[c for c in header if c != "row_id"])
     keep = list(raw.columns) if columns is None else [c for c in raw.columns if c in {*columns, *REQUIRED, "row_id"}]
     missing = {*(columns or ()), *REQUIRED} - set(raw.columns)
     if missing:
@@ -136,7 +136,12 @@ def read_labelled(
     rows = clean_required(raw.select(keep))
     if limit is None:
         return rows
-    return _cap(rows, limit, seed)
+    return stratified_cap(rows, limit, seed)
+
+
+def _refuse_unnumbered(spark: SparkSession, path: str, limit: int | None) -> None:
+    if limit is not None and _is_parquet(spark, path) and "row_id" not in spark.read.parquet(path).columns:
+        raise ValueError(f"{path} has no row_id: a sample of it would depend on the cluster; write it with convert_csv first")
 
 
 def _is_parquet(spark: SparkSession, path: str) -> bool:
@@ -159,8 +164,7 @@ def _is_parquet(spark: SparkSession, path: str) -> bool:
 def convert_csv(spark: SparkSession, path: str, out: str) -> DataFrame:
     """Write a labelled CSV once as Parquet by split, with its row ids; return the new table.
 
-    A CSV with line breaks inside fields is read by one task a file, so large files are
-    converted before they are used.
+    Reading a CSV takes two passes over its lines, so tables that are used often are converted first.
     """
     read_labelled(spark, path).write.mode("overwrite").partitionBy("split").parquet(out)
     return spark.read.parquet(out)
@@ -176,14 +180,16 @@ def read_split(
     spark: SparkSession, path: str, split: str, columns: Sequence[str] = ("full_query", "label", "split"), limit=None, seed=0
 ) -> DataFrame:
     """Rows whose ``split`` matches; Parquet laid out by split is pruned."""
+    _refuse_unnumbered(spark, path, limit)
     rows = read_labelled(spark, path, (*columns, "split")).where(F.col("split") == split)
-    return rows if limit is None else _cap(rows, limit, seed)
+    return rows if limit is None else stratified_cap(rows, limit, seed)
 
 
 def read_whole_sample(
     spark: SparkSession, path: str, columns: Sequence[str] = ("full_query", "label", "split"), limit=None, seed=7
 ) -> DataFrame:
     """A sample of the whole file, drawn before splitting and without strata; ``split`` is kept."""
+    _refuse_unnumbered(spark, path, limit)
     rows = read_labelled(spark, path, (*columns, "split"))
     if limit is None:
         return rows
@@ -196,17 +202,48 @@ def _with_id(rows: DataFrame) -> DataFrame:
     return rows.withColumn("row_id", F.monotonically_increasing_id())
 
 
-def _cap(rows: DataFrame, limit: int, seed) -> DataFrame:
-    return stratified_cap(rows, limit, seed)
+def _exists(spark: SparkSession, path: str) -> bool:
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm_path)
 
 
-def read_scenario(
-    spark: SparkSession, root: str, family: str, scenario: str, split: str | None = None, columns=SCENARIO_COLUMNS, limit=None, seed=0
-) -> DataFrame:
-    """Resolve (family, scenario) to its file below ``root`` and read it."""
+def scenario_path(spark: SparkSession, root: str, family: str, scenario: str) -> str:
+    """Where a scenario lies below ``root``: its converted table (the file's name with .parquet), or else its CSV."""
     if family not in FAMILIES:
         raise ValueError(f"unknown family {family!r}; known: {sorted(FAMILIES)}")
-    path = os.path.join(root, FAMILIES[family].file_name(scenario))
+    csv = os.path.join(root, FAMILIES[family].file_name(scenario))
+    table = f"{csv.removesuffix('.csv')}.parquet"
+    return table if _exists(spark, table) else csv
+
+
+def convert_scenario(spark: SparkSession, root: str, family: str, scenario: str, manifest: DataFrame | None = None) -> DataFrame:
+    """Write a scenario's CSV as the Parquet table that ``read_scenario`` then reads, after a check against its manifest entry."""
+    csv = os.path.join(root, FAMILIES[family].file_name(scenario))
+    if manifest is not None:
+        check_file(manifest, csv)
+    return convert_csv(spark, csv, f"{csv.removesuffix('.csv')}.parquet")
+
+
+def check_file(manifest: DataFrame, path: str) -> None:
+    """Raise if a file differs from its entry in the manifest; entries without a checksum pass."""
+    folder, name = os.path.split(path)
+    found = verify_files(manifest.where(F.col("file") == name), folder, name).first()
+    if found is None or found["status"] not in ("ok", "unchecked"):
+        raise ValueError(f"{path} fails its check: {found['status'] if found else 'no entry'}")
+
+
+def read_scenario(
+    spark: SparkSession, root: str, family: str, scenario: str, split: str | None = None, columns=SCENARIO_COLUMNS, limit=None, seed=0,
+    manifest: DataFrame | None = None,
+) -> DataFrame:
+    """Resolve (family, scenario) below ``root`` and read it, as a converted table or as CSV.
+
+    With a ``manifest`` (``manifest_entries``) a CSV is checked against its entry first; a
+    converted table was checked when it was written.
+    """
+    path = scenario_path(spark, root, family, scenario)
+    if manifest is not None and path.endswith(".csv"):
+        check_file(manifest, path)
     if split is None:
         return read_labelled(spark, path, columns, limit, seed)
     return read_split(spark, path, split, columns, limit, seed)
@@ -250,15 +287,16 @@ def manifest_entries(spark: SparkSession, path: str) -> DataFrame:
     return grouped.unionByName(flat).select("grp", "file", "e.*")
 
 
-def verify_files(entries: DataFrame, folder: str) -> DataFrame:
+def verify_files(entries: DataFrame, folder: str, pattern: str | None = None) -> DataFrame:
     """Compare files below ``folder`` with their manifest rows: add ``status``.
 
-    Files are found by their path below the folder. ``ok``, ``bad_size`` (such files are
+    Files are found by their path below the folder (only names that match ``pattern``, if given). ``ok``, ``bad_size`` (such files are
     not hashed), ``bad_hash``, ``missing``, or ``unchecked`` without a checksum. Files are hashed by the executors; the binary
     reader takes files up to 2 GiB, so store large tables as several parts.
     """
     spark = entries.sparkSession
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
+    files = (reader.option("pathGlobFilter", pattern) if pattern else reader).load(folder)
     root = spark._jvm.org.apache.hadoop.fs.Path(folder)
     root = root.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(root).toUri().getPath().rstrip("/")
     below = F.regexp_replace(F.col("path"), "^[a-z0-9]+:/*", "/")

@@ -11,6 +11,8 @@ from vigilar.functions import lexical
 from vigilar.operators import metrics as M
 from vigilar.operators import scaling
 from vigilar.operators.autoencoder import AeConfig, AeModel, new_weights
+from vigilar.operators.forest import ForestIndex, recall
+from vigilar.operators.knn import FitIndex, collapse_copies
 from vigilar.operators.lof import LofModel, lof_scores
 from vigilar.operators.ocsvm import OcsvmModel
 from vigilar.operators.sampling import fit_val_roles
@@ -49,6 +51,17 @@ def lof_query(spark, sf):
     return rounded(lof_scores(rows.where(F.col("role") == "fit"), rows.where(F.col("role") == "test")), "score")
 
 
+@query("knn_forest_recall", "SELECT count(*) AS n_queries, true AS enough FROM embeddings WHERE vec_id % 100 = 0")
+def knn_forest_recall(spark, sf):
+    """Approximate search against the exact one: rows with an id divisible by 100 among all rows; at least 0.9 must be found."""
+    rows = vectors(spark, sf).select("row_id", "features")
+    distinct = stable(collapse_copies(rows))
+    queries = rows.where(F.col("row_id") % 100 == 0).select(F.col("row_id").alias("q_id"), F.col("features").alias("vec"))
+    found = ForestIndex(distinct, 20, leaf_rows=256).neighbours(queries)
+    exact = FitIndex(distinct, 20).neighbours(queries)
+    return recall(found, exact).select("n_queries", (F.col("recall") >= 0.9).alias("enough"))
+
+
 def _li_cte() -> str:
     inner = li_sql(DOCS)
     cols = ", ".join(f"{c}::DOUBLE" for c in lexical.LI_FEATURES)

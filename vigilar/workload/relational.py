@@ -77,17 +77,34 @@ def scan_csv_roundtrip(spark, sf):
 
 @query(
     "read_scenario_splits",
-    f"WITH {CORPUS} SELECT split, label, count(*) AS n, count(*) AS n_ids FROM corpus WHERE domain = 'a' AND length(full_query) > 0 GROUP BY split, label",
+    f"""WITH {CORPUS} SELECT concat(domain, '-', domain) AS scenario, split, label, count(*) AS n, count(*) AS n_ids
+    FROM corpus WHERE length(full_query) > 0 GROUP BY domain, split, label""",
 )
 def read_scenario_splits(spark, sf):
-    """A scenario folder in Parquet on shared storage, resolved by family and name; every row has its own id."""
+    """Scenario files on shared storage, written as CSV, converted, and read by family and name; every row has its own id."""
     root = scratch_dir(spark, "scenarios")
-    rows = corpus(spark, sf).where((F.col("domain") == "a") & (F.length("full_query") > 0)).drop("row_id")
-    rows.write.parquet(f"{root}/a-a")
-    table_ = SC.read_labelled(spark, f"{root}/a-a")
-    kept = SC.convert_csv(spark, f"{root}/a-a", f"{root}/converted")
-    assert "row_id" in table_.columns
-    return kept.groupBy("split", "label").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("row_id").alias("n_ids"))
+    rows = corpus(spark, sf).where(F.length("full_query") > 0).drop("row_id")
+    out = None
+    for domain in SC.DOMAINS:
+        name = SC.in_domain(domain)
+        csv = rows.where(F.col("domain") == domain).write.options(header=True, escape='"', quoteAll=True, nullValue="", emptyValue="")
+        csv.csv(f"{root}/{name}.csv")
+        SC.convert_scenario(spark, root, "multi", name)
+        for split in ("train", "test"):
+            one = SC.read_scenario(spark, root, "multi", name, split, ("full_query", "label", "split")).withColumn("scenario", F.lit(name))
+            out = one if out is None else out.unionByName(one)
+    return out.groupBy("scenario", "split", "label").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("row_id").alias("n_ids"))
+
+
+@query(
+    "read_whole_sample",
+    f"""WITH {CORPUS} SELECT row_id, split FROM corpus ORDER BY {md5_of('sample', 7)}, row_id LIMIT 250""",
+)
+def read_whole_sample(spark, sf):
+    """A sample of a whole numbered table, drawn before splitting."""
+    path = f"{scratch_dir(spark, 'whole')}/a-a.parquet"
+    corpus(spark, sf).write.parquet(path)
+    return SC.read_whole_sample(spark, path, limit=250).select("row_id", "split")
 
 
 @query(
