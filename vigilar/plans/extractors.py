@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from vigilar.functions import lexical, pooling, roles, tokens, traces
 from vigilar.functions.keywords import CORE_KEYWORDS
+from vigilar.functions.models import ModelHook, embed
 from vigilar.operators.fingerprint import table_digest
 
 SPARSE = "struct<indices: array<bigint>, values: array<double>>"
@@ -298,21 +299,26 @@ class TraceExtractor(Extractor):
 
 
 class EmbeddingExtractor(Extractor):
-    """Takes a model's output columns and applies the model's pooling.
+    """Takes a model's output columns and applies the model's pooling, or runs a caller's model.
 
     ``pool``: ``none`` and ``l2`` read the sentence vector column, ``first``, ``mean`` and
-    ``suffix`` read token states (with a 0/1 mask column for the last two).
+    ``suffix`` read token states (with a 0/1 mask column for the last two). With ``model``
+    (a ``ModelHook``) the vectors come from the text by that model; ``width`` is then what it gives.
     """
 
-    def __init__(self, name: str, width: int, pool: str = "none", vector="embedding", states="token_states", mask="mask"):
-        super().__init__()
-        self.name, self.width, self.pool = name, width, pool
+    def __init__(self, name: str, width: int, pool: str = "none", vector="embedding", states="token_states", mask="mask", text="full_query", model: ModelHook | None = None):
+        super().__init__(text)
+        self.name, self.width, self.pool, self.model = name, width, pool, model
         self.vector, self.states, self.mask = vector, states, mask
 
     def inputs(self, rows):
+        if self.model is not None:
+            return [self.text]
         return [c for c in (self.vector, self.states, self.mask) if c in rows.columns]
 
     def transform(self, rows, out="features"):
+        if self.model is not None:
+            return rows.withColumn(out, embed(self.model, self.pool, self.text))
         if self.pool in ("none", "l2") or self.states not in rows.columns:
             value = F.col(self.vector).cast("array<double>")
             value = pooling.l2_normalize(value) if self.pool == "l2" else value
@@ -329,6 +335,10 @@ class EmbeddingExtractor(Extractor):
         return self.width
 
     def fit(self, rows):
+        if self.model is not None:
+            first = self.transform(rows.limit(1)).select("features").first()
+            self.width = self.width if first is None else len(first[0])
+            return self
         first = rows.select(self.vector if self.vector in rows.columns else self.states).first()
         if first is not None and first[0]:
             self.width = len(first[0]) if self.vector in rows.columns else len(first[0][0])
@@ -338,7 +348,7 @@ class EmbeddingExtractor(Extractor):
         return tuple(f"e{i}" for i in range(self.width))
 
     def state(self):
-        return {"width": self.width}
+        return {"width": self.width} if self.model is None else {"width": self.width, "model": self.model.name}
 
     def load_state(self, state):
         self.width = state["width"]

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vigilar.functions import lexical
+from vigilar.functions.models import ModelHook
 from vigilar.operators import metrics as M
 from vigilar.operators import scaling
 from vigilar.operators.autoencoder import AeConfig, AeModel, new_weights
@@ -18,6 +20,7 @@ from vigilar.operators.ocsvm import OcsvmModel
 from vigilar.operators.sampling import fit_val_roles
 from vigilar.plans import protocols as P
 from vigilar.plans.detector import Detector, DetectorEstimator
+from vigilar.plans.extractors import build_extractor
 from vigilar.session import scratch_dir, stable
 from vigilar.sources.scenarios import build_scenarios, drift_partitions, fewshot_sets, lodo
 from vigilar.sources.tables import corpus, traces, vectors
@@ -206,6 +209,42 @@ def fsl_results(spark, sf):
     return out
 
 
+class WordLengthModel:
+    """A model small enough to be written down in SQL as well: a token is a word, its state (length, place, 1)."""
+
+    def tokens(self, text):
+        return [len(w) for w in re.findall(r"[^ \t\n\r\f\v]+", text)]
+
+    def states(self, ids, mask):
+        return np.stack([ids, np.cumsum(mask, axis=1) - 1, np.ones_like(ids)], axis=2)
+
+    def vectors(self, ids, mask):
+        return (self.states(ids, mask) * mask[:, :, None]).sum(axis=1)
+
+
+_WORDS = r"list_filter(string_split_regex(full_query, '[ \t\n\r\f\v]+'), lambda w: w <> '')[:512]"
+
+
+@query(
+    "model_hook_vectors",
+    f"""WITH {CORPUS}, w AS (SELECT row_id, list_transform({_WORDS}, lambda x: length(x)::DOUBLE) AS ls FROM corpus),
+    v AS (SELECT row_id, len(ls) AS n, coalesce(list_sum(ls), 0.0) AS total, len(ls) * (len(ls) - 1) / 2.0 AS places, coalesce(ls[1], 0.0) AS head FROM w)
+    SELECT row_id, 'sbert' AS extractor, total AS a, places AS b, n::DOUBLE AS c FROM v
+    UNION ALL SELECT row_id, 'qwen3-emb', round(total / z, 6), round(places / z, 6), round(n / z, 6)
+      FROM (SELECT *, CASE WHEN n = 0 THEN 1.0 ELSE sqrt(total * total + places * places + n * n) END AS z FROM v)
+    UNION ALL SELECT row_id, 'modernbert', head, 0.0, (n > 0)::INT::DOUBLE FROM v
+    UNION ALL SELECT row_id, 'flan-t5', round(total / greatest(n, 1), 6), round(places / greatest(n, 1), 6), (n > 0)::INT::DOUBLE FROM v""",
+)
+def model_hook_vectors(spark, sf):
+    """A caller's model behind four entries of different pooling, over all texts."""
+    rows, hook, out = corpus(spark, sf).select("row_id", "full_query"), ModelHook("word-length", WordLengthModel), None
+    for name in ("sbert", "qwen3-emb", "modernbert", "flan-t5"):
+        made = build_extractor(name, model=hook).transform(rows)
+        one = made.select("row_id", F.lit(name).alias("extractor"), *[F.round(F.col("features")[i], 6).alias(c) for i, c in enumerate("abc")])
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query("simple_evaluate")
 def simple_evaluate(spark, sf):
     rows = corpus(spark, sf)
