@@ -157,3 +157,18 @@ def test_truncation_follows_the_rounds(spark):
 def test_template(spark):
     w = texts(spark, "  a b \n").select(pooling.wrap_template("full_query").alias("w")).first().w
     assert (w.full, w.pooled) == ("[INST]   a b [/INST]", "  a b [/INST]")
+
+
+def test_top_terms_equal_the_full_sort(spark):
+    """Skewed and flat counts, ties at the cut, few buckets (so that terms share them), and fewer terms than asked for."""
+    rows = [(i, f"t{j}", 1 + (1000 // (1 + j)) + (j * i) % 3) for i in range(8) for j in range(400)]
+    counts = spark.createDataFrame(rows, "row_id long, term string, n long").repartition(5)
+    full = [tuple(r) for r in tokens.vocabulary(counts).orderBy(F.desc("tf"), "term").collect()]
+    for buckets in (16, 1 << 20):
+        for k in (1, 7, 100, 1000):
+            assert [tuple(r) for r in tokens.top_terms(counts, k, buckets).collect()] == full[:k]
+    flat = counts.select("row_id", "term", F.lit(2).cast("long").alias("n"))
+    assert [r.term for r in tokens.top_terms(flat, 5).collect()] == sorted(f"t{j}" for j in range(400))[:5]
+    plan = tokens.top_terms(counts, 3)._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("BroadcastHashJoin") > plan.index("Exchange hashpartitioning(term")  # terms are filtered before they move
+    assert tokens.top_terms(counts.limit(0), 3).collect() == []

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from vigilar.functions.chars import SPACE, WORD
 from vigilar.functions.keywords import CORE_KEYWORDS, keyword_list
-from vigilar.session import small_side
+from vigilar.session import small_side, stable
 
 # The output columns, in order.
 LOGINOV_FEATURES = (
@@ -131,6 +131,30 @@ def vocabulary(counts: DataFrame, max_features: int | None = None) -> DataFrame:
     return vocab
 
 
+TERM_BUCKETS = 1 << 20
+
+
+def top_terms(counts: DataFrame, k: int, buckets: int = TERM_BUCKETS) -> DataFrame:
+    """The ``k`` terms most frequent over the corpus (ties: alphabetical), exactly, with (term, tf, df).
+
+    ``vocabulary`` with a cap for vocabularies too large to be shuffled: rare terms never move. Counts per
+    hash bucket, which add up from anywhere, bound the count of each of their terms from above. The
+    terms of the fullest ``2 k`` buckets are counted: the k-th of them bounds the k-th of all from
+    below. Then only terms of buckets that reach this are counted. The counts are read three times,
+    so for vocabularies that fit a shuffle ``vocabulary`` is faster.
+    """
+    bucket = F.pmod(F.xxhash64("term"), F.lit(buckets)).alias("bucket")
+    keyed = counts.select("term", "n", bucket)
+    totals = stable(keyed.groupBy("bucket").agg(F.sum("n").alias("total")))  # at most ``buckets`` rows
+    head = F.broadcast(totals.orderBy(F.desc("total"), "bucket").limit(2 * k).select("bucket"))
+    seen = keyed.join(head, "bucket", "leftsemi").groupBy("term").agg(F.sum("n").alias("tf")).orderBy(F.desc("tf")).limit(k)
+    low = seen.agg(F.count(F.lit(1)).alias("n"), F.min("tf").alias("tf")).first()
+    least = low["tf"] if low["n"] == k else 0
+    wide = F.broadcast(totals.where(F.col("total") >= least).select("bucket"))  # eight bytes a bucket
+    exact = keyed.join(wide, "bucket", "leftsemi").groupBy("term").agg(F.sum("n").alias("tf"), F.count(F.lit(1)).alias("df"))
+    return exact.orderBy(F.desc("tf"), "term").limit(k)
+
+
 def tfidf(
     counts: DataFrame, vocab: DataFrame, n_docs: int, row_id: str = "row_id"
 ) -> DataFrame:

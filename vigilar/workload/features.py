@@ -154,6 +154,16 @@ def vocabulary_capped(spark, sf):
     return tokens.vocabulary(tokens.term_counts(docs(spark, sf)), 200)
 
 
+@query(
+    "top_terms",
+    f"""WITH {DOCS}, {_TERMS} SELECT term, sum(n)::BIGINT AS tf, count(*) AS df FROM counts GROUP BY term
+    ORDER BY tf DESC, term LIMIT 500""",
+)
+def top_terms(spark, sf):
+    """The most frequent terms without a shuffle of the rare ones."""
+    return tokens.top_terms(tokens.term_counts(docs(spark, sf)), 500)
+
+
 @query(
     "tfidf_long",
     f"""WITH {DOCS}, {_TERMS}, vocab AS (SELECT term, count(*) AS df FROM counts GROUP BY term ORDER BY sum(n) DESC, term LIMIT 200),
