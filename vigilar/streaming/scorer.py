@@ -18,11 +18,12 @@ def score_stream(stream: DataFrame, detector: Detector, threshold: float, keep:
 
 
 def start_scoring(
-    stream: DataFrame, detector: Detector, threshold: float, path: str, checkpoint: str, keep: tuple[str, ...] = ("row_id",)
-) -> StreamingQuery:
+    stream: DataFrame, detector: Detector, threshold: float, path: str, checkpoint: str, keep: tuple[str, ...] = ("row_id",), trigger: dict | None = None,
+) -> StreamingQuery:
     """Score every micro-batch and append it to a Parquet table; works for all heads.
 
-    The batch id is part of the output layout, so a replayed batch replaces itself.
+    ``trigger`` is what ``DataStreamWriter.trigger`` takes (``{"processingTime": "10 seconds"}`` for a
+    stream that goes on); by default all that is there is scored, then the stream stops. The batch id is part of the output layout, so a replayed batch replaces itself.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
@@ -36,4 +37,4 @@ def start_scoring(
             .parquet(path)
         )
 
-    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

@@ -25,6 +25,7 @@ from vigilar.session import scratch_dir, stable
 from vigilar.sources.scenarios import build_scenarios, drift_partitions, fewshot_sets, lodo
 from vigilar.sources.tables import corpus, traces, vectors
 from vigilar.streaming.scorer import score_stream, start_scoring
+from vigilar.streaming.thresholds import start_thresholds
 from vigilar.workload.common import CORPUS, query, r6, rounded
 from vigilar.workload.features import DOCS, li_sql
 from vigilar.workload.relational import md5_of
@@ -314,3 +315,20 @@ def stream_scores_lof(spark, sf):
     out = scratch_dir(spark, "stream")
     start_scoring(_stream(spark, sf), det, 0.5, f"{out}/t", f"{out}/c").awaitTermination()
     return spark.read.parquet(f"{out}/t").select("row_id", "score", "alert")
+
+
+@query(
+    "stream_running_thresholds",
+    """WITH r AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS place FROM documents WHERE lang IS NOT NULL)
+    SELECT lang, count(*) AS n, count(*) FILTER (place > 30) AS n_judged, 0::BIGINT AS n_odd FROM r GROUP BY lang""",
+)
+def stream_running_thresholds(spark, sf):
+    """A stateful stream: the share of symbols of a document against the running quantile of its language."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    source = spark.readStream.schema(docs.schema).option("pathGlobFilter", "documents.parquet").parquet(sf)
+    share = F.regexp_count("text", F.lit(r"[^\p{L}\s]")) / F.greatest(F.length("text"), F.lit(1))
+    scored = source.select("lang", "doc_id", F.coalesce(share, F.lit(0.0)).alias("score"))
+    out = scratch_dir(spark, "stream")
+    start_thresholds(scored, f"{out}/t", f"{out}/c", "lang", "doc_id", 0.01, 30).awaitTermination()
+    odd = F.col("alert") != F.coalesce(F.col("score") > F.col("threshold"), F.lit(False)).cast("int")
+    return spark.read.parquet(f"{out}/t").groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.count("threshold").alias("n_judged"), F.count_if(odd).alias("n_odd"))
