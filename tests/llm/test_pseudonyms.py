@@ -1,5 +1,6 @@
 import datetime
 import re
+import time
 
 import pytest
 
@@ -64,10 +65,60 @@ def test_same_day_in_two_formats_is_linked_and_keys_differ():
     assert pseudonymise("2024-02-28", Permuter(b"other"))[0] != a
 
 
+def read_day(text):
+    """The day of a pseudonym by the rules for its spelling."""
+    a, b, c = map(int, re.split(r"\D", text))
+    if "." in text:
+        return datetime.date(c, b, a)
+    if re.match(r"\d{4}", text):
+        return datetime.date(a, b, c)
+    return datetime.date(c, a, b) if a <= 12 else datetime.date(c, b, a)
+
+
+def test_every_day_is_linked_in_all_spellings():
+    """ISO, with slashes year first, dotted, and both orders with slashes or hyphens where they can be told apart."""
+    seen = set()
+    for k in range(0, 3650, 3):
+        d = datetime.date(1998, 1, 1) + datetime.timedelta(days=k)
+        ways = [f"{d:%Y-%m-%d}", f"{d:%Y/%m/%d}", f"{d:%d.%m.%Y}", f"{d.day}.{d.month}.{d.year}", f"{d:%m/%d/%Y}", f"{d:%m-%d-%Y}"]
+        ways += [f"{d:%d/%m/%Y}", f"{d:%d-%m-%Y}"] if d.day > 12 else []
+        fresh = {read_day(pseudonymise(w, P)[0]) for w in ways}
+        assert len(fresh) == 1, (d, fresh)
+        seen |= fresh
+    assert len(seen) == len(range(0, 3650, 3))
+    assert len({read_day(pseudonymise(w, P)[0]) for w in ("2024-05-13", "05/13/2024", "13.05.2024", "13/05/2024", "13-05-2024")}) == 1
+
+
+def test_addresses_are_linked_across_letter_case():
+    a, b = pseudonymise("John.Doe@x.com", P)[0], pseudonymise("john.doe@x.com", P)[0]
+    assert a != b and a.lower() == b and a[0].isupper() and b != "john.doe@x.com"
+
+
+def test_numbers_of_other_plans_stay_possible():
+    for i in range(200):
+        fresh = pseudonymise(f"+44 20 7946 0{100 + i}", P)[0]
+        assert re.fullmatch(r"\+44 [1-9]\d \d{4} \d{4}", fresh)
+
+
+def test_a_key_is_required(spark):
+    docs = special_documents(spark)
+    with pytest.raises(TypeError):
+        pseudonymise_documents(docs)
+    with pytest.raises(ValueError):
+        pseudonymise_documents(docs, b"")
+
+
+@pytest.mark.parametrize("text", ["7" * 300_000, "1 " * 200_000, "1-" * 200_000, "2024-01-" * 50_000, "a@" * 100_000, "+1 " * 100_000, "DE12 " * 60_000, "1." * 150_000])
+def test_long_runs_take_seconds(text):
+    began = time.time()
+    pseudonymise(text, P)
+    assert time.time() - began < 20
+
+
 def test_documents(spark, sf):
     docs = table(spark, sf, "documents")
     before = {r["doc_id"]: r["text"] for r in docs.collect()}
-    rows = pseudonymise_documents(docs).collect()
+    rows = pseudonymise_documents(docs, b"test key").collect()
     private = re.compile(r"[\w.+-]+@[\w-]+\.[\w.]+\w|\b4\d{15}\b|\b\d{1,3}(?:\.\d{1,3}){3}\b|\+1 \(\d{3}\) \d{3}-\d{4}")
     seen = 0
     for r in rows:
@@ -81,6 +132,6 @@ def test_documents(spark, sf):
 
 def test_special_cases(spark):
     docs = special_documents(spark)
-    rows = pseudonymise_documents(docs).collect()
+    rows = pseudonymise_documents(docs, b"test key").collect()
     assert sorted(str((r["doc_id"], r["text"])) for r in rows) == sorted(str((r["doc_id"], r["text"])) for r in docs.collect())
-    assert pseudonymise_documents(empty_documents(spark)).collect() == []
+    assert pseudonymise_documents(empty_documents(spark), b"test key").collect() == []

@@ -24,7 +24,6 @@ from vigilar.llm import words as W
 
 ROUNDS = 8
 KINDS = ("email", "iban", "key", "date", "ssn", "ip", "card", "phone")
-DEFAULT_KEY = b"change this key in production"
 
 # Lengths of account numbers by country (public registry of IBAN formats).
 IBAN_LENGTHS = {
@@ -125,8 +124,10 @@ def _permute_characters(p: Permuter, text: str, kind: str) -> str:
 
 
 def _email(p: Permuter, text: str) -> str:
+    # Addresses that differ in letter case stay linked: letters are permuted without it and get it back.
     local, _, domain = text.partition("@")
-    return f"{_permute_characters(p, local, 'email')}@{domain}"
+    fresh = _permute_characters(p, local.lower(), "email")
+    return "".join(f.upper() if c.isupper() else f for c, f in zip(local, fresh, strict=True)) + f"@{domain}"
 
 
 def _key(p: Permuter, text: str) -> str:
@@ -177,15 +178,17 @@ def _date(p: Permuter, text: str) -> str | None:
     padded = any(w == 2 and v < 10 for w, v in zip(widths, (a, b, c), strict=True))
     loose = any(w == 1 for w in widths)
 
-    late = order == "dmy" and mark != "."  # read as day first only because the day is no month
-    recent = 1900 <= date.fromordinal(x + 1).year < 2100
+    # One permutation of days for all spellings. Days after the 12th stay such: then a spelling that was read
+    # day first, because its day is no month, is read so again.
+    day_of = lambda x: date.fromordinal(x + 1)
+    late, recent = day_of(x).day > 12, 1900 <= day_of(x).year < 2100
     low, n = (_RECENT, _RECENT_DAYS) if recent else (0, date.max.toordinal())
 
     def fits(x: int) -> bool:
-        d = date.fromordinal(x + low + 1)
-        return (not late or d.day > 12) and recent == (1900 <= d.year < 2100)
+        d = day_of(x + low)
+        return late == (d.day > 12) and recent == (1900 <= d.year < 2100)
 
-    d = date.fromordinal(p.permute(x - low, n, f"date{late}", fits) + low + 1)
+    d = day_of(p.permute(x - low, n, f"date{late}", fits) + low)
     form = "{:02d}" if padded or not loose else "{}"
     day, month, year = form.format(d.day), form.format(d.month), f"{d.year:04d}"
     return mark.join({"ymd": (year, month, day), "dmy": (day, month, year), "mdy": (month, day, year)}[order])
@@ -243,6 +246,10 @@ def _phone(p: Permuter, text: str) -> str | None:
         if not planned and not country:
             return None
         fits, kind = lambda x: _north_american(x) == planned, f"phone1{planned}"
+    else:  # what follows the country code begins with 0 only if it did
+        least = 10 ** (len(rest) - 1)
+        led = int(rest) >= least
+        fits, kind = lambda x: (x >= least) == led, f"phone{country}{led}"
     return _refill(text, country + f"{p.permute(int(rest), 10 ** len(rest), kind, fits):0{len(rest)}d}")
 
 
@@ -310,12 +317,15 @@ def _rows(key: bytes, n_carried: int) -> object:
     return run
 
 
-def pseudonymise_documents(docs: DataFrame, key: bytes = DEFAULT_KEY, columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def pseudonymise_documents(docs: DataFrame, key: bytes, columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``columns``, text with pseudonyms, and the number of values by kind (n_email, ...) for every row.
 
     A null text stays null, an empty one empty. Repeated rows each give the same row, null ids
     are kept, an empty table gives an empty result. Values that are not valid are left alone.
+    Who knows ``key`` can turn pseudonyms back; there is no default for it.
     """
+    if len(key) < 8:
+        raise ValueError("pseudonyms need a secret key of at least eight bytes")
     W.bounded_batches(docs.sparkSession)
     rows = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(columns)], F.col("text").cast("string").alias("text"))
     schema = StructType(list(rows.schema.fields))
