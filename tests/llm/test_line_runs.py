@@ -1,5 +1,6 @@
 import hashlib
 import re
+import time
 from collections import Counter
 
 import duckdb
@@ -72,3 +73,14 @@ def test_runs_of_short_lines(spark):
         rows.append((i, "\n".join([sentence(900 + i, 5), *passage[a:b], "", " ", sentence(800 + i, 30), passage[3], *passage[40 - i % 5 :]])))
     rows += [(100, "\n".join(["same line"] * 80)), (101, "\n".join(["same line"] * 90))]
     check(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+
+
+def test_very_long_texts(spark):
+    """Texts of 60,000 lines of one word that are copies of each other take seconds, not lines times removed lines."""
+    lines = [f"w{i}" for i in range(60_000)]
+    rows = [(1, "\n".join(lines)), (2, "\n".join(lines)), (3, "\n".join(["own", *lines[10_000:30_000], "other"]))]
+    began = time.time()
+    got = {r["doc_id"]: r for r in line_report(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert time.time() - began < 120
+    assert [(got[i]["n_lines"], got[i]["n_removed"], got[i]["n_runs"]) for i in (1, 2, 3)] == [(60_000, 0, 0), (60_000, 60_000, 1), (20_002, 20_000, 1)]
+    assert got[3]["kept_sha256"] == hashlib.sha256(b"own\nother").hexdigest() and got[2]["kept_sha256"] == hashlib.sha256(b"").hexdigest()

@@ -104,8 +104,10 @@ def remove_repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFr
     out = docs.join(runs.hint("shuffle_hash"), ["_id", "_h"], "left").select("doc_id", _lines(F.col("text")).alias("lines"), "runs")
     gone = F.array_distinct(F.flatten(F.transform("runs", lambda x: F.sequence(x["i"], x["i"] + x["m"] - 1))))
     out = out.withColumn("gone", F.coalesce(gone, F.array().cast("array<int>")))
-    kept = F.filter("lines", lambda x, i: ~F.array_contains("gone", i))
-    starts = F.filter("gone", lambda i: ~F.array_contains("gone", i - 1))
+    # Differences of sets of places take time in proportion to the lines, however many are removed.
+    places = F.when(F.size("lines") > 0, F.sequence(F.lit(0), F.size("lines") - 1)).otherwise(F.array().cast("array<int>"))
+    kept = F.transform(F.array_except(places, "gone"), lambda i: F.get("lines", i))
+    starts = F.array_except("gone", F.transform("gone", lambda i: i + 1))
     return out.select(
         "doc_id",
         F.array_join(kept, "\n").alias("kept_text"),
