@@ -10,7 +10,7 @@ from vigilar.operators import sampling as S
 from vigilar.plans import extractors as X
 from vigilar.session import scratch_dir
 from vigilar.sources import scenarios as SC
-from vigilar.sources import sinks
+from vigilar.sources import sinks, versions
 from vigilar.sources.tables import corpus, runs, table, traces
 from vigilar.workload.common import CORPUS, RUNS, query
 from vigilar.workload.features import TRACES
@@ -426,3 +426,17 @@ def results_rewrite_cell(spark, sf):
     return spark.read.schema("n_runs bigint, extractor string, scenario string").parquet(path).select(*cell, "n_runs")
 
 
+@query(
+    "versioned_cells",
+    """SELECT event_type, event_id, CASE WHEN event_type IN ('click', 'error') THEN value + 1 ELSE value END AS value FROM events
+    WHERE event_type IS NOT NULL""",
+)
+def versioned_cells(spark, sf):
+    """Cells of a result table that are committed, partly committed again, and once only written."""
+    path, cell = f"{scratch_dir(spark, 'versions')}/results", ["event_type"]
+    rows = table(spark, sf, "events").where("event_type is not null").select("event_type", "event_id", "value")
+    first = versions.commit(rows, path, cell)
+    again = rows.where(F.col("event_type").isin("click", "error")).withColumn("value", F.col("value") + 1)
+    versions.commit(again, path, cell, expected=first)
+    rows.withColumn("value", F.lit(0.0)).write.partitionBy(*cell).parquet(f"{path}/data/lost")  # a writer that died before its commit
+    return versions.read_version(spark, path, cell).select("event_type", "event_id", "value")
