@@ -29,3 +29,18 @@ def spark():
 @pytest.fixture(scope="session")
 def sf():
     return SF
+
+
+@pytest.fixture(scope="session")
+def rows_of_query(spark, sf):
+    """Rows of a named query on the small tables; long ones are run once for all tests."""
+    from vigilar.workload import QUERIES
+
+    done = {}
+
+    def run(name):
+        if name not in done:
+            done[name] = QUERIES[name](spark, sf).toPandas()
+        return done[name]
+
+    return run

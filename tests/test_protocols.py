@@ -8,26 +8,25 @@ from pyspark.sql import functions as F
 from vigilar.operators.autoencoder import AeConfig
 from vigilar.plans import protocols as P
 from vigilar.plans.detector import Detector, NoFitRowsError
-from vigilar.workload import QUERIES
 
 
-def test_suite(spark, sf):
-    out = QUERIES["suite_results"](spark, sf).toPandas()
+def test_suite(rows_of_query):
+    out = rows_of_query("suite_results")
     cells = set(product(["a-a", "b-b", "c-c", "d-d", "bcd-a", "acd-b", "abd-c", "abc-d"], ["ocsvm", "lof", "ae"], ["li"]))
     assert set(zip(out["scenario"], out["method"], out["extractor"], strict=True)) == cells and len(out) == len(cells)
     assert list(out.columns) == P.SUITE_COLUMNS and set(out["kind"]) == {"in_domain", "lodo"}
     assert (out["n_train"] > 0).all() and (out["fit_seconds"] > 0).all() and out["recall_per_attack"].str.startswith("{").all()
 
 
-def test_drift(spark, sf):
-    out = QUERIES["drift_results"](spark, sf).toPandas()
+def test_drift(rows_of_query):
+    out = rows_of_query("drift_results")
     cells = set(product("abcd", [("lof", "li"), ("ocsvm", "tfidf")]))
     assert {(r.domain, (r.method, r.extractor)) for r in out.itertuples()} == cells and len(out) == len(cells)
     assert list(out.columns) == [*P.DRIFT_COLUMNS, "recall_per_attack_s1", "recall_per_attack_s2"]
 
 
-def test_fewshot(spark, sf):
-    out = QUERIES["fsl_results"](spark, sf).toPandas()
+def test_fewshot(rows_of_query):
+    out = rows_of_query("fsl_results")
     cells = set(product("abcd", [0], P.SEEDS[:1])) | set(product("abcd", [k for k in P.KS if k], P.SEEDS))
     assert set(zip(out["target"], out["k"], out["seed"], strict=True)) == cells and len(out) == len(cells)
     assert list(out.columns) == P.FEWSHOT_COLUMNS and set(out["lodo_source"]) == {"bcd-a", "acd-b", "abd-c", "abc-d"}

@@ -45,8 +45,8 @@ def test_every_oracle_has_a_query():
 
 
 @pytest.mark.parametrize("name", ["suite_results", "drift_results", "fsl_results", "stream_scores_lof"])
-def test_rows_only_queries(spark, sf, name):
-    out = QUERIES[name](spark, sf).toPandas()
+def test_rows_only_queries(rows_of_query, name):
+    out = rows_of_query(name)
     assert len(out) > 0
     if name == "suite_results":
         assert len(out) == 24 and out["roc_auc"].dropna().between(0, 1).all()
