@@ -1,5 +1,7 @@
 from collections import Counter
 
+import duckdb
+import pytest
 import corpus_pipeline
 from tests.llm.cases import special_documents, table
 from tests.llm.test_contamination import brute as brute_contamination
@@ -59,3 +61,16 @@ def test_run(spark, sf):
 def test_registered():
     assert {int(n[2:].split("_")[0]) for n in QUERIES if n.startswith("op")} == set(range(1, 14)) and "pipeline" in QUERIES
     assert set(ORACLES) <= set(QUERIES)
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_query_equals_sql(spark, sf, name):
+    con = duckdb.connect()
+    for t in ("documents", "benchmark", "conversations"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    want = con.execute(ORACLES[name])
+    columns = sorted(c[0] for c in want.description)
+    want = [tuple(dict(zip([c[0] for c in want.description], r, strict=True))[c] for c in columns) for r in want.fetchall()]
+    got = QUERIES[name](spark, sf)
+    assert sorted(got.columns) == columns
+    assert sorted(map(tuple, got.select(*columns).collect()), key=str) == sorted(want, key=str)

@@ -222,3 +222,26 @@ def _agree(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
     joined = pairs.join(sigs.select(F.col("node").alias("u"), F.col("sig").alias("sig_u")), "u")
     joined = joined.join(sigs.select(F.col("node").alias("v"), F.col("sig").alias("sig_v")), "v")
     return joined.select("u", "v", "sig_u", "sig_v").mapInArrow(_agreeing, "u long, v long")
+
+
+# The same in plain SQL, by all pairs that share a shingle; for small tables of distinct doc_ids.
+GROUPS_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(1, len(w) - 4))) AS i FROM d WHERE len(w) > 0)
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), shared AS (
+  SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2
+), links AS (
+  SELECT u, v FROM shared JOIN n a ON a.doc_id = u JOIN n b ON b.doc_id = v WHERE 100 * c >= 75 * (a.n + b.n - c)
+), both_ways AS (
+  SELECT u, v FROM links UNION ALL SELECT v, u FROM links
+), reach AS (
+  SELECT doc_id, doc_id AS c FROM d UNION SELECT e.v, reach.c FROM reach JOIN both_ways e ON e.u = reach.doc_id
+), found AS (
+  SELECT doc_id, min(c) AS component_id FROM reach GROUP BY doc_id
+)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM found LEFT JOIN n USING (doc_id)
+"""

@@ -8,12 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from vigilar.llm.contamination import REPORT_SQL as CONTAMINATION_SQL
 from vigilar.llm.contamination import contamination_report
 from vigilar.llm.images import QUERY_STEP, find_image_copies, pictures
 from vigilar.llm.line_runs import REPORT_SQL, line_report
 from vigilar.llm.main_text import extract_main_text
 from vigilar.llm.mixing import mix_sources
-from vigilar.llm.near_duplicates import near_duplicate_groups
+from vigilar.llm.near_duplicates import GROUPS_SQL, near_duplicate_groups
 from vigilar.llm.periodic_runs import run_report
 from vigilar.llm.prefix_trie import REPORT_SQL as TRIE_SQL
 from vigilar.llm.prefix_trie import trie_report
@@ -21,7 +22,7 @@ from vigilar.llm.pseudonyms import pseudonymise_documents
 from vigilar.llm.quality import classify
 from vigilar.llm.quality_rules import rule_report
 from vigilar.llm.shards import assign_shards
-from vigilar.llm.substrings import remove_repeated
+from vigilar.llm.substrings import REPEATED_SQL, remove_repeated
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -107,4 +108,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-ORACLES: dict[str, str] = {"op7_line_dedup": REPORT_SQL, "op11_prefix_trie": TRIE_SQL}
+ORACLES: dict[str, str] = {
+    "op2_suffix_array_dedup": REPEATED_SQL,
+    "op4_minhash_near_dedup": GROUPS_SQL,
+    "op5_decontamination": CONTAMINATION_SQL,
+    "op7_line_dedup": REPORT_SQL,
+    "op11_prefix_trie": TRIE_SQL,
+}

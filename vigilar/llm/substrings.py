@@ -391,3 +391,36 @@ def remove_repeated(docs: DataFrame) -> DataFrame:
     marks = repeated_ranges(docs).groupBy("_id", "_h").agg(F.flatten(F.collect_list("ranges")).alias("ranges"), F.max("whole").alias("whole"))
     joined = docs.join(marks.hint("shuffle_hash"), ["_id", "_h"], "left").select("doc_id", "text", "ranges", "whole")
     return joined.mapInArrow(_result_rows, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<long>")
+
+
+# The same in plain SQL, a row per byte; for small tables of distinct doc_ids.
+REPEATED_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(hex(encode(coalesce(text, ''))), '..') AS bs FROM documents
+), b1 AS (
+  SELECT doc_id, unnest(bs) AS b, generate_subscripts(bs, 1) AS i FROM d
+), b4 AS (
+  SELECT doc_id, i, b, b || lead(b) OVER w || lead(b, 2) OVER w || lead(b, 3) OVER w AS s FROM b1 WINDOW w AS (PARTITION BY doc_id ORDER BY i)
+), b20 AS (
+  SELECT doc_id, i, b, s || lead(s, 4) OVER w || lead(s, 8) OVER w || lead(s, 12) OVER w || lead(s, 16) OVER w AS s FROM b4 WINDOW w AS (PARTITION BY doc_id ORDER BY i)
+), b100 AS (
+  SELECT doc_id, i, b, s || lead(s, 20) OVER w || lead(s, 40) OVER w || lead(s, 60) OVER w || lead(s, 80) OVER w AS s FROM b20 WINDOW w AS (PARTITION BY doc_id ORDER BY i)
+), first_place AS (
+  SELECT s, min((doc_id, i)) AS place FROM b100 WHERE s IS NOT NULL GROUP BY s HAVING count(*) > 1
+), later AS (
+  SELECT b100.doc_id, b100.i FROM b100 JOIN first_place f ON b100.s = f.s AND (b100.doc_id, b100.i) <> f.place
+), marked AS (
+  SELECT b1.doc_id, b1.i, b1.b,
+         coalesce(max(later.i) OVER (PARTITION BY b1.doc_id ORDER BY b1.i ROWS BETWEEN 99 PRECEDING AND CURRENT ROW), -1) > 0 AS gone
+  FROM b1 LEFT JOIN later ON later.doc_id = b1.doc_id AND later.i = b1.i
+), edges AS (
+  SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), false) AS starts FROM marked
+), counted AS (
+  SELECT doc_id, count(*) AS n_bytes, count(*) FILTER (WHERE gone) AS n_removed, count(*) FILTER (WHERE starts) AS n_spans,
+         string_agg(b, '' ORDER BY i) FILTER (WHERE NOT gone) AS kept
+  FROM edges GROUP BY doc_id
+)
+SELECT doc_id, coalesce(n_bytes, 0) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+FROM d LEFT JOIN counted USING (doc_id)
+"""
