@@ -112,12 +112,15 @@ def words(text: str | Column) -> Column:
 def term_counts(df: DataFrame, text: str | Column = "full_query", row_id: str = "row_id") -> DataFrame:
     """Long bag of words: one row (row_id, term, n) per distinct term of a text.
 
-    Counts are combined before the shuffle, so only distinct (row, term) pairs move. The
-    outer explode keeps Spark from adding a non-empty filter that would match the regex
-    a second time.
+    A text's words are in one row, so they are sorted and counted there: nothing moves. The outer
+    explode keeps Spark from adding a non-empty filter that would match the regex a second time.
     """
-    exploded = df.select(row_id, F.explode_outer(words(text)).alias("term")).where(F.col("term").isNotNull())
-    return exploded.groupBy(row_id, "term").agg(F.count(F.lit(1)).alias("n"))
+    rows = df.select(row_id, F.sort_array(words(text)).alias("_words"))
+    starts = F.filter(F.transform("_words", lambda x, i: F.when((i == 0) | (x != F.get("_words", i - 1)), i)), lambda i: i.isNotNull())
+    rows = rows.select(row_id, "_words", starts.alias("_starts"))
+    exploded = rows.select(row_id, "_words", "_starts", F.posexplode_outer("_starts").alias("_j", "_at")).where(F.col("_at").isNotNull())
+    end = F.coalesce(F.get("_starts", F.col("_j") + 1), F.size("_words"))
+    return exploded.select(row_id, F.get("_words", F.col("_at")).alias("term"), (end - F.col("_at")).cast("long").alias("n"))
 
 
 def vocabulary(counts: DataFrame, max_features: int | None = None) -> DataFrame:
