@@ -287,6 +287,16 @@ def manifest_entries(spark: SparkSession, path: str) -> DataFrame:
     return grouped.unionByName(flat).select("grp", "file", "e.*")
 
 
+def files_below(spark: SparkSession, folder: str, pattern: str | None = None) -> DataFrame:
+    """(file, length, content): the files below ``folder`` by their path below it, of names that match ``pattern``, if given."""
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
+    files = (reader.option("pathGlobFilter", pattern) if pattern else reader).load(folder)
+    root = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    root = root.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(root).toUri().getPath().rstrip("/")
+    below = files.withColumn("_below", F.regexp_replace(F.col("path"), "^[a-z0-9]+:/*", "/"))
+    return below.select(F.expr("substring(_below, {})".format(len(root) + 2)).alias("file"), "length", "content")
+
+
 def verify_files(entries: DataFrame, folder: str, pattern: str | None = None) -> DataFrame:
     """Compare files below ``folder`` with their manifest rows: add ``status``.
 
@@ -294,14 +304,7 @@ def verify_files(entries: DataFrame, folder: str, pattern: str | None = None) ->
     not hashed), ``bad_hash``, ``missing``, or ``unchecked`` without a checksum. Files are hashed by the executors; the binary
     reader takes files up to 2 GiB, so store large tables as several parts.
     """
-    spark = entries.sparkSession
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
-    files = (reader.option("pathGlobFilter", pattern) if pattern else reader).load(folder)
-    root = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    root = root.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(root).toUri().getPath().rstrip("/")
-    below = F.regexp_replace(F.col("path"), "^[a-z0-9]+:/*", "/")
-    relative = F.expr("substring(_below, {})".format(len(root) + 2))
-    files = files.withColumn("_below", below).select(relative.alias("file"), F.col("length").alias("actual_bytes"), "content")
+    files = files_below(entries.sparkSession, folder, pattern).withColumnRenamed("length", "actual_bytes")
     sized = entries.select("file", F.col("bytes").alias("_bytes")).dropDuplicates(["file"])
     right = F.col("_bytes").isNull() | (F.col("_bytes") == F.col("actual_bytes"))
     files = files.join(sized, "file").select(
@@ -321,3 +324,13 @@ def verify_files(entries: DataFrame, folder: str, pattern: str | None = None) ->
         .otherwise("ok")
     )
     return checked.select("grp", "file", "bytes", "actual_bytes", status.alias("status"))
+
+
+def verify_tables(entries: DataFrame, folder: str) -> DataFrame:
+    """(file, status) per entry directly below ``folder``: a file's own status, or the worst one of the files of a table stored as a folder.
+
+    A missing file is worse than a wrong size, this than a wrong hash, and this than a file without a checksum.
+    """
+    order = F.array(*[F.lit(s) for s in ("missing", "bad_size", "bad_hash", "unchecked", "ok")])
+    checked = verify_files(entries, folder).withColumn("file", F.split_part("file", F.lit("/"), F.lit(1)))
+    return checked.groupBy("file").agg(F.get(order, F.min(F.array_position(order, F.col("status"))).cast("int") - 1).alias("status"))

@@ -146,19 +146,18 @@ def manifest_entries(spark, sf):
     (SELECT unnest(['region','nation','customer','supplier','part','orders','lineitem','events','documents','embeddings','pages','benchmark','labels','conversations']) AS n)""",
 )
 def file_integrity(spark, sf):
-    """Checks the given table files against a manifest made from their own bytes, one of them falsified."""
+    """Checks the given tables, each a file or a folder of them, against a manifest made from their own bytes, one table's entries falsified."""
     path = f"{scratch_dir(spark, 'manifest')}/manifest"
-    files = spark.read.format("binaryFile").load(f"{sf}/*.parquet")
-    name = F.element_at(F.split("path", "/"), -1)
-    bad = name == "events.parquet"
+    files = SC.files_below(spark, sf, "*.parquet")
+    bad = F.split_part("file", F.lit("/"), F.lit(1)) == "events.parquet"
     entry = F.struct(
         F.lit("in_domain").alias("kind"),
         F.col("length").alias("bytes"),
         F.when(bad, F.sha2(F.lit("x"), 256)).otherwise(F.sha2("content", 256)).alias("sha256"),
     )
-    one = files.agg(F.map_from_entries(F.collect_list(F.struct(name, entry))).alias("files"))
+    one = files.agg(F.map_from_entries(F.collect_list(F.struct("file", entry))).alias("files"))
     one.select(F.create_map(F.lit("main"), F.struct("files")).alias("groups")).write.json(path)
-    return SC.verify_files(SC.manifest_entries(spark, path), sf).select("file", "status")
+    return SC.verify_tables(SC.manifest_entries(spark, path), sf).select("file", "status")
 
 
 @query(
