@@ -5,7 +5,7 @@ import shutil
 import pytest
 
 from vigilar.sources import scenarios as SC
-from vigilar.sources.tables import table
+from vigilar.sources.tables import table, table_stream
 from vigilar.workload import QUERIES
 
 TABLES = (
@@ -43,3 +43,18 @@ def test_a_folder_has_the_worst_status_of_its_files(spark, tmp_path):
     assert worst(entries) == {"t": "missing", "u": "unchecked"}
     assert worst(entries.where("file <> 't/c'")) == {"t": "bad_size", "u": "unchecked"}
     assert worst(entries.where("file = 't/a'")) == {"t": "ok"}
+
+
+def test_streams_take_files_and_folders(spark, sf, folders, tmp_path):
+    ids = {r[0] for r in table(spark, sf, "documents").select("doc_id").collect()}
+    for at in (sf, folders):
+        out = str(tmp_path / at.strip("/").replace("/", "_"))
+        job = table_stream(spark, at, "documents").select("doc_id").writeStream.format("parquet").option("checkpointLocation", f"{out}_c")
+        job.trigger(availableNow=True).start(out).awaitTermination()
+        got = [r[0] for r in spark.read.parquet(out).collect()]
+        assert len(got) == len(ids) and set(got) == ids
+
+
+def test_running_thresholds_take_folders(spark, sf, folders):
+    rows = lambda at: sorted(tuple(r) for r in QUERIES["stream_running_thresholds"](spark, at).collect())
+    assert rows(folders) == rows(sf)

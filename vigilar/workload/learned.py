@@ -23,7 +23,7 @@ from vigilar.plans.detector import Detector, DetectorEstimator
 from vigilar.plans.extractors import build_extractor
 from vigilar.session import scratch_dir, stable
 from vigilar.sources.scenarios import build_scenarios, drift_partitions, fewshot_sets, lodo
-from vigilar.sources.tables import corpus, traces, vectors
+from vigilar.sources.tables import corpus, table_stream, traces, vectors
 from vigilar.streaming.scorer import score_stream, start_scoring
 from vigilar.streaming.thresholds import start_thresholds
 from vigilar.workload.common import CORPUS, query, r6, rounded
@@ -286,9 +286,7 @@ def model_roundtrip(spark, sf):
 
 def _stream(spark, sf):
     """The documents table as a stream of query rows."""
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
-    source = spark.readStream.schema(docs.schema).option("pathGlobFilter", "documents.parquet").parquet(sf)
-    return source.select(F.col("doc_id").alias("row_id"), F.col("text").alias("full_query"))
+    return table_stream(spark, sf, "documents").select(F.col("doc_id").alias("row_id"), F.col("text").alias("full_query"))
 
 
 @query("stream_scores", "SELECT count(*) AS n_rows, count(DISTINCT doc_id) AS n_ids, 0::BIGINT AS n_odd FROM documents")
@@ -324,8 +322,7 @@ def stream_scores_lof(spark, sf):
 )
 def stream_running_thresholds(spark, sf):
     """A stateful stream: the share of symbols of a document against the running quantile of its language."""
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
-    source = spark.readStream.schema(docs.schema).option("pathGlobFilter", "documents.parquet").parquet(sf)
+    source = table_stream(spark, sf, "documents")
     share = F.regexp_count("text", F.lit(r"[^\p{L}\s]")) / F.greatest(F.length("text"), F.lit(1))
     scored = source.select("lang", "doc_id", F.coalesce(share, F.lit(0.0)).alias("score"))
     out = scratch_dir(spark, "stream")
