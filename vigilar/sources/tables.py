@@ -6,9 +6,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vigilar.functions.traces import PARSE_BYTES, byte_slices
+
 TECHNIQUES = ("union", "boolean", "stacked", "error", "time", "inline", "insider")
 
 
@@ -81,34 +86,49 @@ TRACE_TAGS = (
 )
 
 
+def _node_heads(n: int) -> pa.Array:
+    """What comes before the word in the first ``n`` nodes of a trace."""
+    i = np.arange(n)
+    tags = [pa.array(TRACE_TAGS).take(pa.array((i + shift) % len(TRACE_TAGS))) for shift in (0, 3)]
+    place, kind = pa.array(i).cast(pa.string()), pa.array(830 + i % 1020).cast(pa.string())
+    return pc.if_else(pa.array(i % 9 == 8), place, pc.binary_join_element_wise(place, kind, "7", *tags, ":"))
+
+
+def _trees(texts: pa.Array, has: pa.Array) -> pa.Array:
+    """Texts as traces, a node for every word; NULL where there is no text or ``has`` is false."""
+    heads, made = _node_heads(1024), []
+    for part in byte_slices(pc.if_else(has, texts, pa.scalar(None, pa.string())), PARSE_BYTES // 8):
+        split = pc.split_pattern(pc.replace_substring_regex(pc.fill_null(part, ""), r"[:|\t\r\n]", " "), " ")
+        words, parents = pc.list_flatten(split), pc.list_parent_indices(split)
+        filled = pc.greater(pc.binary_length(words), 0)
+        words, parents = pc.filter(words, filled), pc.filter(parents, filled).to_numpy(zero_copy_only=False)
+        offsets = np.searchsorted(parents, np.arange(len(part) + 1))
+        place = np.arange(len(words)) - offsets[parents]
+        if len(place) and place.max() >= len(heads):
+            heads = _node_heads(2 * int(place.max()))
+        nodes = pc.binary_join_element_wise(heads.take(pa.array(place)), words, ":")
+        trees = pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), nodes), "|")
+        trees = pc.binary_join_element_wise(trees, "||-||tail:x", "")
+        made.append(pc.if_else(pc.is_valid(part), trees, pa.scalar(None, pa.string())))
+    return pa.concat_arrays(made)
+
+
 def traces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trace rows built from all words of a document (some fields missing on purpose).
 
     Every tenth document has no trace; every ninth word becomes a node with too few fields.
     """
     docs = texts(spark, sf_dir, "documents", "doc_id", "text")
-    tags = F.array(*[F.lit(t) for t in TRACE_TAGS])
-    clean = F.regexp_replace("text", "[:|]", " ")
-    words = F.filter(F.split(clean, r"[ \t\r\n]+"), lambda w: w != "")
-
-    def node(w, i):
-        kind = (F.lit(830) + i % 1020).cast("string")
-        long = F.concat_ws(
-            ":", i.cast("string"), kind, F.lit("7"), F.get(tags, (i % 17).cast("int")), F.get(tags, ((i + 3) % 17).cast("int")), w
-        )
-        return F.when(i % 9 == 8, F.concat_ws(":", i.cast("string"), w)).otherwise(long)
-
     has = F.col("doc_id") % 10 != 0
-    tree = F.concat(F.array_join(F.transform(words, node), "|"), F.lit("||-||tail:x"))
-    n = F.size(words)
+    n = F.regexp_count("text", F.lit(r"[^:| \t\r\n]+"))
     return docs.select(
         F.col("doc_id").alias("row_id"),
         F.col("text").alias("full_query"),
-        F.when(has, tree).alias("semantic_tree"),
+        F.arrow_udf(_trees, "string")("text", has).alias("semantic_tree"),
         F.when(has, n).alias("n_terminal"),
         F.when(has, (n / 2).cast("int")).alias("n_nonterminal"),
         F.when(has, F.lit(0)).alias("is_syntax_error"),
-        F.when(has, (n % 13)).alias("depth"),
+        F.when(has, n % 13).alias("depth"),
         F.when(has, F.lit(1)).alias("n_parser_invoc"),
     )
 

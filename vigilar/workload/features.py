@@ -359,13 +359,11 @@ def trace_keyword_stats(spark, sf):
 @query("trace_vectors")
 def trace_vectors(spark, sf):
     """Width and total of the whole trace vector, per row and tag model."""
-    out = None
-    for mode in TR.MODES:
-        vec = TR.trace_vector(traces(spark, sf), mode)
-        total = F.aggregate("trace_features", F.lit(0.0), lambda a, x: a + x)
-        one = vec.select(F.lit(mode).alias("mode"), "row_id", F.size("trace_features").alias("width"), r6(total).alias("total"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    made = TR.trace_vectors(traces(spark, sf), TR.MODES, out="v")
+    per_mode = F.array(*[F.struct(F.lit(m).alias("mode"), F.col("v")[m].alias("x")) for m in TR.MODES])
+    long = made.select("row_id", F.explode_outer(per_mode).alias("m")).select("row_id", "m.mode", "m.x")
+    total = F.aggregate("x", F.lit(0.0), lambda a, x: a + x)
+    return long.select("mode", "row_id", F.size("x").alias("width"), r6(total).alias("total"))
 
 
 # ---- embeddings ---------------------------------------------------------------------------------
