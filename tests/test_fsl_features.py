@@ -17,3 +17,17 @@ def test_features_are_read_back(spark, sf, monkeypatch):
     with pytest.raises(LookupError):
         QUERIES["fsl_results"](spark, sf)
     assert seen and not any("regexp_replace" in plan for plan in seen)
+
+
+@pytest.mark.parametrize("name, step", [("suite_results", "build_scenarios"), ("drift_results", "drift_partitions"), ("model_roundtrip", "DetectorEstimator.fit")])
+def test_features_of_other_grids_are_read_back(spark, sf, monkeypatch, name, step):
+    seen = []
+
+    def stop(*args):
+        seen.append(args[-1]._jdf.queryExecution().optimizedPlan().toString())
+        raise LookupError
+
+    monkeypatch.setattr(f"vigilar.workload.learned.{step}", stop)
+    with pytest.raises(LookupError):
+        QUERIES[name](spark, sf)
+    assert "features_li" in seen[0] and "regexp_replace" not in seen[0]

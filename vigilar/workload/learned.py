@@ -183,10 +183,15 @@ def ae_scores_fixed_weights(spark, sf):
     return model.score(rows).withColumn("score", F.round("score", 4))
 
 
+def _li_rows(spark, sf) -> DataFrame:
+    """The corpus with lexical features in place of its texts, computed once and read back by all that follows."""
+    return stable(P.add_features(corpus(spark, sf), ["li"]).drop("full_query"))
+
+
 @query("suite_results")
 def suite_results(spark, sf):
     """All in-domain and held-out scenarios with every head, at the protocol's rates and full training."""
-    scen = stable(build_scenarios(P.add_features(corpus(spark, sf), ["li"])).drop("full_query"))
+    scen = stable(build_scenarios(_li_rows(spark, sf)))
     names = ["a-a", "b-b", "c-c", "d-d", "bcd-a", "acd-b", "abd-c", "abc-d"]
     return P.suite_results(*P.suite_scores(scen, P.grid(["ocsvm", "lof", "ae"], ["li"], names)), dataset="multi")
 
@@ -194,9 +199,9 @@ def suite_results(spark, sf):
 @query("drift_results")
 def drift_results(spark, sf):
     """Origin and shifted test rows of every domain."""
-    parts = drift_partitions(corpus(spark, sf))
-    scored = P.drift_scores(parts, [("lof", "li"), ("ocsvm", "tfidf")], ["a", "b", "c", "d"])
-    return P.drift_results(*scored, dataset="drift")
+    cells = ((_li_rows(spark, sf), ("lof", "li")), (corpus(spark, sf), ("ocsvm", "tfidf")))  # word counts need the texts
+    scored = [P.drift_scores(drift_partitions(rows), [cell], ["a", "b", "c", "d"]) for rows, cell in cells]
+    return P.drift_results(*[a.unionByName(b) for a, b in zip(*scored, strict=True)], dataset="drift")
 
 
 @query("fsl_results")
@@ -205,7 +210,7 @@ def fsl_results(spark, sf):
 
     Rows are featurised once for all domains, which run side by side, as the small jobs of one leave the cluster idle.
     """
-    rows = stable(P.add_features(corpus(spark, sf), ["li"]).drop("full_query"))
+    rows = _li_rows(spark, sf)
 
     def adapted(target: str) -> DataFrame:
         base = P.train_detector(rows.where((F.col("domain") != target) & (F.col("split") == "train")), "ae", "li")
@@ -274,7 +279,7 @@ def trace_detector_scores(spark, sf):
 )
 def model_roundtrip(spark, sf):
     """Largest score difference between a detector and its saved and reloaded copy."""
-    rows = corpus(spark, sf)
+    rows = _li_rows(spark, sf)
     test = rows.where(F.col("split") == "test")
     out = None
     for method, config in (("ae", AeConfig(epochs=10)), ("lof", None), ("ocsvm", None)):
