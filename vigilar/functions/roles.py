@@ -35,6 +35,15 @@ ROLE_WORDS = {
     "DLL": ("CREATE", "ALTER", "DROP", "TRUNCATE"),
     "DML": ("SELECT", "INSERT", "UPDATE", "DELETE", "REPLACE", "MERGE", "UPSERT", "COMMIT", "ROLLBACK", "START"),
 }
+# Marks with a role of their own.
+ROLE_MARKS = {
+    "Par": ("(", ")"),
+    "Escap": ("'", "--", "#"),
+    "Wildcard": ("*",),
+    "Comparison": ("<=>", "<=", ">=", "<>", "!=", "=", "<", ">"),
+    "Oper": ("||", "&&", "+", "-", "/", "%", "&", "|", "^", "~", "!", ":", "@"),
+    "Punct": (",", ";", ".", "[", "]", "{", "}"),
+}
 # Roles whose token text is left out of a view.
 NOISY_T = ("Int",)
 NOISY_E = ("Int", "Punct", "Par")
@@ -66,10 +75,39 @@ TOKEN_PATTERN = "|".join(
 )
 
 
+def _java_pattern() -> str:
+    """The same tokens without a step back: what follows a run never begins with one of its characters, so runs are possessive.
+
+    White space fails at once, and an element of a list and the same token without its comma are one alternative.
+    """
+    name = rf"{_NAME}+"
+    words = rf"(?:[ \t\n]++(?:[aA][sS][ \t\n]++{name}|[aA][sS][cC]|[dD][eE][sS][cC]))?+[ \t\n]*+,"
+    alternatives = (
+        rf"{name}(?:(?:\.{name})*+(?:\([^()]*+\))?+{words})?+",
+        r"0[xX][0-9a-fA-F]++",
+        rf"[0-9]++(?:\.[0-9]++)?+(?:{words})?+",
+        rf"'[^']*+'(?:{words})?+",
+        r"--[^\n]*+",
+        r"#[^\n]*+",
+        r"(?s:/\*.*?\*/)",
+        r'"[^"]*+"',
+        r"`[^`]*+`",
+        r"<=>|<=|>=|<>|!=|=|<|>",
+        r"\|\||&&|[+\-/%&|^~!:@]",
+        rf"\*(?:{words})?+",
+        r"[(),;.\[\]{}]",
+        rf"[^\p{{L}}\p{{N}}{SPACE}]",
+    )
+    return rf"(?![ \t\n\r])(?:{'|'.join(alternatives)})"
+
+
+JAVA_TOKEN_PATTERN = _java_pattern()
+
+
 def sql_tokens(text: str | Column) -> Column:
     """Tokens of the first statement, in order."""
     c = F.col(text) if isinstance(text, str) else text
-    tokens = F.regexp_extract_all(c.cast("string"), F.lit(TOKEN_PATTERN), F.lit(0))
+    tokens = F.regexp_extract_all(c.cast("string"), F.lit(JAVA_TOKEN_PATTERN), F.lit(0))
     end = F.array_position(tokens, F.lit(";"))
     return F.when(end > 0, F.slice(tokens, 1, end.cast("int"))).otherwise(tokens)
 
@@ -80,16 +118,18 @@ def _role(token: Column, following: Column, keywords: tuple[str, ...]) -> Column
     for name, members in ROLE_WORDS.items():
         reserved = reserved.when(up.isin(*members), name)
     known = sorted({*keywords, *(w for members in ROLE_WORDS.values() for w in members)})
-    # One hash lookup settles most words; the finer cases follow only on a hit.
-    role = F.when(up.isin(*known), reserved.otherwise(F.when(token.rlike(rf"^{_NAME}$"), "Keyw").otherwise("Identifi")))
-    role = role.when(token.rlike(rf"^{_NAME}$"), F.when(following == "(", "Func").otherwise("Identifi"))
-    role = role.when(token.isin("(", ")"), "Par")
-    role = role.when(token.rlike(r"^0[xX][0-9a-fA-F]+$"), "Hexadecimal")
-    role = role.when(token.rlike(r"^[0-9]+(\.[0-9]+)?$"), "Int")
-    role = role.when(token.rlike(r"^'[^']*'$"), "Quot").when(token.rlike(r'^("[^"]*"|`[^`]*`)$'), "Identifi")
-    role = role.when(token.rlike(r"^(--|#|/\*)") | (token == "'"), "Escap")
-    role = role.when(token == "*", "Wildcard").when(token.isin("<=>", "<=", ">=", "<>", "!=", "=", "<", ">"), "Comparison")
-    role = role.when(token.rlike(r"^(\|\||&&|[+\-/%&|^~!:@])$"), "Oper").when(token.rlike(r"^[,;.\[\]{}]$"), "Punct")
+    # One hash lookup settles marks and most words; the finer cases follow only on a hit.
+    marks = {name: [m for m in members if m not in known] for name, members in ROLE_MARKS.items()}
+    mark = F.when(token.isin(*marks["Punct"]), "Punct") if marks["Punct"] else F.when(F.lit(False), "Punct")
+    for name, members in marks.items():
+        mark = mark.when(token.isin(*members), name) if members and name != "Punct" else mark
+    role = F.when(token.isin(*(m for members in marks.values() for m in members)), mark)
+    role = role.when(up.isin(*known), reserved.otherwise(F.when(token.rlike(rf"^{_NAME}+$"), "Keyw").otherwise("Identifi")))
+    role = role.when(token.rlike(rf"^{_NAME}+$"), F.when(following == "(", "Func").otherwise("Identifi"))
+    role = role.when(token.rlike(r"^[0-9]++(\.[0-9]++)?$"), "Int")
+    role = role.when(token.rlike(r"^0[xX][0-9a-fA-F]++$"), "Hexadecimal")
+    role = role.when(token.rlike(r"^'[^']*+'$"), "Quot").when(token.rlike(r'^("[^"]*+"|`[^`]*+`)$'), "Identifi")
+    role = role.when(token.rlike(r"^(--|#|/\*)"), "Escap")
     # What is left is either one odd character or a compound element such as ``t.col``.
     return role.otherwise(F.when(F.length(token) > 1, "Identifi").otherwise("Error"))
 
