@@ -1,6 +1,8 @@
+import gzip
 import hashlib
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -83,6 +85,33 @@ def test_file_checks(spark, tmp_path):
     }
 
 
+@pytest.mark.parametrize(("split", "kind"), [("3000b", "md5"), ("128m", "sha256")])
+def test_files_are_hashed_in_pieces(spark, tmp_path, split, kind):
+    """Any bytes, in one split and in many, as the whole file gives them; no task has a file's content as one value."""
+    rng = np.random.default_rng(5)
+    noise = rng.integers(0, 256, 20_000).astype(np.uint8).tobytes()
+    bom = b"\xef\xbb\xbf"
+    cases = {
+        "noise": noise, "line": b"a", "ended": b"a\n", "breaks": b"\n" * 3000, "returns": b"\r\n\r" * 2000, "zeros": bytes(5000), "only mark": bom,
+        "mark": bom + noise, "mark ended": bom + b"a\n", "marks": bom * 2 + b"\n", "50% é [1].bin": noise[:3000] + b"\n", "packed.gz": gzip.compress(noise), "not packed.gz": noise,
+    }
+    folder = tmp_path / "a b"
+    (folder / "below").mkdir(parents=True)
+    for name, content in cases.items():
+        (folder / "below" / name).write_bytes(content)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    try:
+        files = {r["path"]: r["file"] for r in SC.files_below(spark, str(folder)).collect()}
+        got = {files[r["path"]]: r["digest"] for r in SC.file_digests(spark, str(folder), list(files), kind).collect()}
+        assert got == {f"below/{n}": hashlib.new(kind, c).hexdigest() for n, c in cases.items()}
+        plain = [p for p in files if not p.endswith("gz")]
+        plan = SC.file_digests(spark, str(folder), plain)._jdf.queryExecution().optimizedPlan().toString()
+        assert "line" in plan and all("length" in p for p in plan.split("Filter")[1:] if "content" in p)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def corpus(spark, n=400):
     return spark.range(n).select(
         F.col("id").alias("row_id"), (F.col("id") % 10 == 0).cast("int").alias("label"), F.lit("q").alias("full_query")

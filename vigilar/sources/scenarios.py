@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import codecs
+import hashlib
 import os
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -287,40 +292,145 @@ def manifest_entries(spark: SparkSession, path: str) -> DataFrame:
     return grouped.unionByName(flat).select("grp", "file", "e.*")
 
 
+def _by_reader(spark: SparkSession, source: str, folder: str, pattern: str | None, **options) -> DataFrame:
+    reader = spark.read.format(source).options(recursiveFileLookup=True, **options)
+    return (reader.option("pathGlobFilter", pattern) if pattern else reader).load(folder)
+
+
 def files_below(spark: SparkSession, folder: str, pattern: str | None = None) -> DataFrame:
-    """(file, length, content): the files below ``folder`` by their path below it, of names that match ``pattern``, if given."""
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
-    files = (reader.option("pathGlobFilter", pattern) if pattern else reader).load(folder)
+    """(file, path, length): the files below ``folder`` by their path below it, of names that match ``pattern``, if given. No file is read."""
+    files = _by_reader(spark, "binaryFile", folder, pattern)
     root = spark._jvm.org.apache.hadoop.fs.Path(folder)
     root = root.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(root).toUri().getPath().rstrip("/")
-    below = files.withColumn("_below", F.regexp_replace(F.col("path"), "^[a-z0-9]+:/*", "/"))
-    return below.select(F.expr("substring(_below, {})".format(len(root) + 2)).alias("file"), "length", "content")
+    below = files.select("length", F.col("_metadata.file_path").alias("_whole"), F.regexp_replace("path", "^[a-z0-9]+:/*", "/").alias("_below"))
+    return below.select(F.expr("substring(_below, {})".format(len(root) + 2)).alias("file"), F.col("_whole").alias("path"), "length")
+
+
+PIECE_BYTES = 8 << 20  # of an Arrow batch of lines or pieces
+_PIECE = "path string, at long, no long, size long, length long, piece binary"
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The lines of each split, put together again batch by batch, and a row without a piece that gives the bytes of the whole split."""
+
+    def row(path: str, at: int, no: int, size: int, length: int, piece: pa.Scalar | None) -> pa.RecordBatch:
+        values = [[path], [at], [no], [size], [length]]
+        kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
+        arrays = [pa.array(v, k) for v, k in zip(values, kinds, strict=True)]
+        return pa.RecordBatch.from_arrays([*arrays, pa.array([piece], pa.binary())], names=["path", "at", "no", "size", "length", "piece"])
+
+    split, no, total = None, 0, 0
+    for batch in batches:
+        path, at, length, line = (batch.column(c) for c in ("path", "at", "length", "line"))
+        other = pc.or_(pc.not_equal(path[1:], path[:-1]), pc.not_equal(at[1:], at[:-1])).to_numpy(zero_copy_only=False) if len(path) > 1 else np.empty(0, bool)
+        ends = [*(np.flatnonzero(other) + 1).tolist(), len(path)] if len(path) else []
+        start = 0
+        for end in ends:
+            this = (path[start].as_py(), at[start].as_py(), length[start].as_py())
+            if this != split:
+                if split:
+                    yield row(split[0], -1, split[1], total, split[2], None)
+                split, no, total = this, 0, 0
+            piece = b"\n".join([*line[start:end].to_pylist(), b""])
+            total += len(piece)
+            yield row(split[0], split[1], no, 0, split[2], piece)
+            start, no = end, no + 1
+    if split:
+        yield row(split[0], -1, split[1], total, split[2], None)
+
+
+def _digests(kind: str):  # noqa: ANN202
+    """Task that goes through the pieces of files in their order and hashes them."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        path, whole, length, lines, digest = None, 0, 0, 0, None
+
+        def done() -> pa.RecordBatch:
+            if whole != length:
+                raise ValueError(f"{path}: {whole} of {length} bytes read")
+            return pa.RecordBatch.from_pydict({"path": [path], "digest": [digest.hexdigest()]})
+
+        for batch in batches:
+            for p, size, n, piece in zip(*[batch.column(c).to_pylist() for c in ("path", "size", "length", "piece")], strict=True):
+                if p != path:
+                    if path is not None:
+                        yield done()
+                    path, whole, length, lines, digest = p, 0, n, 0, hashlib.new(kind)
+                if piece is None:  # these come first
+                    lines += size
+                    continue
+                if not whole and length - lines in (2, 3):  # the reader of lines leaves out a byte order mark
+                    digest.update(codecs.BOM_UTF8)
+                    whole = len(codecs.BOM_UTF8)
+                if whole + len(piece) == length + 1:  # the last line has no end
+                    piece = piece[:-1]
+                digest.update(piece)
+                whole += len(piece)
+        if path is not None:
+            yield done()
+
+    return rows
+
+
+def _unpacked(spark: SparkSession, paths: list[str]) -> set[str]:
+    """Those of ``paths`` that Spark's readers would unpack, by the suffix of their names."""
+    jvm = spark.sparkContext._jvm.org.apache.hadoop
+    factory = jvm.io.compress.CompressionCodecFactory(spark._jsc.hadoopConfiguration())
+    suffixes = {os.path.splitext(p)[1] for p in paths} - {""}
+    packed = {s for s in suffixes if factory.getCodec(jvm.fs.Path(f"/x{s}")) is not None}
+    return {p for p in paths if os.path.splitext(p)[1] in packed}
+
+
+def file_digests(spark: SparkSession, folder: str, paths: list[str], kind: str = "sha256", pattern: str | None = None) -> DataFrame:
+    """(path, digest): ``sha256`` or ``md5`` in hexadecimal of those files below ``folder`` that ``paths`` names, as ``files_below`` does.
+
+    A file of any size goes through in pieces: it is read by splits as lines of bytes, whatever it holds, and one task hashes its pieces
+    in order, as these hashes demand. Memory is bounded by a batch or the longest line. Files with the suffix of a
+    compression would be unpacked by that reader; they are hashed whole and may have 2 GiB.
+    """
+    packed = _unpacked(spark, paths)
+    path = F.col("_metadata.file_path")
+    digest = F.md5("content") if kind == "md5" else F.sha2("content", 256)
+    out = spark.createDataFrame([], "path string, digest string")
+    if packed:
+        whole = _by_reader(spark, "binaryFile", folder, pattern).where(path.isin(sorted(packed)))
+        out = out.unionByName(whole.select(path.alias("path"), digest.alias("digest")))
+    plain = sorted(set(paths) - packed)
+    if plain:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(PIECE_BYTES))
+        mark = len(codecs.BOM_UTF8)  # the reader gives no line of a file that is but this mark
+        short = _by_reader(spark, "binaryFile", folder, pattern).where(F.col("length") <= mark).where(path.isin(plain))
+        out = out.unionByName(short.select(path.alias("path"), digest.alias("digest")))
+        lines = _by_reader(spark, "text", folder, pattern, lineSep="\n").where(path.isin(plain) & (F.col("_metadata.file_size") > mark))
+        lines = lines.select(path.alias("path"), F.col("_metadata.file_block_start").alias("at"), F.col("_metadata.file_size").alias("length"), F.col("value").cast("binary").alias("line"))
+        pieces = lines.mapInArrow(_pieces, _PIECE).repartition("path").sortWithinPartitions("path", "at", "no")
+        out = out.unionByName(pieces.mapInArrow(_digests(kind), "path string, digest string"))
+    return out
 
 
 def verify_files(entries: DataFrame, folder: str, pattern: str | None = None) -> DataFrame:
     """Compare files below ``folder`` with their manifest rows: add ``status``.
 
-    Files are found by their path below the folder (only names that match ``pattern``, if given). ``ok``, ``bad_size`` (such files are
-    not hashed), ``bad_hash``, ``missing``, or ``unchecked`` without a checksum. Files are hashed by the executors; the binary
-    reader takes files up to 2 GiB, so store large tables as several parts.
+    Files are found by their path below the folder (only names that match ``pattern``, if given). ``ok``, ``bad_size``, ``bad_hash``,
+    ``missing``, or ``unchecked`` without a checksum. Files of a wrong size or without a checksum are not hashed; others are by the executors.
     """
-    files = files_below(entries.sparkSession, folder, pattern).withColumnRenamed("length", "actual_bytes")
-    sized = entries.select("file", F.col("bytes").alias("_bytes")).dropDuplicates(["file"])
-    right = F.col("_bytes").isNull() | (F.col("_bytes") == F.col("actual_bytes"))
-    files = files.join(sized, "file").select(
-        "file",
-        "actual_bytes",
-        F.when(right, F.sha2("content", 256)).alias("actual_sha256"),
-        F.when(right, F.md5("content")).alias("actual_md5"),
-    )
-    checked = entries.join(files, "file", "left")
+    spark = entries.sparkSession
+    files = files_below(spark, folder, pattern).withColumnRenamed("length", "actual_bytes")
     wanted = F.coalesce("sha256", "md5")
-    actual = F.when(F.col("sha256").isNotNull(), F.col("actual_sha256")).otherwise(F.col("actual_md5"))
+    kind = F.when(F.col("sha256").isNotNull(), "sha256").otherwise("md5")
+    checked = entries.join(files, "file", "left").withColumn("kind", kind)
+    right = F.col("actual_bytes").isNotNull() & (F.col("bytes").isNull() | (F.col("bytes") == F.col("actual_bytes")))
+    asked = checked.where(right & wanted.isNotNull()).select("path", "kind").distinct().collect()
+    digests = spark.createDataFrame([], "path string, digest string, kind string")
+    for k in sorted({r["kind"] for r in asked}):
+        found = file_digests(spark, folder, [r["path"] for r in asked if r["kind"] == k], k, pattern)
+        digests = digests.unionByName(found.withColumn("kind", F.lit(k)))
+    checked = checked.join(digests, ["path", "kind"], "left")
     status = (
         F.when(F.col("actual_bytes").isNull(), "missing")
         .when(wanted.isNull(), "unchecked")
-        .when(F.col("bytes").isNotNull() & (F.col("bytes") != F.col("actual_bytes")), "bad_size")
-        .when(wanted != actual, "bad_hash")
+        .when(~right, "bad_size")
+        .when(wanted != F.coalesce("digest", F.lit("")), "bad_hash")
         .otherwise("ok")
     )
     return checked.select("grp", "file", "bytes", "actual_bytes", status.alias("status"))
