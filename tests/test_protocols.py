@@ -65,3 +65,21 @@ def test_kind_comes_from_the_manifest(spark):
     scored = P.suite_scores(rows_of(spark, 60), [("s", "lof", "li")])
     manifest = spark.createDataFrame([("main", "s.csv", "special")], "grp string, file string, kind string")
     assert P.suite_results(*scored, manifest=manifest).first().kind == "special"
+
+
+def test_evaluation_scores_rows_once(spark):
+    """All metrics of a table read the same scores; a search for neighbours is not run for each."""
+    scored = spark.sparkContext.accumulator(0)
+
+    class Counted:
+        def score(self, rows, keep):
+            def count(batches):
+                for pdf in batches:
+                    scored.add(len(pdf))
+                    yield pdf
+
+            return rows.mapInPandas(count, rows.schema)
+
+    rows = spark.range(40).select(F.col("id").alias("row_id"), (F.col("id") % 4 == 0).cast("int").alias("label"), (F.col("id") * 1.0).alias("score"))
+    got = P.evaluate_detector(Counted(), rows).collect()
+    assert [(r.n_samples, r.n_attacks) for r in got] == [(40, 10)] and scored.value == 40
